@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from colonnade.llm import mixing, pieces, quality, simhash, substring, token_counts, token_files
+from colonnade.llm import embeddings, html_text, language_model, mixing, pieces, quality, simhash, substring, token_counts, token_files
 
 
 def tokenizer_path(name: str) -> str:
@@ -37,10 +37,22 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), limit=2048)
 
 
+def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.language_scores(table(spark, sf_dir, "documents"))
+
+
 def op10_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
@@ -52,7 +64,19 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    named = (op1_token_files, op2_quality_rules, op3_mixing, op4_substring_dedup, op5_token_counts, op8_simhash, op10_sentence_pieces, pipeline)
+    named = (
+        op1_token_files,
+        op2_quality_rules,
+        op3_mixing,
+        op4_substring_dedup,
+        op5_token_counts,
+        op6_embeddings,
+        op7_html_text,
+        op8_simhash,
+        op9_language_model,
+        op10_sentence_pieces,
+        pipeline,
+    )
     return {f.__name__: f for f in named}
 
 
