@@ -34,52 +34,53 @@ def _entries() -> dict:
     """name: (query, SQL after the with clause)."""
     out: dict = {}
     k = lambda f: lambda s, d: f(keys(s, d))
-    pi, v = F.col("pi"), F.col("v")
-    prior = v < 40
+    # columns are made when a query runs: the names can be read without a session
+    pi, v = (lambda: F.col("pi")), (lambda: F.col("v"))
+    prior = lambda: v() < 40
     operators = {"eq": "=", "ne": "<>", "lt": "<", "gt": ">", "le": "<=", "ge": ">="}
     for op, sign in operators.items():
-        p = compare(pi, op, YEAR, 2)
-        out[f"filter_{op}"] = (k(lambda t, p=p: selection.select(t, p, prior).select("record_index", "pi")), f"select record_index, pi from keys where v < 40 and pi {sign} {YEAR}")
-        out[f"filter_{op}_index"] = (k(lambda t, p=p: selection.positions(t, p)), f"select record_index from keys where pi {sign} {YEAR}")
-        out[f"filter_{op}_bit_serial"] = (k(lambda t, op=op: selection.positions(t, bits.serial_compare(pi, op, YEAR, 2))), f"select record_index from keys where pi {sign} {YEAR}")
+        p = lambda op=op: compare(pi(), op, YEAR, 2)
+        out[f"filter_{op}"] = (k(lambda t, p=p: selection.select(t, p(), prior()).select("record_index", "pi")), f"select record_index, pi from keys where v < 40 and pi {sign} {YEAR}")
+        out[f"filter_{op}_index"] = (k(lambda t, p=p: selection.positions(t, p())), f"select record_index from keys where pi {sign} {YEAR}")
+        out[f"filter_{op}_bit_serial"] = (k(lambda t, op=op: selection.positions(t, bits.serial_compare(pi(), op, YEAR, 2))), f"select record_index from keys where pi {sign} {YEAR}")
         if op not in ("eq", "ne"):
-            out[f"filter_inverse_{op}"] = (k(lambda t, p=p: selection.flags(t, inverse(p, prior)).select("record_index", "sel")), f"select record_index, v < 40 and not pi {sign} {YEAR} as sel from keys")
-        out[f"filter_negated_{op}"] = (k(lambda t, p=p: selection.flags(t, inverse(p, prior, True)).select("record_index", "sel")), f"select record_index, not (v < 40 and pi {sign} {YEAR}) as sel from keys")
-    closed, opened = between(pi, LOW, HIGH, width=2), between(pi, LOW, HIGH, "neither", 2)
-    out["filter_between"] = (k(lambda t: selection.select(t, closed, prior).select("record_index", "pi")), f"select record_index, pi from keys where v < 40 and pi between {LOW} and {HIGH}")
-    out["filter_between_open"] = (k(lambda t: selection.select(t, opened, prior).select("record_index", "pi")), f"select record_index, pi from keys where v < 40 and pi > {LOW} and pi < {HIGH}")
-    out["filter_inverse_between"] = (k(lambda t: selection.select(t, inverse(closed, prior)).select("record_index", "pi")), f"select record_index, pi from keys where v < 40 and not pi between {LOW} and {HIGH}")
-    composite = F.shiftleft(pi, 8).bitwiseOR(v)
-    out["filter_subfield"] = (k(lambda t: selection.select(t.withColumn("c", composite), subfield(F.col("c"), 3, 2, 1) < 25).select("record_index", "c")), "select record_index, pi * 256 + v as c from keys where v < 25")
-    out["logical_and"] = (k(lambda t: selection.positions(t, compare(pi, "ge", LOW) & compare(v, "lt", 25))), f"select record_index from keys where pi >= {LOW} and v < 25")
-    out["logical_or"] = (k(lambda t: selection.positions(t, compare(pi, "eq", LOW) | compare(v, "lt", 25))), f"select record_index from keys where pi = {LOW} or v < 25")
-    out["logical_not"] = (k(lambda t: selection.positions(t, ~(compare(pi, "eq", LOW) | compare(v, "lt", 25)))), f"select record_index from keys where not (pi = {LOW} or v < 25)")
-    a, b = compare(pi, "ge", LOW), compare(v, "lt", 25)
+            out[f"filter_inverse_{op}"] = (k(lambda t, p=p: selection.flags(t, inverse(p(), prior())).select("record_index", "sel")), f"select record_index, v < 40 and not pi {sign} {YEAR} as sel from keys")
+        out[f"filter_negated_{op}"] = (k(lambda t, p=p: selection.flags(t, inverse(p(), prior(), True)).select("record_index", "sel")), f"select record_index, not (v < 40 and pi {sign} {YEAR}) as sel from keys")
+    closed, opened = (lambda: between(pi(), LOW, HIGH, width=2)), (lambda: between(pi(), LOW, HIGH, "neither", 2))
+    out["filter_between"] = (k(lambda t: selection.select(t, closed(), prior()).select("record_index", "pi")), f"select record_index, pi from keys where v < 40 and pi between {LOW} and {HIGH}")
+    out["filter_between_open"] = (k(lambda t: selection.select(t, opened(), prior()).select("record_index", "pi")), f"select record_index, pi from keys where v < 40 and pi > {LOW} and pi < {HIGH}")
+    out["filter_inverse_between"] = (k(lambda t: selection.select(t, inverse(closed(), prior())).select("record_index", "pi")), f"select record_index, pi from keys where v < 40 and not pi between {LOW} and {HIGH}")
+    composite = lambda: F.shiftleft(pi(), 8).bitwiseOR(v())
+    out["filter_subfield"] = (k(lambda t: selection.select(t.withColumn("c", composite()), subfield(F.col("c"), 3, 2, 1) < 25).select("record_index", "c")), "select record_index, pi * 256 + v as c from keys where v < 25")
+    out["logical_and"] = (k(lambda t: selection.positions(t, compare(pi(), "ge", LOW) & compare(v(), "lt", 25))), f"select record_index from keys where pi >= {LOW} and v < 25")
+    out["logical_or"] = (k(lambda t: selection.positions(t, compare(pi(), "eq", LOW) | compare(v(), "lt", 25))), f"select record_index from keys where pi = {LOW} or v < 25")
+    out["logical_not"] = (k(lambda t: selection.positions(t, ~(compare(pi(), "eq", LOW) | compare(v(), "lt", 25)))), f"select record_index from keys where not (pi = {LOW} or v < 25)")
+    a, b = (lambda: compare(pi(), "ge", LOW)), (lambda: compare(v(), "lt", 25))
     unpacked = lambda m: selection.unpack(m)
-    out["bitmap_and"] = (k(lambda t: unpacked(selection.bitmap_and(selection.bitmaps(t, a), selection.bitmaps(t, b)))), f"select record_index as position from keys where pi >= {LOW} and v < 25")
-    out["bitmap_or"] = (k(lambda t: unpacked(selection.bitmap_or(selection.bitmaps(t, a), selection.bitmaps(t, b)))), f"select record_index as position from keys where pi >= {LOW} or v < 25")
-    out["bitmap_not"] = (k(lambda t: unpacked(selection.bitmap_not(selection.bitmaps(t, b), t))), "select record_index as position from keys where not v < 25")
-    out["count_selected"] = (k(lambda t: selection.count(t, b)), "select count(*) as n from keys where v < 25")
-    out["bitmap_count"] = (k(lambda t: selection.bitmap_count(selection.bitmaps(t, b))), "select count(*) as n from keys where v < 25")
+    out["bitmap_and"] = (k(lambda t: unpacked(selection.bitmap_and(selection.bitmaps(t, a()), selection.bitmaps(t, b())))), f"select record_index as position from keys where pi >= {LOW} and v < 25")
+    out["bitmap_or"] = (k(lambda t: unpacked(selection.bitmap_or(selection.bitmaps(t, a()), selection.bitmaps(t, b())))), f"select record_index as position from keys where pi >= {LOW} or v < 25")
+    out["bitmap_not"] = (k(lambda t: unpacked(selection.bitmap_not(selection.bitmaps(t, b()), t))), "select record_index as position from keys where not v < 25")
+    out["count_selected"] = (k(lambda t: selection.count(t, b())), "select count(*) as n from keys where v < 25")
+    out["bitmap_count"] = (k(lambda t: selection.bitmap_count(selection.bitmaps(t, b()))), "select count(*) as n from keys where v < 25")
     out["consume_bitmap"] = (
-        k(lambda t: t.join(unpacked(selection.bitmaps(t, b)), F.col("record_index") == F.col("position")).agg(F.sum("pi").alias("total"))),
+        k(lambda t: t.join(unpacked(selection.bitmaps(t, b())), F.col("record_index") == F.col("position")).agg(F.sum("pi").alias("total"))),
         "select sum(pi)::bigint as total from keys where v < 25",
     )
     out["consume_indices"] = (
-        k(lambda t: t.join(selection.positions(t, b).withColumnRenamed("record_index", "position"), F.col("record_index") == F.col("position"), "left_semi").agg(F.sum("pi").alias("total"))),
+        k(lambda t: t.join(selection.positions(t, b()).withColumnRenamed("record_index", "position"), F.col("record_index") == F.col("position"), "left_semi").agg(F.sum("pi").alias("total"))),
         "select sum(pi)::bigint as total from keys where v < 25",
     )
 
     j = lambda f: lambda s, d: f(keys(s, d), build(s, d))
     hit = "fk in (select key from build)"
     out["semijoin_flags"] = (j(lambda t, u: joins.semi_flags(t, u, "fk", "key").select("record_index", "sel")), f"select record_index, {hit} as sel from keys")
-    out["semijoin_flags_masked"] = (j(lambda t, u: joins.semi_flags(t, u, "fk", "key", prior).select("record_index", "sel")), f"select record_index, v < 40 and {hit} as sel from keys")
+    out["semijoin_flags_masked"] = (j(lambda t, u: joins.semi_flags(t, u, "fk", "key", prior()).select("record_index", "sel")), f"select record_index, v < 40 and {hit} as sel from keys")
     out["join_payload"] = (j(lambda t, u: joins.payload_join(t, u, "fk", "key").select("record_index", "payload")), "select record_index, payload from keys join build on fk = key")
-    out["join_payload_masked"] = (j(lambda t, u: joins.payload_join(t, u, "fk", "key", prior).select("record_index", "payload")), "select record_index, payload from keys join build on fk = key where v < 40")
+    out["join_payload_masked"] = (j(lambda t, u: joins.payload_join(t, u, "fk", "key", prior()).select("record_index", "payload")), "select record_index, payload from keys join build on fk = key where v < 40")
     out["join_index"] = (j(lambda t, u: joins.index_join(t, u, "fk", "key")), f"select record_index from keys where {hit}")
-    out["join_index_masked"] = (j(lambda t, u: joins.index_join(t, u, "fk", "key", prior)), f"select record_index from keys where v < 40 and {hit}")
+    out["join_index_masked"] = (j(lambda t, u: joins.index_join(t, u, "fk", "key", prior())), f"select record_index from keys where v < 40 and {hit}")
     out["join_index_payload"] = (j(lambda t, u: joins.index_payload_join(t, u, "fk", "key", "payload")), "select record_index, payload from keys join build on fk = key")
-    out["join_index_payload_masked"] = (j(lambda t, u: joins.index_payload_join(t, u, "fk", "key", "payload", prior)), "select record_index, payload from keys join build on fk = key where v < 40")
+    out["join_index_payload_masked"] = (j(lambda t, u: joins.index_payload_join(t, u, "fk", "key", "payload", prior())), "select record_index, payload from keys join build on fk = key where v < 40")
     out["hash_build"] = (lambda s, d: build(s, d), "select key, payload from build")
     out["hash_lookup"] = (
         lambda s, d: joins.lookup(views.sqb_b(s, d).select("b_k"), joins.unique_build(keys(s, d).where("v < 10"), "fk", "pi"), "b_k", "fk", "pi"),
@@ -100,7 +101,7 @@ def _entries() -> dict:
         f", places as (select c_custkey, {hashed} as h, row_number() over (partition by {hashed} order by c_custkey) as place from customer where (c_custkey * 53 + 7) % 100 < 25), chains as (select h, count(*) as n from places group by h) "
         f"select record_index, place is not null as hit, coalesce(ceil(place / 31), ceil(n / 31), 1)::bigint as buckets_visited, coalesce(place, n, 1) as compares from keys left join places on fk = c_custkey left join chains on ({integers.HASH_FACTOR}::hugeint * fk + {integers.HASH_OFFSET}) % 16 = chains.h",
     )
-    out["emit_values"] = (k(lambda t: emit.values(t, b, "record_index", "pi")), "select record_index, pi from keys where v < 25")
+    out["emit_values"] = (k(lambda t: emit.values(t, b(), "record_index", "pi")), "select record_index, pi from keys where v < 25")
     out["emit_payload"] = (
         lambda s, d: emit.payloads(keys(s, d), F.col("v") < 25, views.sqb_b(s, d).select("b_k", "b_10"), "fk", "b_k", "b_10"),
         "select record_index, c_custkey * 3 % 10 as payload from keys join customer on fk = c_custkey where v < 25",
@@ -117,39 +118,39 @@ def _entries() -> dict:
         k(lambda t: bits.planes(t, "v", 1).groupBy("plane").agg(F.sum(F.bitmap_count("bitmap")).alias("n")).withColumn("plane", F.col("plane").cast("long"))),
         "select plane, count(*) as n from keys, range(8) as r(plane) where (v >> (7 - plane)) & 1 = 1 group by plane",
     )
-    words = [F.col("record_index") * 8 + i for i in range(8)]
+    words = lambda: [F.col("record_index") * 8 + i for i in range(8)]
     out["byte_transpose"] = (
-        k(lambda t: t.select("record_index", *(x.alias(f"w{i}") for i, x in enumerate(bits.transpose8(words))))),
+        k(lambda t: t.select("record_index", *(x.alias(f"w{i}") for i, x in enumerate(bits.transpose8(words()))))),
         "select record_index, " + ", ".join(f"(case when w{i} >= 9223372036854775808 then w{i} - 18446744073709551616 else w{i} end)::bigint as w{i}" for i in range(8)) + " from (select record_index, "
         + ", ".join(" + ".join(f"(((record_index * 8 + {r}) >> {8 * (7 - i)}) & 255)::hugeint * {1 << (8 * (7 - r))}" for r in range(8)) + f" as w{i}" for i in range(8)) + " from keys)",
     )
-    x, y = F.col("record_index"), F.col("pi")
+    x, y = (lambda: F.col("record_index")), pi
     arithmetic = {
-        "and": (integers.bit_and(x, y, 2), "x & y"),
-        "or": (integers.bit_or(x, y, 2), "x | y"),
-        "xor": (integers.bit_xor(x, y, 2), "xor(x, y)"),
-        "nand": (integers.bit_nand(x, y, 2), "65535 - (x & y)"),
-        "nor": (integers.bit_nor(x, y, 2), "65535 - (x | y)"),
-        "xnor": (integers.bit_xnor(x, y, 2), "65535 - xor(x, y)"),
-        "add": (integers.add(x, y, 2), "(x + y) % 65536"),
-        "sub": (integers.sub(x, y, 2), "(x - y + 65536) % 65536"),
-        "mul": (integers.mul(x, y, 2), "(x * y) % 65536"),
-        "not": (integers.bit_not(x, 2), "65535 - x"),
-        "increment": (integers.increment(x, 2), "(x + 1) % 65536"),
-        "shift_left": (integers.shift_left(x, 3, 2), "(x * 8) % 65536"),
-        "shift_right": (integers.shift_right(x, 3, 2), "x // 8"),
-        "is_zero": (integers.is_zero(x, 2).cast("long"), "(x = 0)::bigint"),
-        "all_ones": (integers.all_ones(x, 2).cast("long"), "(x = 65535)::bigint"),
-        "majority": (integers.majority(x, y, F.col("v")), "(x & y) | (y & v) | (v & x)"),
-        "popcount": (integers.popcount(x).cast("long"), "bit_count(x)::bigint"),
-        "hash": (integers.bucket(x, 1024), f"(({integers.HASH_FACTOR}::hugeint * x + {integers.HASH_OFFSET}) % 1024)::bigint"),
+        "and": (lambda: integers.bit_and(x(), y(), 2), "x & y"),
+        "or": (lambda: integers.bit_or(x(), y(), 2), "x | y"),
+        "xor": (lambda: integers.bit_xor(x(), y(), 2), "xor(x, y)"),
+        "nand": (lambda: integers.bit_nand(x(), y(), 2), "65535 - (x & y)"),
+        "nor": (lambda: integers.bit_nor(x(), y(), 2), "65535 - (x | y)"),
+        "xnor": (lambda: integers.bit_xnor(x(), y(), 2), "65535 - xor(x, y)"),
+        "add": (lambda: integers.add(x(), y(), 2), "(x + y) % 65536"),
+        "sub": (lambda: integers.sub(x(), y(), 2), "(x - y + 65536) % 65536"),
+        "mul": (lambda: integers.mul(x(), y(), 2), "(x * y) % 65536"),
+        "not": (lambda: integers.bit_not(x(), 2), "65535 - x"),
+        "increment": (lambda: integers.increment(x(), 2), "(x + 1) % 65536"),
+        "shift_left": (lambda: integers.shift_left(x(), 3, 2), "(x * 8) % 65536"),
+        "shift_right": (lambda: integers.shift_right(x(), 3, 2), "x // 8"),
+        "is_zero": (lambda: integers.is_zero(x(), 2).cast("long"), "(x = 0)::bigint"),
+        "all_ones": (lambda: integers.all_ones(x(), 2).cast("long"), "(x = 65535)::bigint"),
+        "majority": (lambda: integers.majority(x(), y(), v()), "(x & y) | (y & v) | (v & x)"),
+        "popcount": (lambda: integers.popcount(x()).cast("long"), "bit_count(x)::bigint"),
+        "hash": (lambda: integers.bucket(x(), 1024), f"(({integers.HASH_FACTOR}::hugeint * x + {integers.HASH_OFFSET}) % 1024)::bigint"),
     }
     wrapped = ", keysx as (select record_index, record_index % 65536 as x, pi as y, v from keys) "
     for op in operators:
-        arithmetic[f"compare_{op}"] = (integers.compare_value(x, op, 500, 2), f"(x {operators[op]} 500)::bigint")
+        arithmetic[f"compare_{op}"] = (lambda op=op: integers.compare_value(x(), op, 500, 2), f"(x {operators[op]} 500)::bigint")
     for name, (column, sql) in arithmetic.items():
         out[f"integer_{name}"] = (
-            k(lambda t, column=column: t.withColumn("id", F.col("record_index")).withColumn("record_index", F.col("record_index") % 65536).select("id", column.alias("z"))),
+            k(lambda t, column=column: t.withColumn("id", F.col("record_index")).withColumn("record_index", F.col("record_index") % 65536).select("id", column().alias("z"))),
             wrapped + f"select record_index as id, {sql} as z from keysx",
         )
     return out

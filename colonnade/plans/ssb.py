@@ -93,7 +93,8 @@ def selection(spark: SparkSession, sf_dir: str, name: str, order: tuple[str, ...
         view, key, foreign, base = DIMENSIONS[d]
         predicate, columns = q.dimensions[d]
         build = view(spark, sf_dir).where(predicate).select(key, *columns)
-        build = build_side(build, parquet(spark, sf_dir, base) if base else None)
+        # a calendar has a row for each day and so stays small; other dimensions are measured
+        build = F.broadcast(build) if d == "date" else build_side(build, parquet(spark, sf_dir, base))
         rows = rows.join(build, F.col(foreign) == F.col(key), "inner" if columns else "left_semi")
         out += columns
     return rows.select(*sorted(out))

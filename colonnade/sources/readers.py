@@ -43,7 +43,7 @@ def write_records(df: DataFrame, path: str, widths: tuple[int, int] = (4, 4)) ->
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """(record_index, pi, data) from that text; raises if the count in its first line is not that of the records."""
-    lines = spark.read.text(path, wholetext=True).select(F.split(F.rtrim("value"), "\n").alias("lines"))
+    lines = spark.read.text(path, wholetext=True).select(F.split(F.regexp_replace("value", "\n+$", ""), "\n").alias("lines"))
     n = F.size("lines") - 1
     declared = F.try_element_at(F.split(F.element_at("lines", 1), "\t"), F.lit(3)).try_cast("int")
     checked = lines.where(F.assert_true(F.coalesce(declared == n, F.lit(False)), F.lit("not a record file, or its count is wrong")).isNull())
