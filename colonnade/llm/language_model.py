@@ -133,6 +133,25 @@ def _cuts(keys: np.ndarray, buckets: int) -> np.ndarray:
     return np.searchsorted((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1))
 
 
+def _summary(keys, counts, class_of, words, distinct, head_words: int) -> bytes:
+    """The most frequent keys with counts and classes, and of each class its words and distinct words."""
+    best = np.lexsort((keys, -counts))[:head_words]
+    best = best[counts[best] > 0]
+    return b"".join(x.tobytes() for x in (keys[best].astype(np.uint64), counts[best].astype(np.int64), class_of[best].astype(np.int64), words.astype(np.int64), distinct.astype(np.int64)))
+
+
+def _parsed(data: bytes, classes: int) -> list[np.ndarray]:
+    x = np.frombuffer(data, np.int64)
+    n = (len(x) - 2 * classes) // 3
+    return [x[:n].view(np.uint64), x[n : 2 * n], x[2 * n : 3 * n], x[3 * n : 3 * n + classes], x[3 * n + classes :]]
+
+
+def _merged(parts: list[bytes], classes: int, head_words: int) -> bytes:
+    """One summary of several over different keys."""
+    each = [_parsed(p, classes) for p in parts] or [_parsed(bytes(16 * classes), classes)]
+    return _summary(*(np.concatenate([e[i] for e in each]) for i in range(3)), sum(e[3] for e in each), sum(e[4] for e in each), head_words)
+
+
 def language_scores(documents: DataFrame, head_words: int = 2048, classes: int = 256, **training) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each document (doc_id, text)."""
     spark = documents.sparkSession
@@ -159,9 +178,7 @@ def language_scores(documents: DataFrame, head_words: int = 2048, classes: int =
             rows.append(("answer", block, t.column("bucket")[0].as_py(), 0, sums[place[start : start + len(x)]].astype("<u4").tobytes()))
             start += len(x)
         words, distinct = np.bincount(class_of, sums, classes).astype(np.int64), np.bincount(class_of, sums > 0, classes).astype(np.int64)
-        rows += [("class", c, int(words[c]), int(distinct[c]), None) for c in np.flatnonzero(distinct).tolist()]
-        best = np.lexsort((keys, -sums))[:head_words]
-        rows += [("head", int(keys[i].view(np.int64)), int(sums[i]), int(class_of[i]), None) for i in best if sums[i]]
+        rows.append(("summary", t.column("bucket")[0].as_py(), 0, 0, _summary(keys, sums, class_of, words, distinct, head_words)))
         return pa.table([pa.array(c, k) for c, k in zip(zip(*rows), (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["kind", "a", "b", "c", "data"])
 
     sent = blocks.groupBy("block").applyInArrow(send, "bucket int, block long, keys binary, counts binary, classes binary")
@@ -169,14 +186,17 @@ def language_scores(documents: DataFrame, head_words: int = 2048, classes: int =
         sent.groupBy("bucket").applyInArrow(total, "kind string, a long, b long, c long, data binary").write.partitionBy("kind").parquet(counted)
     told = spark.read.schema("a long, b long, c long, data binary, kind string").parquet(counted)
     ends = docs.where(F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(10)) != 0).count()
-    in_class = np.zeros((2, classes), np.float64)
-    for c, words, distinct in told.where("kind = 'class'").groupBy("a").agg(F.sum("b"), F.sum("c")).collect():  # a row for each class
-        in_class[:, c] = words, distinct
-    n_tokens, n_distinct = int(in_class[0].sum()) + ends, int(in_class[1].sum()) + (ends > 0)
-    head = told.where("kind = 'head'").orderBy(F.col("b").desc(), "a").limit(head_words).select("a", "b", "c").collect()
-    for _, words, c in head:
-        in_class[:, c] -= words, 1
-    symbols = Symbols(np.array([r[0] for r in head], np.int64).view(np.uint64), classes)
+    def merge(t: pa.Table) -> pa.Table:
+        return pa.table([pa.array([_merged(t.column("data").to_pylist(), classes, head_words)], pa.binary())], names=["data"])
+
+    # summaries are of bounded size, and the driver gets 16 of them, however many buckets there are
+    summaries = told.where("kind = 'summary'").select((F.col("a") % 16).alias("part"), "data").groupBy("part").applyInArrow(merge, "data binary").collect()
+    head, counts, class_of, words, distinct = _parsed(_merged([r.data for r in summaries], classes, head_words), classes)
+    n_tokens, n_distinct = int(words.sum()) + ends, int(distinct.sum()) + (ends > 0)
+    in_class = np.stack([words, distinct]).astype(np.float64)
+    np.subtract.at(in_class[0], class_of, counts)
+    np.subtract.at(in_class[1], class_of, 1)
+    symbols = Symbols(head, classes)
     sym_shared = spark.sparkContext.broadcast(symbols)
     size = symbols.size
     rows_each = max(1, -(-size // 32))
