@@ -1,10 +1,10 @@
 """Near-duplicate vectors by spherical k-means cells and blocked cosine products.
 
 Centroids are fitted on a bounded sample; then every vector is assigned to the cell of its best centroid and visits each other cell
-whose boundary is near: with home h, cell c is visited if x.(h - c) <= margin |h - c|, for the unit vector x. A vector y within the
-angle t of x lies beyond that boundary only if (y - x).(c - h) makes up for the difference. With margin = sin t no link is ever lost;
-the default takes 3 sin t / sqrt(dimension) if that is less, three standard deviations of a step in a random direction, and the recall of
-that is measured in the tests. A pair is found if one of the two visits the home of the other, and counts in one cell only.
+whose boundary is near: with home h, cell c is visited if x.(h - c) <= margin |h - c|, for the unit vector x. A pair is found if one of the two
+visits the home of the other, so a pair is lost only if they lie on either side of a boundary, each more than the margin away. Their chord then is over
+twice the margin: with half the chord of the threshold's angle as margin no link is ever lost. The default is 3 / sqrt(dimension) of
+that if it is less, three standard deviations of a step in a random direction; the recall of that is measured in the tests. A pair counts in one cell only.
 
 Equal vectors are one vector with a count. Cells of over block vectors are cut into blocks, each pair of blocks being a task's work; a
 cell returns counts and a spanning forest, never its pairs. Centroids are broadcast: max_cells vectors at most.
@@ -33,9 +33,10 @@ def fit_cells(sample: np.ndarray, k: int, rounds: int = 12, seed: int = 5) -> np
     rng = np.random.default_rng(seed)
     centres = sample[rng.choice(len(sample), min(k, len(sample)), replace=False)].copy()
     for _ in range(rounds):
-        scores = sample @ centres.T
-        home = scores.argmax(axis=1)
-        best = scores[np.arange(len(sample)), home]
+        home, best = np.empty(len(sample), np.int64), np.empty(len(sample))
+        for a in range(0, len(sample), 4096):
+            scores = sample[a : a + 4096] @ centres.T
+            home[a : a + 4096], best[a : a + 4096] = scores.argmax(axis=1), scores.max(axis=1)
         sums = np.zeros_like(centres)
         np.add.at(sums, home, sample)
         for c in np.flatnonzero(np.bincount(home, minlength=len(centres)) == 0):
@@ -85,7 +86,7 @@ def compare(ids, counts, x, own, cell: int, centres: np.ndarray, gaps: np.ndarra
     return links, labels
 
 
-def near_vectors(table: DataFrame, threshold: float = 0.93, cell_size: int = 1000, max_cells: int = 1024, sample_rows: int = 50_000, block: int = 4096, margin: float | None = None, seed: int = 5) -> DataFrame:
+def near_vectors(table: DataFrame, threshold: float = 0.93, cell_size: int = 1000, max_cells: int = 1024, sample_rows: int = 20_000, block: int = 4096, margin: float | None = None, seed: int = 5) -> DataFrame:
     """vec_id, n_links, component_id, kept of each row (vec_id, embedding, label). sample_rows bounds what the centroids are fitted on."""
     spark = table.sparkSession
     rows = only(table, "vec_id", "embedding", "label")
@@ -108,8 +109,7 @@ def near_vectors(table: DataFrame, threshold: float = 0.93, cell_size: int = 100
     sample /= np.linalg.norm(sample, axis=1, keepdims=True)
     centres = fit_cells(sample, max(1, min(max_cells, math.ceil(total / cell_size))), seed=seed) if len(sample) else np.eye(1, dim)
     if margin is None:
-        sine = math.sqrt(max(0.0, 1 - threshold * threshold))
-        margin = min(sine, 3 * sine / math.sqrt(dim))
+        margin = math.sqrt(max(0.0, (1 - threshold) / 2)) * min(1.0, 3 / math.sqrt(dim))
     shared = spark.sparkContext.broadcast((centres, boundaries(centres)))
 
     def place(batches):
