@@ -75,8 +75,11 @@ class _Element:
             own -= STRONG
         if attributes and "=" in attributes or "hidden" in attributes:
             own += self._named(attributes)
-        # what is boilerplate stays so inside, whatever its parts are called
-        self.odds = min(self.odds + own, self.odds) if self.odds <= -STRONG / 2 else self.odds + own
+        # what is boilerplate stays so inside, whatever its parts are called, and outweighs the content around it
+        if own <= -STRONG / 2 or self.odds <= -STRONG / 2:
+            self.odds = min(self.odds, 0.0) + min(own, 0.0)
+        else:
+            self.odds += own
 
     def _named(self, attributes: str) -> float:
         own = 0.0
@@ -203,32 +206,34 @@ def minimum_cut(gain: list[int], links: list[tuple[int, int, int]]) -> list[bool
         near[j].append(len(to))
         to.append(i)
         room.append(c)
-    while True:
-        via, order = [-2] * n, [i for i in range(n) if left[i] > 0]
-        for i in order:
-            via[i] = -1
-        sink = -1
-        for i in order:
-            if left[i] < 0:
-                sink = i
+    content = [False] * n
+    for s in range(n):
+        while left[s] > 0 and not content[s]:
+            via, order, sink = {s: -1}, [s], -1
+            for i in order:
+                if left[i] < 0:
+                    sink = i
+                    break
+                for e in near[i]:
+                    j = to[e]
+                    if room[e] and j not in via and not content[j]:
+                        via[j] = e
+                        order.append(j)
+            if sink < 0:  # no way to the sink: these nodes are on the source's side, and no later flow can leave them
+                for i in order:
+                    content[i] = True
                 break
-            for e in near[i]:
-                j = to[e]
-                if room[e] and via[j] == -2:
-                    via[j] = e
-                    order.append(j)
-        if sink < 0:
-            return [v != -2 for v in via]
-        path, i = [], sink
-        while via[i] >= 0:
-            path.append(via[i])
-            i = to[via[i] ^ 1]
-        flow = min(left[i], -left[sink], *(room[e] for e in path))
-        for e in path:
-            room[e] -= flow
-            room[e ^ 1] += flow
-        left[i] -= flow
-        left[sink] += flow
+            path, i = [], sink
+            while i != s:
+                path.append(via[i])
+                i = to[via[i] ^ 1]
+            flow = min(left[s], -left[sink], *(room[e] for e in path))
+            for e in path:
+                room[e] -= flow
+                room[e ^ 1] += flow
+            left[s] -= flow
+            left[sink] += flow
+    return content
 
 
 def _capacity(x: float) -> float:
