@@ -133,7 +133,7 @@ class PieceEncoder:
         k = np.array(ids, np.int64)
         sizes = self.sizes[k]
         if (k == self.unknown).any():  # only the library knows how much of the text an unknown piece covers
-            sizes = np.array([len(p.piece.encode()) for p in self.library.encode(text, out_type="immutable_proto").pieces], np.int64)
+            sizes = np.array([len(p.piece.encode()) for p in self.library.encode(text, return_type="proto").pieces], np.int64)
         normal, source = self.normalise(text)
         ends = np.cumsum(sizes)
         if len(ends) and ends[-1] != len(normal):
