@@ -138,6 +138,16 @@ class WindowIndex:
         self.levels: list[list[str]] = [[]]
         self.made = 0
 
+    def state(self) -> dict:
+        """What a later session needs to open the index again."""
+        return {k: getattr(self, k) for k in ("folder", "buckets", "window", "fan_in", "levels", "made")}
+
+    @staticmethod
+    def restore(spark: SparkSession, state: dict) -> WindowIndex:
+        out = WindowIndex(spark, state["folder"], state["buckets"], state["window"], state["fan_in"])
+        out.levels, out.made = [list(x) for x in state["levels"]], state["made"]
+        return out
+
     def runs(self) -> list[str]:
         return [r for level in self.levels for r in level]
 
@@ -238,24 +248,31 @@ def cut(text: str, gone: np.ndarray) -> str:
     return "".join([*out, text[start:]])
 
 
-def _marked(documents: DataFrame, given: list[str], made: str, result: Callable, batches: int, window: int) -> DataFrame:
-    """Runs the batches through an index, then result(text, words, gone) in the blocks; rows of given columns, then made."""
+def _marked(documents: DataFrame, given: list[str], made: str, result: Callable, batches: int, window: int, index: WindowIndex | None) -> DataFrame:
+    """Runs the batches through an index, then result(text, words, gone) in the blocks; rows of given columns, then made.
+
+    An index that is given is kept, with these documents added; its window counts. Else one is made and removed.
+    """
     spark = documents.sparkSession
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ids = documents.select(F.col("doc_id").cast("double").alias("d")).where("d is not null")
-    cuts = sorted(set(ids.approxQuantile("d", [k / batches for k in range(1, batches)], 0.01) or []))
+    shares = [k / batches for k in range(1, batches)]
+    cuts = documents.agg(F.percentile_approx("doc_id", shares, 1000)).first()[0] if shares else None
+    cuts = sorted(set(cuts or []))
     batch = sum((F.when(F.col("doc_id") > F.lit(c), 1).otherwise(0) for c in cuts), F.lit(0))
     blocks = documents.withColumn("block", batch.cast("long") * n + F.pmod(F.xxhash64("doc_id"), F.lit(n)))
-    index, answers = WindowIndex(spark, new_path(spark, "windows"), n, window), []
+    keep, answers = index is not None, []
+    index = index or WindowIndex(spark, new_path(spark, "windows"), n, window)
+    window = index.window
     for k in range(len(cuts) + 1):
         within = [F.col("doc_id").isNotNull()] + ([F.col("doc_id") > F.lit(cuts[k - 1])] if k else []) + ([F.col("doc_id") <= F.lit(cuts[k])] if k < len(cuts) else [])
         part = blocks
         for c in within:
             part = part.where(c)
         answers.append(index.add(part.select("block", "doc_id", "text")))
-        if k < len(cuts):
+        if keep or k < len(cuts):
             index.compact()
-    index.remove()
+    if not keep:
+        index.remove()
     schema = f"bucket int, block long, {PACKED}, kind string"
     told = None
     for path in answers:
@@ -298,9 +315,12 @@ def _digest(text, words: list[bytes], gone: np.ndarray) -> tuple:
     return len(words), int(gone.sum()), hashlib.sha256(b" ".join(kept)).hexdigest()
 
 
-def report(documents: DataFrame, window: int = WINDOW, batches: int = 4) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by one space) of each document (doc_id, text)."""
-    out = _marked(only(documents, "doc_id", "text"), ["doc_id"], "n_words long, n_removed long, kept_sha256 string", _digest, batches, window)
+def report(documents: DataFrame, window: int = WINDOW, batches: int = 4, index: WindowIndex | None = None) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by one space) of each document (doc_id, text).
+
+    With an index of earlier documents, all of lower doc_id, their windows count too, and these documents' are added.
+    """
+    out = _marked(only(documents, "doc_id", "text"), ["doc_id"], "n_words long, n_removed long, kept_sha256 string", _digest, batches, window, index)
     return out.withColumnRenamed("g0", "doc_id")
 
 
@@ -308,12 +328,12 @@ def _cut(text, words: list[bytes], gone: np.ndarray) -> tuple:
     return (cut(text, gone) if gone.any() else text,)
 
 
-def dedup(documents: DataFrame, window: int = WINDOW, batches: int = 4) -> DataFrame:
+def dedup(documents: DataFrame, window: int = WINDOW, batches: int = 4, index: WindowIndex | None = None) -> DataFrame:
     """The documents with all their columns; text loses the words that the report counts, and n_chars, where there is one, is set anew."""
     names = documents.columns
     rest = [c for c in names if c != "text"]
     inner = documents.select(documents["`doc_id`"], documents["`text`"], *(documents[f"`{c}`"].alias(f"x{i}") for i, c in enumerate(rest)))
-    out = _marked(inner, [f"x{i}" for i in range(len(rest))], "kept string", _cut, batches, window)
+    out = _marked(inner, [f"x{i}" for i in range(len(rest))], "kept string", _cut, batches, window, index)
     columns = {c: F.col(f"g{i}") for i, c in enumerate(rest)} | {"text": F.col("kept")}
     if "n_chars" in columns:
         columns["n_chars"] = F.length("kept").cast(documents.schema["n_chars"].dataType)

@@ -169,6 +169,20 @@ def test_substring_dedup_keeps_columns(spark, docs):
         assert r.text is None or r.n_chars == len(r.text)
 
 
+def test_substring_index_takes_new_batches(spark, docs, tmp_path):
+    import json
+
+    index = substring.WindowIndex(spark, f"file://{tmp_path}/index", 4)
+    got = collections.Counter()
+    parts = [[r for r in docs if r[0] is not None and a <= r[0] < b] for a, b in ((0, 40), (40, 65), (65, 110), (110, 999))]
+    for part in parts:
+        out = substring.report(frame(spark, part), batches=1, index=index)
+        got.update(map(tuple, out.select("doc_id", "n_words", "n_removed").collect()))
+        index = substring.WindowIndex.restore(spark, json.loads(json.dumps(index.state())))
+    assert got == collections.Counter((d, len(w), sum(gone)) for d, _, w, gone in marked(docs) if d is not None)
+    assert [len(x) for x in index.levels] == [0, 0, 1]
+
+
 def test_substring_index_finds_equal_hashes_apart():
     main, second = np.array([5, 5, 7, 7, 9], np.uint64), np.array([1, 2, 1, 1, 3], np.uint16)
     m, s, d = substring.first_of_each(main, second, np.array([4, 3, 9, 2, 1]))
