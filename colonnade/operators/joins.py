@@ -20,7 +20,8 @@ def size_in_bytes(df: DataFrame) -> int:
 
 def build_side(build: DataFrame, base: DataFrame | None = None, limit: int = BROADCAST_BYTES) -> DataFrame:
     """build, hinted for broadcast if it, or the base whose rows it is drawn from, is within limit."""
-    return F.broadcast(build) if min(size_in_bytes(build), size_in_bytes(base) if base is not None else 1 << 62) <= limit else build
+    small = (base is not None and size_in_bytes(base) <= limit) or size_in_bytes(build) <= limit
+    return F.broadcast(build) if small else build
 
 
 def unique_build(df: DataFrame, key: str, *payload: str, order: str = "record_index", check: bool = False) -> DataFrame:

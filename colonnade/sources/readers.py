@@ -7,11 +7,13 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colonnade.sources.schema import SSB
+from colonnade.sources.schema import SSB, TABLES
 
 
 def parquet(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table by name; with a known schema no file is opened before the query runs."""
+    reader = spark.read.schema(TABLES[name]) if name in TABLES else spark.read
+    return reader.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def tbl(spark: SparkSession, path: str, name: str) -> DataFrame:

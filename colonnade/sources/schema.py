@@ -9,7 +9,7 @@ UNSIGNED = {1: T.ShortType(), 2: T.IntegerType(), 3: T.IntegerType(), 4: T.LongT
 
 
 def _struct(spec: str) -> T.StructType:
-    kinds = {"i": T.IntegerType(), "l": T.LongType(), "s": T.StringType(), "b": T.BooleanType()}
+    kinds = {"i": T.IntegerType(), "l": T.LongType(), "s": T.StringType(), "b": T.BooleanType(), "d": T.DoubleType(), "t": T.TimestampNTZType()}
     return T.StructType([T.StructField(n, kinds[k]) for n, k in (f.split(":") for f in spec.split())])
 
 
@@ -30,6 +30,18 @@ SSB = {
 
 SQB = {"a": _struct("a_k:l a_b_k:l a_10:i a_100:i"), "b": _struct("b_k:l b_10:i b_100:i")}
 
+#: The TPC-H-like tables that the suites' views are made from.
+TABLES = {
+    "region": _struct("r_regionkey:i r_name:s"),
+    "nation": _struct("n_nationkey:i n_name:s n_regionkey:i"),
+    "customer": _struct("c_custkey:l c_name:s c_nationkey:i c_acctbal:d c_mktsegment:s"),
+    "supplier": _struct("s_suppkey:l s_name:s s_nationkey:i s_acctbal:d"),
+    "part": _struct("p_partkey:l p_name:s p_brand:s p_type:s p_size:i p_retailprice:d"),
+    "orders": _struct("o_orderkey:l o_custkey:l o_orderstatus:s o_totalprice:d o_orderdate:t o_orderpriority:s"),
+    "lineitem": _struct("l_orderkey:l l_partkey:l l_suppkey:l l_linenumber:i l_quantity:d l_extendedprice:d l_discount:d l_tax:d l_returnflag:s l_linestatus:s l_shipdate:t"),
+    "events": _struct("event_id:l ts:t user_id:l event_type:s value:d props:s"),
+}
+
 # The names of the star schema's regions and nations, in the order of their codes.
 REGIONS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
 NATIONS = [
