@@ -115,13 +115,15 @@ def beta_priors(hosts: DataFrame) -> list[tuple[float, float]]:
     return out
 
 
-def verdicts(rows: DataFrame, max_host_rate: float = 0.5) -> DataFrame:
-    """rows with host_ok: false where the document's host is rejected."""
-    hosts = host_rates(rows)
+def host_verdicts(hosts: DataFrame, max_host_rate: float = 0.5) -> DataFrame:
+    """of_host, host_ok: false for a host that is rejected. hosts, a row for each, is read twice."""
     priors = beta_priors(hosts)
     rates = [(F.col(f"f{i}") + F.lit(a)) / (F.col("n") + F.lit(a + b)) for i, (a, b) in enumerate(priors)]
-    hosts = hosts.select(F.col("host").alias("of_host"), (F.greatest(*rates) <= max_host_rate).alias("host_ok"))
-    return rows.join(hosts, rows["host"].eqNullSafe(hosts["of_host"])).drop("of_host")
+    return hosts.select(F.col("host").alias("of_host"), (F.greatest(*rates) <= max_host_rate).alias("host_ok"))
+
+
+def with_verdicts(rows: DataFrame, verdicts: DataFrame) -> DataFrame:
+    return rows.join(verdicts, rows["host"].eqNullSafe(verdicts["of_host"])).drop("of_host")
 
 
 BASE_FAILED = f"({RULES['few_words']}) or ({RULES['repetition']})"
@@ -130,27 +132,31 @@ BASE_FAILED = f"({RULES['few_words']}) or ({RULES['repetition']})"
 def quality_report(documents: DataFrame, host: str = "source", max_host_rate: float = 0.5) -> DataFrame:
     """doc_id, the counts, base_failed and kept of each document (doc_id, text, host)."""
     rows = materialise(judged(only(documents, *dict.fromkeys(["doc_id", "text", host])), host).withColumn("given", F.struct("given.c0")), "quality")
-    out = verdicts(rows, max_host_rate).withColumn("base_failed", F.expr(BASE_FAILED))
+    out = with_verdicts(rows, host_verdicts(host_rates(rows), max_host_rate)).withColumn("base_failed", F.expr(BASE_FAILED))
     return out.select(F.col("given.c0").alias("doc_id"), *COUNTS, "base_failed", (~F.col("base_failed") & F.col("host_ok")).alias("kept"))
 
 
 def quality_filter(documents: DataFrame, host: str = "source", max_host_rate: float = 0.5) -> DataFrame:
-    """The documents, with all their columns, that quality_report would keep."""
-    rows = materialise(judged(documents, host), "quality")
-    kept = verdicts(rows, max_host_rate).where(~F.expr(BASE_FAILED) & F.col("host_ok"))
-    return kept.select("given.*").toDF(*documents.columns)
+    """The documents, with all their columns, that quality_report would keep.
+
+    The texts are read twice, for the hosts' rates and for the documents' own rules, rather than stored in between.
+    """
+    hosts = materialise(host_rates(judged(only(documents, *dict.fromkeys(["text", host])), host)), "hosts")
+    kept = judged(documents, host).where(~F.expr(BASE_FAILED))
+    return with_verdicts(kept, host_verdicts(hosts, max_host_rate)).where("host_ok").select("given.*").toDF(*documents.columns)
 
 
 REPORT_SQL = r"""
 with texts as (select row_number() over () as r, doc_id, source, coalesce(text, '') as t from documents),
-split as (select r, doc_id, source, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as w,
-    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as l from texts),
+split as (select r, doc_id, source, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as w from texts),
+lines as (select r, unnest(string_split(t, chr(10))) as x from texts),
+line_counts as (select r, count(*) as n_lines, count(*) - count(distinct x) as n_dup from lines where regexp_matches(x, '[^\x20\x09-\x0D]') group by r),
 starts as (select r, w, unnest(range(1, len(w) - 6)) as i from split where len(w) >= 8),
 windows as (select r, i, count(*) over (partition by r, array_to_string(list_slice(w, i, i + 7), ' ')) as c from starts),
 covered as (select r, count(distinct i + k) as n from windows, range(8) as s(k) where c > 1 group by r),
 counts as (select r, doc_id, source, len(w)::bigint as n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::bigint as word_chars,
-    length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols, (len(l) - len(list_distinct(l)))::bigint as n_dup_lines,
-    coalesce(n, 0)::bigint as n_repeat_words, len(l)::bigint as n_lines from split left join covered using (r)),
+    length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols, coalesce(n_dup, 0)::bigint as n_dup_lines,
+    coalesce(n, 0)::bigint as n_repeat_words, coalesce(n_lines, 0)::bigint as n_lines from split left join covered using (r) left join line_counts using (r)),
 rules as (select *, unnest([n_words < 20, 100 * n_repeat_words > 30 * n_words, 10 * n_symbols > 3 * n_words, 10 * n_dup_lines > 3 * n_lines,
     n_words > 0 and (word_chars < 2 * n_words or word_chars > 20 * n_words)]) as failed, unnest(range(5)) as k from counts),
 hosts as (select source, k, count(*)::double as n, sum(failed::int)::double as f from rules group by source, k),
