@@ -71,22 +71,24 @@ def drop(df_or_path, spark: SparkSession | None = None) -> None:
         hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
-def rows_in_blocks(batches: Iterator[pa.RecordBatch], max_chars: int = 400_000, text_at: int = -1) -> Iterator[tuple[list[list], list[str]]]:
-    """Splits record batches into blocks of at most max_chars characters (a longer text is a block of its own).
-
-    Yields the other columns as lists, and the texts with null as ''.
-    """
+def arrow_blocks(batches: Iterator[pa.RecordBatch], max_bytes: int = 4_000_000, text_at: int = -1) -> Iterator[pa.RecordBatch]:
+    """Slices of record batches with at most max_bytes of text each; a longer text is a block of its own."""
     for batch in batches:
-        columns = [c for i, c in enumerate(batch.columns) if i != text_at % batch.num_columns]
-        texts = batch.column(text_at % batch.num_columns)
         start = n = 0
-        sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
-        for i, size in enumerate([*sizes, None]):
-            if size is None or (n and n + size > max_chars):
-                if i > start:
-                    yield [c.slice(start, i - start).to_pylist() for c in columns], [t or "" for t in texts.slice(start, i - start).to_pylist()]
+        for i, size in enumerate(pc.fill_null(pc.binary_length(batch.column(text_at % batch.num_columns)), 0).to_pylist()):
+            if i > start and n + size > max_bytes:
+                yield batch.slice(start, i - start)
                 start, n = i, 0
-            n += size or 0
+            n += size
+        if batch.num_rows > start:
+            yield batch.slice(start)
+
+
+def rows_in_blocks(batches: Iterator[pa.RecordBatch], max_bytes: int = 400_000, text_at: int = -1) -> Iterator[tuple[list[list], list[str]]]:
+    """The same blocks as Python lists: the other columns, and the texts with null as ''."""
+    for block in arrow_blocks(batches, max_bytes, text_at):
+        at = text_at % block.num_columns
+        yield [c.to_pylist() for i, c in enumerate(block.columns) if i != at], [t or "" for t in block.column(at).to_pylist()]
 
 
 def only(df: DataFrame, *names: str) -> DataFrame:

@@ -20,16 +20,26 @@ from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colonnade.llm.common import new_path, only, rows_in_blocks
+from colonnade.llm.common import arrow_blocks, new_path, only
 
-#: Encoded pieces of text that a worker keeps; the store is emptied when full, which changes speed alone.
+#: Encoded pieces of text that a worker keeps; the store is emptied when full, which bounds memory and changes speed alone.
 CACHED_UNITS = 1_500_000
 
 
+def _visible(c: str) -> bool:
+    return c.isalnum() or "!" <= c <= "~"
+
+
+def _plain(word: str) -> bool:
+    """Whether a space before the word, and one after it, are sure to be cuts."""
+    return bool(word) and _visible(word[0]) and _visible(word[-1])
+
+
 class UnitEncoder:
     """Ids of texts by a byte-level BPE file, by encoding each distinct unit of text once.
 
@@ -48,66 +58,79 @@ class UnitEncoder:
         self.opens = np.zeros(size, bool)
         for token, i in self.library.get_vocab().items():
             self.opens[i] = token.startswith("Ġ")
-        self.clear()
-
-    def clear(self) -> None:
-        self.at: dict[str, int] = {}
-        self.pool = np.empty(1 << 20, self.dtype)
-        self.bounds: list[int] = [0]
-
-    def _keep(self, units: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
-        base, n = self.bounds[-1], len(ids)
-        while base + n > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.empty_like(self.pool)])
-        self.pool[base : base + n] = ids
-        k = len(self.bounds) - 1
-        self.at.update(zip(units, range(k, k + len(units))))
-        self.bounds.extend((ends + base).tolist())
-
-    def _learn(self, units: list[str]) -> None:
-        plain = [u for u in units if u[:1] == " " and " " not in u[1:]]
-        for i in range(0, len(plain), 4096):
-            part = plain[i : i + 4096]
-            ids = np.array(self.library.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, self.dtype)
+        #: Ids, as bytes, of a word after a single space.
+        self.word: dict[str, bytes] = {}
+
+    def _learn(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct plain words as they are after a space; they are kept."""
+        out: list[bytes] = []
+        for i in range(0, len(words), 512):
+            part = words[i : i + 512]
+            ids = np.array(self.library.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, self.dtype)
             starts = np.flatnonzero(self.opens[ids])
             if len(starts) == len(part) and starts[0] == 0:
-                self._keep(part, ids, np.append(starts[1:], len(ids)))
-            else:
-                self._each(part)
-        rest = [u for u in units if not (u[:1] == " " and " " not in u[1:])]
-        for i in range(0, len(rest), 512):
-            self._each(rest[i : i + 512])
-
-    def _each(self, units: list[str]) -> None:
-        got = [e.ids for e in self.library.encode_batch_fast(units, add_special_tokens=False)]
-        self._keep(units, np.array([x for ids in got for x in ids], self.dtype), np.cumsum([len(ids) for ids in got], dtype=np.int64))
-
-    @staticmethod
-    def units(text: str) -> list[str]:
-        parts = text.split(" ")
-        out = [parts[0]]
-        for p in parts[1:]:
-            a, b = out[-1][-1:], p[:1]
-            if (a.isalnum() or "!" <= a <= "~") and (b.isalnum() or "!" <= b <= "~"):
-                out.append(" " + p)
+                raw, cuts = ids.tobytes(), (np.append(starts, len(ids)) * self.dtype.itemsize).tolist()
+                out += [raw[a:b] for a, b in zip(cuts, cuts[1:])]
             else:
-                out[-1] += " " + p
+                out += self._each([" " + w for w in part])
+        self.word.update(zip(words, out))
         return out
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.at) > CACHED_UNITS:
-            self.clear()
-        each = [self.units(t) if t else [] for t in texts]
-        missing = {u for units in each for u in units if u not in self.at}
-        if missing:
-            self._learn(list(missing))
-        bounds, get = np.array(self.bounds, np.int64), self.at.__getitem__
-        out = []
-        for units in each:
-            k = np.fromiter(map(get, units), np.int64, len(units))
-            starts, sizes = bounds[k], bounds[k + 1] - bounds[k]
-            ends = np.cumsum(sizes)
-            out.append(self.pool[np.arange(ends[-1] if len(k) else 0) + np.repeat(starts - (ends - sizes), sizes)])
+    def _each(self, units: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.dtype).tobytes() for e in self.library.encode_batch_fast(units, add_special_tokens=False)]
+
+    def _odd(self, parts: list[str]) -> bytes:
+        """A text with spaces that may be no cuts: what stands around them stays one unit."""
+        units, was_visible = [], False
+        for k, p in enumerate(parts):
+            if k and was_visible and p and _visible(p[0]):
+                units.append(" " + p)
+            elif k:
+                units[-1] += " " + p
+            else:
+                units.append(p)
+            was_visible = bool(p) and _visible(p[-1])
+        return b"".join(self._each(units))
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each text; a null text has none. Arrow finds the distinct words, so Python handles each once a call."""
+        if len(self.word) > CACHED_UNITS:
+            self.word.clear()
+        parts = pc.split_pattern(pc.fill_null(texts, ""), " ")
+        cuts = parts.offsets.to_numpy().astype(np.int64)
+        flat = parts.flatten().dictionary_encode()
+        cuts -= cuts[0]
+        words, place = flat.dictionary.to_pylist(), flat.indices.to_numpy()
+        held = list(map(self.word.get, words))
+        gaps = [i for i, x in enumerate(held) if x is None]
+        odd = [i for i in gaps if not _plain(words[i])]  # texts with such words are encoded on their own, below
+        for i in odd:
+            held[i] = b""
+        gaps = [i for i in gaps if held[i] is None]
+        for i, x in zip(gaps, self._learn([words[i] for i in gaps])):
+            held[i] = x
+        opening = flat.dictionary.take(pa.array(place[cuts[:-1]])).to_pylist()
+        held += self._each(opening)
+        # held: ids of each distinct word, then of each text's first word, which no space precedes
+        size = self.dtype.itemsize
+        pool = np.frombuffer(b"".join(held), self.dtype)
+        sizes = np.fromiter(map(len, held), np.int64, len(held)) // size
+        starts = np.cumsum(sizes) - sizes
+        place = place.astype(np.int64)
+        strange = np.zeros(len(words), bool)
+        strange[odd] = True
+        inner = strange[place]
+        inner[cuts[:-1]] = False
+        alone = np.add.reduceat(inner, cuts[:-1]) > 0 if len(texts) else np.zeros(0, bool)
+        alone |= np.array([n > 1 and not (w and _visible(w[-1])) for w, n in zip(opening, np.diff(cuts))], bool)
+        place[cuts[:-1]] = len(words) + np.arange(len(texts))
+        n = sizes[place]
+        ends = np.cumsum(n)
+        ids = pool[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[place] - (ends - n), n)]
+        ends = np.concatenate([[0], ends])[cuts].tolist()
+        out = [ids[a:b] for a, b in zip(ends, ends[1:])]
+        for i in np.flatnonzero(alone).tolist():
+            out[i] = np.frombuffer(self._odd(texts[i].as_py().split(" ")), self.dtype)
         return out
 
 
@@ -202,10 +225,10 @@ def write_shards(documents: DataFrame, tokenizer: str, folder: str, end_id: int
 
         writer, enc, task = None, encoder(tokenizer), TaskContext.get()
         end = np.array([] if end_id is None else [end_id], enc.dtype)
-        for (doc_ids,), texts in rows_in_blocks(batches):
+        for block in arrow_blocks(batches):
             if writer is None:
                 writer = ShardWriter(folder, task.partitionId(), f"{task.taskAttemptId()}", enc.dtype, seq_len, rows_per_batch)
-            for d, ids in zip(doc_ids, enc.encode(texts)):
+            for d, ids in zip(block.column(0).to_pylist(), enc.encode(block.column(1))):
                 writer.add(d, np.concatenate([ids, end]))
         if writer is not None:
             writer.close()

@@ -71,10 +71,12 @@ def test_units_split_nothing_that_belongs_together(texts):
     path = registry.tokenizer_path("byte_bpe_50k.json")
     library, fast = Tokenizer.from_file(path), token_files.UnitEncoder(path)
     for _ in range(2):
-        for t, ids in zip(texts, fast.encode([t or "" for t in texts])):
+        for t, ids in zip(texts, fast.encode(pa.array(texts, pa.string()))):
             assert ids.tolist() == library.encode(t or "", add_special_tokens=False).ids, repr(t)
+    assert fast.encode(pa.array([], pa.string())) == []
+    assert [x.tolist() for x in fast.encode(pa.array(["no", "a b", None, "c  d"]).slice(1))] == [library.encode(t).ids for t in ("a b", "", "c  d")]
     fast.word.clear()
-    assert fast.encode(["hello world"])[0].tolist() == library.encode("hello world").ids
+    assert fast.encode(pa.array(["hello world"]))[0].tolist() == library.encode("hello world").ids
 
 
 def test_token_counts(spark, texts):
