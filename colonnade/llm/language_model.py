@@ -220,7 +220,8 @@ def language_scores(documents: DataFrame, head_words: int = 2048, classes: int =
             of = known.of(keys, tail_class([words[i] for i in first.tolist()], classes))[place]
             line = np.zeros(len(of) + len(sizes), np.int64)
             line[np.arange(len(of)) + np.repeat(np.arange(len(sizes)), sizes)] = of
-            held.append(np.concatenate([[0], line[:-1]]) * size + line)
+            before = np.concatenate([[0], line[:-1]])
+            held.append((before % 32 * rows_each + before // 32) * size + line)  # contexts are dealt over the parts in turn
             n_held += len(line)
             if n_held > 8_000_000:
                 yield flush()
@@ -237,7 +238,9 @@ def language_scores(documents: DataFrame, head_words: int = 2048, classes: int =
     pairs = np.zeros((32 * rows_each, size), np.float32)
     for part, data in sums.collect():  # 32 rows, of size^2 numbers in all
         pairs[part * rows_each : (part + 1) * rows_each] = np.frombuffer(data, "<f4").reshape(rows_each, size)
-    model = {"p": train(pairs[:size], **training), "symbols": symbols, "in_class": in_class}
+    context = np.arange(size)
+    pairs = pairs[context % 32 * rows_each + context // 32]
+    model = {"p": train(pairs, **training), "symbols": symbols, "in_class": in_class}
     del pairs
     drop(sums)
     shared, key = spark.sparkContext.broadcast(model), counted
