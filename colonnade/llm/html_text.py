@@ -51,6 +51,7 @@ SCOPE = frozenset("table ul ol dl body html article section div main aside nav h
 _TOKEN = re.compile(r"""<(?:!--.*?(?:-->|\Z)|!\[CDATA\[.*?(?:\]\]>|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>"'=]++|=\s*+(?:"[^"]*"|'[^']*')|["'=])*+)(?:>|\Z))""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
+_RIGHTS = re.compile(r"^©|all rights reserved", re.I)
 #: Log odds that the elements around a block add.
 STRONG = 8.0
 
@@ -75,6 +76,9 @@ class _Element:
             own -= STRONG
         if attributes and "=" in attributes or "hidden" in attributes:
             own += self._named(attributes)
+        if name in INLINE and own <= -STRONG / 2:  # a part of a line that says it is an advert, a button to share, or the like
+            self.skip = True
+            return
         # what is boilerplate stays so inside, whatever its parts are called, and outweighs the content around it
         if own <= -STRONG / 2 or self.odds <= -STRONG / 2:
             self.odds = min(self.odds, 0.0) + min(own, 0.0)
@@ -112,7 +116,8 @@ class Block:
         words = self.text.count(" ") + 1
         share = min(1.0, self.linked / n)
         shape = 0.5 if self.element.name in ("p", "h1", "h2", "h3", "blockquote", "pre") else -0.5 if self.element.name == "li" else 0.0
-        return self.element.odds + shape + min(1.5, (words - 6) / 12) - 3.0 * share
+        rights = 3.0 if _RIGHTS.search(self.text) else 0.0
+        return self.element.odds + shape + min(1.5, (words - 6) / 12) - 3.0 * share - rights
 
 
 def blocks_of(page: str) -> list[Block]:

@@ -182,6 +182,8 @@ def test_pages(spark):
     <footer>&copy; 2020 &middot; All rights</footer></body></html>"""
     want = ["The & title", "First paragraph goes on with bold <words> and more of them.", "As.", "Second with a link in it.", "point one of the list in the text", "point two of the list"]
     assert html_text.main_text(page) == "\n\n".join(want)
+    plain = "<body><div><h2>A heading</h2>The text of a page without an article, <span class='share-link'>Share it</span><em>all</em> in one block of its own.</div><div>© 2021 Some company</div>"
+    assert html_text.main_text(plain) == "A heading\n\nThe text of a page without an article, all in one block of its own."
     rows = [(1, "u", page), (2, None, None), (3, "v", ""), (None, "w", "just text"), (4, "x", "<p>open <b>bold"), (4, "x", "<p>open <b>bold"), (5, "y", "<" * 50 + "a b='"), (6, "z", "<div>" * 3000 + "deep text here")]
     df = spark.createDataFrame([(*r, "e") for r in rows], "page_id long, url string, html string, text string")
     got = collections.Counter(map(tuple, html_text.extract(df).collect()))
