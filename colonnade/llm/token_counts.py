@@ -1,6 +1,6 @@
 """Token counts of whole texts, with huge ones encoded in overlapping chunks.
 
-A text of up to chunk_chars characters is encoded whole. A longer one is encoded in chunks that overlap; both encodings of an
+A text of up to chunk_chars characters is encoded whole, or, where the library's tokens never span white space, by its distinct words. A longer one is encoded in chunks that overlap; both encodings of an
 overlap carry offsets. The chunks are spliced at a place where white space is followed by a visible character, where a
 token of both encodings begins, and where the guard tokens before and after it are the same in both: there the library's pre-tokenisation
 starts a new word whatever stands further off, so no token depends on what the other chunk lacks. Where an overlap has no such
@@ -16,10 +16,15 @@ from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from colonnade.llm.common import WHITE, only, rows_in_blocks
+from colonnade.llm.common import WHITE, arrow_blocks, only
+
+#: Words whose counts a worker keeps; the store is emptied when full, which bounds memory and changes speed alone.
+CACHED_WORDS = 1_500_000
 
 
 @lru_cache(maxsize=2)
@@ -83,22 +88,78 @@ def count_huge(library, text: str, chunk_chars: int, overlap: int, guard: int =
     return total + len(left) - bisect_left(left, (start, -1))
 
 
+class WordCounts:
+    """Token counts of texts for a library whose tokens never hold or span white space, by encoding each distinct word once.
+
+    Words to learn go to the library many at a time, with a special token of its own between them.
+    """
+
+    def __init__(self, library):
+        self.library = library
+        special = [(i, t.content) for i, t in library.get_added_tokens_decoder().items() if t.special]
+        self.mark, self.text = special[0] if special else (None, None)
+        self.known: dict[str, int] = {}
+
+    @staticmethod
+    def fits(library) -> bool:
+        """Whether words end in a suffix of their own, and white space leaves no token."""
+        return bool(getattr(library.model, "end_of_word_suffix", None)) and not library.encode(" \t\n\x0b\x0c\r a", add_special_tokens=False).ids[1:]
+
+    def _learn(self, words: list[str]) -> list[int]:
+        out: list[int] = []
+        for i in range(0, len(words), 512):
+            part = words[i : i + 512]
+            if self.text is not None and not any(self.text in w for w in part):
+                ids = np.array(self.library.encode_batch_fast([f" {self.text} ".join(part)], add_special_tokens=False)[0].ids)
+                at = np.flatnonzero(ids == self.mark)
+                if len(at) == len(part) - 1:
+                    out += (np.diff(np.concatenate([[-1], at, [len(ids)]])) - 1).tolist()
+                    continue
+            out += [len(e) for e in self.library.encode_batch_fast(part, add_special_tokens=False)]
+        self.known.update(zip(words, out))
+        return out
+
+    def counts(self, texts: pa.Array) -> np.ndarray:
+        if len(self.known) > CACHED_WORDS:
+            self.known.clear()
+        parts = pc.ascii_split_whitespace(texts)
+        cuts = parts.offsets.to_numpy().astype(np.int64)
+        flat = parts.flatten().dictionary_encode()
+        words = flat.dictionary.to_pylist()
+        held = list(map(self.known.get, words))
+        gaps = [i for i, x in enumerate(held) if x is None]
+        for i, x in zip(gaps, self._learn([words[i] for i in gaps])):
+            held[i] = x
+        n = np.array(held, np.int64)[flat.indices.to_numpy()]
+        return np.diff(np.concatenate([[0], np.cumsum(n)])[cuts - cuts[0]])
+
+
+@lru_cache(maxsize=2)
+def _words(path: str) -> WordCounts | None:
+    library = _load(path)
+    return WordCounts(library) if WordCounts.fits(library) else None
+
+
 def token_counts(documents: DataFrame, tokenizer: str, limit: int = 2048, chunk_chars: int = 16384, overlap: int = 512) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit) of each document (doc_id, text). No exchange."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         library = _load(tokenizer)
         pieces = tokenizer.endswith(".model")
-        for (doc_ids,), texts in rows_in_blocks(batches):
-            short = [t for t in texts if pieces or len(t) <= chunk_chars]
-            if pieces:
-                counts = iter([len(x) for x in library.encode(short, num_threads=1)])
+        words = None if pieces else _words(tokenizer)
+        for block in arrow_blocks(batches, 4_000_000 if words else 400_000):
+            texts = pc.fill_null(block.column(1), "")
+            huge = pc.greater(pc.utf8_length(texts), chunk_chars).to_numpy(zero_copy_only=False) & (not pieces)
+            n = np.zeros(len(texts), np.int64)
+            short = texts.filter(pa.array(~huge))
+            if words:
+                n[~huge] = words.counts(short)
+            elif pieces:
+                n[~huge] = [len(x) for x in library.encode(short.to_pylist(), num_threads=1)]
             else:
-                counts = iter([len(e) for e in library.encode_batch_fast(short, add_special_tokens=False)])
-            n = [next(counts) if pieces or len(t) <= chunk_chars else count_huge(library, t, chunk_chars, overlap) for t in texts]
-            yield pa.record_batch(
-                [pa.array(doc_ids, pa.int64()), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())],
-                names=["doc_id", "n_bytes", "n_tokens", "over_limit"],
-            )
+                n[~huge] = [len(e) for e in library.encode_batch_fast(short.to_pylist(), add_special_tokens=False)]
+            for i in np.flatnonzero(huge).tolist():
+                n[i] = count_huge(library, texts[i].as_py(), chunk_chars, overlap)
+            yield pa.record_batch([block.column(0), pc.binary_length(texts).cast(pa.int64()), pa.array(n), pa.array(n > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     return only(documents, "doc_id", "text").mapInArrow(count, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

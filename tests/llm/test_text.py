@@ -88,6 +88,11 @@ def test_token_counts(spark, texts):
     got = collections.Counter(map(tuple, token_counts.token_counts(df, path, chunk_chars=500, overlap=16).collect()))
     counts = [(d, len((t or "").encode()), len(library.encode(t or "", add_special_tokens=False))) for d, t in rows]
     assert got == collections.Counter((d, b, n, n > 2048) for d, b, n in counts)
+    assert collections.Counter(map(tuple, token_counts.token_counts(df, path).collect())) == got
+    other = registry.tokenizer_path("byte_bpe_50k.json")
+    plain = Tokenizer.from_file(other)
+    assert token_counts._words(path) is not None and token_counts._words(other) is None
+    assert collections.Counter(r.n_tokens for r in token_counts.token_counts(df, other, chunk_chars=500, overlap=16).collect()) == collections.Counter(len(plain.encode(t or "")) for _, t in rows)
     import sentencepiece
 
     model = registry.tokenizer_path("piece_bpe_32k.model")
