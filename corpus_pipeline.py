@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from colonnade.llm import mixing, pieces, quality, simhash, substring
+from colonnade.llm import mixing, near_copies, pieces, quality, substring
 from colonnade.llm.common import materialise
 from colonnade.llm.registry import table, tokenizer_path
 
@@ -19,7 +19,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.dedup(docs)
+    return near_copies.dedup(docs, threshold=0.8, size=5)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
