@@ -7,7 +7,7 @@ the links it found: pairs that are connected already are not compared. Clusters
 into blocks, and each pair of blocks is a cell of its own: no cell holds more than two blocks.
 
 Defined cases: texts that are equal after lowering and white space are one node, known by 64 bits of XXH64; null and blank texts equal each other; a
-text of fewer words than size is one shingle; a row with a null doc_id is never removed and removes nothing; an empty table gives no rows.
+text of fewer words than size is one shingle; rows with null or repeated doc_ids are grouped by their texts; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from colonnade.llm.common import drop, materialise, only, rows_in_blocks
 from colonnade.llm.graph import components
@@ -190,8 +191,33 @@ def classes(documents: DataFrame, signed: DataFrame, threshold: float = 0.8, siz
 
 
 def dedup(documents: DataFrame, threshold: float = 0.8, size: int = 5, seed: int = 42, **cells) -> DataFrame:
-    """The documents with all their columns: of each group the rows with the least doc_id, and rows with a null doc_id."""
+    """One row of each group, with all its columns: one with the least doc_id, or any where no row of the group has a doc_id.
+
+    Rows whose doc_id is null or repeated are told apart by their text; of those that agree in both, the one with the least n_chars, lang and source
+    (where documents has them) stays.
+    """
     signed = materialise(signatures(documents, size, seed), "signatures")
     of_keys = materialise(classes(documents, signed, threshold, size, seed, **cells), "classes")
-    gone = signed.select("doc_id", "key").join(of_keys, "key").where("keep < doc_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    return documents.join(gone, documents["`doc_id`"] == gone["gone_id"], "left_anti")
+    ids = documents["`doc_id`"]
+    odd = signed.groupBy("doc_id").count().where("count > 1 or doc_id is null").select(F.col("doc_id").alias("odd_id"))
+    odd = materialise(odd, "repeated-ids")
+    gone = signed.select("doc_id", "key").join(of_keys, "key").where("keep < doc_id").select(F.col("doc_id").alias("gone_id"))
+    plain = documents.where(ids.isNotNull()).join(gone.union(odd).distinct(), ids == F.col("gone_id"), "left_anti")
+    if odd.isEmpty():
+        return plain
+    rows = documents.join(odd, ids.eqNullSafe(odd["odd_id"]), "left_semi")
+    schema = T.StructType([*rows.schema.fields, T.StructField("#key", T.LongType())])
+    at = rows.columns.index("text")
+
+    def with_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = pa.array([key_of(t or "") for t in b.column(at).to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([*b.columns, keys], names=schema.names)
+
+    keyed = rows.mapInArrow(with_key, schema)
+    whole = F.struct(*(keyed[f"`{c}`"] for c in rows.columns)).alias("row")
+    order = F.struct(*(keyed[f"`{c}`"] for c in ("text", "n_chars", "lang", "source") if c in rows.columns))
+    keyed = keyed.select(F.col("`#key`").alias("key"), keyed["`doc_id`"].alias("id"), whole, order.alias("order"))
+    keyed = keyed.join(of_keys, "key").where("keep is null or id = keep")
+    one = keyed.groupBy("component").agg(F.min_by("row", "order").alias("row"))
+    return plain.unionByName(one.select(*(F.col("row")[c].alias(c) for c in rows.columns)))

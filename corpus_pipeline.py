@@ -1,7 +1,7 @@
 """A training corpus from raw documents: rules, near-duplicates, repeated passages, the mix, and its encoding.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which run() writes and reads again before the next stage. All but the
-last return the columns of documents. Near-dedup keeps the document with the least doc_id of each group, and every row with a null doc_id.
+last return the columns of documents. Near-dedup keeps one row of each group: one with the least doc_id, or any where none has a doc_id.
 A document that the mix takes twice is two rows from there on.
 """
 

@@ -79,5 +79,15 @@ def test_bands_find_what_they_promise():
     assert found >= 596
 
 
+def test_null_and_repeated_ids_leave_one_row_of_each_text(spark, texts):
+    a, b, c, d = texts[0], texts[1], texts[7], texts[14]
+    rows = [(1, a, "x"), (1, a, "y"), (1, c, "z"), (2, b, "z"), (None, a, "z"), (None, d, "q"), (None, d.upper(), "p"), (3, texts[21], "r"), (4, texts[21], "r")]
+    rows += [(5, None, None), (None, None, None), (None, texts[28], "n"), (None, texts[28], "n")]
+    df = spark.createDataFrame([(i, t, "en", s, len(t or ""), {"k": n}) for n, (i, t, s) in enumerate(rows)], SCHEMA + ", other map<string,int>")
+    out = near_copies.dedup(df)
+    assert out.columns == df.columns
+    assert sorted(((r.doc_id, (r.text or "").lower()) for r in out.collect()), key=str) == sorted([(1, a), (1, c), (None, d), (3, texts[21]), (5, ""), (None, texts[28])], key=str)
+
+
 def test_empty_table(spark):
     assert near_copies.dedup(frame(spark, [])).count() == 0
