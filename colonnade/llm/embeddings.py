@@ -3,8 +3,8 @@
 Centroids are fitted on a bounded sample; then every vector is assigned to the cell of its best centroid and visits each other cell
 whose boundary is near: with home h, cell c is visited if x.(h - c) <= margin |h - c|, for the unit vector x. A pair is found if one of the two
 visits the home of the other, so a pair is lost only if they lie on either side of a boundary, each more than the margin away. Their chord then is over
-twice the margin: with half the chord of the threshold's angle as margin no link is ever lost. The default is 3 / sqrt(dimension) of
-that if it is less, three standard deviations of a step in a random direction; the recall of that is measured in the tests. A pair counts in one cell only.
+twice the margin: with half the chord of the threshold's angle as margin, the default, no link is ever lost, whatever the number of cells or the intrinsic dimension.
+A pair counts in one cell only.
 
 Equal vectors are one vector with a count. Cells of over block vectors are cut into blocks, each pair of blocks being a task's work; a
 cell returns counts and a spanning forest, never its pairs. Centroids are broadcast: max_cells vectors at most.
@@ -109,7 +109,7 @@ def near_vectors(table: DataFrame, threshold: float = 0.93, cell_size: int = 100
     sample /= np.linalg.norm(sample, axis=1, keepdims=True)
     centres = fit_cells(sample, max(1, min(max_cells, math.ceil(total / cell_size))), seed=seed) if len(sample) else np.eye(1, dim)
     if margin is None:
-        margin = math.sqrt(max(0.0, (1 - threshold) / 2)) * min(1.0, 3 / math.sqrt(dim))
+        margin = math.sqrt(max(0.0, (1 - threshold) / 2))
     shared = spark.sparkContext.broadcast((centres, boundaries(centres)))
 
     def place(batches):
