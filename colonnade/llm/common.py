@@ -18,7 +18,10 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors see: spark.checkpoint.dir; in local mode, where that is unset, one of its own."""
+    """Folder that the driver and all executors see: spark.checkpoint.dir.
+
+    Where that is unset, local mode (tests, where the driver is the only executor) gets a folder of its own; a cluster gets an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         found = spark.sparkContext.getCheckpointDir()
@@ -91,9 +94,16 @@ def rows_in_blocks(batches: Iterator[pa.RecordBatch], max_bytes: int = 400_000,
         yield [c.to_pylist() for i, c in enumerate(block.columns) if i != at], [t or "" for t in block.column(at).to_pylist()]
 
 
+def by_place(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The table with its columns named c0, c1, ..., and the new name of each: what the columns were called can clash with nothing."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns)))), {c: f"c{i}" for i, c in reversed(list(enumerate(df.columns)))}
+
+
 def only(df: DataFrame, *names: str) -> DataFrame:
-    """Just these columns; other columns, whatever their names, play no part. A dot in a name is no field access."""
-    return df.select(*(df[f"`{n}`"] for n in names))
+    """Just these columns, taken by place: other columns play no part, nor do names that differ in case alone or hold a dot."""
+    plain, at = by_place(df)
+    folded = {c.lower(): p for c, p in at.items()}
+    return plain.select(*(F.col(at.get(n) or folded[n.lower()]).alias(n) for n in names))
 
 
 def words_column(text) -> F.Column:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from colonnade.llm.common import drop, materialise, only, rows_in_blocks
+from colonnade.llm.common import by_place, drop, materialise, only, rows_in_blocks
 from colonnade.llm.graph import components
 from colonnade.llm.simhash import forest
 
@@ -198,26 +198,26 @@ def dedup(documents: DataFrame, threshold: float = 0.8, size: int = 5, seed: int
     """
     signed = materialise(signatures(documents, size, seed), "signatures")
     of_keys = materialise(classes(documents, signed, threshold, size, seed, **cells), "classes")
-    ids = documents["`doc_id`"]
+    names, (documents, at) = documents.columns, by_place(documents)
+    ids = documents[at["doc_id"]]
     odd = signed.groupBy("doc_id").count().where("count > 1 or doc_id is null").select(F.col("doc_id").alias("odd_id"))
     odd = materialise(odd, "repeated-ids")
     gone = signed.select("doc_id", "key").join(of_keys, "key").where("keep < doc_id").select(F.col("doc_id").alias("gone_id"))
     plain = documents.where(ids.isNotNull()).join(gone.union(odd).distinct(), ids == F.col("gone_id"), "left_anti")
     if odd.isEmpty():
-        return plain
+        return plain.toDF(*names)
     rows = documents.join(odd, ids.eqNullSafe(odd["odd_id"]), "left_semi")
-    schema = T.StructType([*rows.schema.fields, T.StructField("#key", T.LongType())])
-    at = rows.columns.index("text")
+    schema = T.StructType([*rows.schema.fields, T.StructField("key", T.LongType())])
+    place = rows.columns.index(at["text"])
 
     def with_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys = pa.array([key_of(t or "") for t in b.column(at).to_pylist()], pa.int64())
+            keys = pa.array([key_of(t or "") for t in b.column(place).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([*b.columns, keys], names=schema.names)
 
     keyed = rows.mapInArrow(with_key, schema)
-    whole = F.struct(*(keyed[f"`{c}`"] for c in rows.columns)).alias("row")
-    order = F.struct(*(keyed[f"`{c}`"] for c in ("text", "n_chars", "lang", "source") if c in rows.columns))
-    keyed = keyed.select(F.col("`#key`").alias("key"), keyed["`doc_id`"].alias("id"), whole, order.alias("order"))
+    order = F.struct(*(F.col(at[c]) for c in ("text", "n_chars", "lang", "source") if c in at))
+    keyed = keyed.select("key", F.col(at["doc_id"]).alias("id"), F.struct(*rows.columns).alias("row"), order.alias("order"))
     keyed = keyed.join(of_keys, "key").where("keep is null or id = keep")
     one = keyed.groupBy("component").agg(F.min_by("row", "order").alias("row"))
-    return plain.unionByName(one.select(*(F.col("row")[c].alias(c) for c in rows.columns)))
+    return plain.unionByName(one.select("row.*")).toDF(*names)
