@@ -5,11 +5,12 @@ l consecutive segments differs in at most l * t / 4 bits. With t = 3 the budgets
 second differs in one bit at most (17 probes of the sorted bucket), the first three in two; the full distance decides.
 Only distinct fingerprints are compared, and a cell of the search returns a spanning forest of the links it found, so a group of n copies
 or near copies gives no more than n rows. Buckets of over max_cell fingerprints are cut into blocks, and each pair of
-blocks is a cell of its own: no task holds more than two blocks.
+blocks is a cell of its own. A task sorts its cells (Spark spills them) and holds a bounded number of rows, in whole cells, at a time.
 
 Defined cases: null and blank texts have fingerprint zero, linked like any other; a document of fewer shingle words
 than size is one shingle; repeated rows stay, with the same result; a row with a null doc_id keeps its fingerprint, has a null
-component_id and links nothing; an empty table gives no rows; other columns are ignored.
+component_id and links nothing; a very long text is hashed whole, 16,384 shingles at a time; an empty table gives no rows; other columns, whatever
+their names, are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colonnade.llm.common import materialise, only, rows_in_blocks
+from colonnade.llm.common import by_place, materialise, only, rows_in_blocks
 from colonnade.llm.graph import components
 
 BITS, SEGMENTS = 64, 4
@@ -118,6 +119,26 @@ def links_in_cells(cell: np.ndarray, rotated: np.ndarray, ids: np.ndarray, own:
     return ids[linked], ids[labels[linked]]
 
 
+def whole_cells(batches: Iterator[pa.RecordBatch], names: list[str], rows: int) -> Iterator[pa.Table]:
+    """Batches sorted by cell, as tables of whole cells: about that many rows each, and one cell more at most."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if n + batch.num_rows > rows and held:
+            keys = np.stack([np.concatenate([held[-1].column(c).to_numpy()[-1:], batch.column(c).to_numpy()]) for c in names])
+            turns = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0))
+            if len(turns):
+                cut = int(turns[-1])
+                yield pa.Table.from_batches([*held, batch.slice(0, cut)])
+                held, n, batch = [], 0, batch.slice(cut)
+        held.append(batch)
+        n += batch.num_rows
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def near_links(distinct: DataFrame, distance: int = 3, max_cell: int = 20_000) -> DataFrame:
     """Links (u, v) that connect what lies within distance, for rows (fp long, id long) with distinct fp.
 
@@ -135,16 +156,13 @@ def near_links(distinct: DataFrame, distance: int = 3, max_cell: int = 20_000) -
     rows = rows.select("bucket", low.alias("a"), high.alias("b"), F.when(low == high, -1).otherwise(F.col("own")).alias("own"), "rotated", "id")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = list(batches)
-        held = pa.Table.from_batches(parts) if parts else None
-        if held is None or not held.num_rows:
-            return
-        c = {n: held.column(n).to_numpy() for n in held.column_names}
-        cells = np.unique(np.stack([c["bucket"], c["a"], c["b"]]), axis=1, return_inverse=True)[1].ravel()
-        u, v = links_in_cells(cells, c["rotated"].view(np.uint64), c["id"], c["own"], distance)
-        yield pa.record_batch([pa.array(u), pa.array(v)], names=["u", "v"])
+        for held in whole_cells(batches, ["bucket", "a", "b"], 10 * max_cell):
+            c = {n: held.column(n).to_numpy() for n in held.column_names}
+            cells = np.cumsum(np.concatenate([[0], (np.diff(np.stack([c["bucket"], c["a"], c["b"]])) != 0).any(axis=0)]))
+            u, v = links_in_cells(cells, c["rotated"].view(np.uint64), c["id"], c["own"], distance)
+            yield pa.record_batch([pa.array(u), pa.array(v)], names=["u", "v"])
 
-    return rows.repartition(n, "bucket", "a", "b").mapInArrow(work, "u long, v long")
+    return rows.repartition(n, "bucket", "a", "b").sortWithinPartitions("bucket", "a", "b").mapInArrow(work, "u long, v long")
 
 
 def simhash_duplicates(documents: DataFrame, distance: int = 3, size: int = 3, seed: int = 42) -> DataFrame:
@@ -162,4 +180,5 @@ def dedup(documents: DataFrame, distance: int = 3, size: int = 3, seed: int = 42
     """The documents with all their columns: of each group the rows with the least doc_id, and rows with a null doc_id."""
     classes = simhash_duplicates(documents, distance, size, seed)
     gone = classes.where("component_id < doc_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    return documents.join(gone, documents["`doc_id`"] == gone["gone_id"], "left_anti")
+    plain, at = by_place(documents)
+    return plain.join(gone, plain[at["doc_id"]] == gone["gone_id"], "left_anti").toDF(*documents.columns)
