@@ -8,12 +8,13 @@ run, and answers each block with the windows that start in a smaller doc_id else
 of the next as soon as there are fan_in of them. Last, the blocks mark the words that such windows cover.
 A window found in a third of all documents is one entry for each block, not for each document.
 
-A fingerprint is 64 bits of one hash and 16 of another, both over the 64-bit hashes of the words: two different windows are
-taken for one with a chance of 2^-80 a pair.
+A fingerprint is 64 bits of one hash and, to verify a match of those, 32 of another, both over the 64-bit hashes of the words: two
+different windows are taken for one with a chance of 2^-96 a pair (at 10^13 windows, 6e-4 for the whole corpus).
 
 Defined cases: null and blank texts have no words, and a text of under 13 words no window: they stay whole. Rows of one doc_id never mark
-each other. A row with a null doc_id stays whole and marks nothing. An empty table gives no rows. Other columns are ignored by
-report, and kept by dedup.
+each other. A row with a null doc_id stays whole and marks nothing. A very long text is a block of its own at worst. An empty table gives no rows.
+Other columns, whatever their names, are ignored by report, and kept by dedup. Blocks and buckets are sized by bytes of text, not by the
+number of shuffle partitions; documents at or below an index's greatest doc_id are refused.
 """
 
 from __future__ import annotations
@@ -30,19 +31,19 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colonnade.llm.common import WORD_PATTERN, _shuffle_cleanup, drop, new_path, only
+from colonnade.llm.common import WORD_PATTERN, _shuffle_cleanup, by_place, drop, new_path, only
 
 WINDOW = 13
 _ODD = np.random.default_rng(13).integers(0, 2**63, (2, 64), np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def window_hashes(words: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Main (64 bits) and second hash (16 bits) of each window of the words."""
+    """Main (64 bits) and second hash (32 bits) of each window of the words."""
     from xxhash import xxh3_64_intdigest
 
     n = len(words) - window + 1
     if n <= 0:
-        return np.empty(0, np.uint64), np.empty(0, np.uint16)
+        return np.empty(0, np.uint64), np.empty(0, np.uint32)
     h = np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words))
     main, second = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
     for k in range(window):
@@ -52,7 +53,7 @@ def window_hashes(words: list[bytes], window: int) -> tuple[np.ndarray, np.ndarr
     main ^= main >> np.uint64(31)
     main *= np.uint64(0xBF58476D1CE4E5B9)
     main ^= main >> np.uint64(29)
-    return main, (second >> np.uint64(48)).astype(np.uint16)
+    return main, (second >> np.uint64(32)).astype(np.uint32)
 
 
 def first_of_each(main: np.ndarray, second: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -98,6 +99,8 @@ def _unplanes(data: bytes, n: int, dtype) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, n).T).view(dtype).ravel()
 
 
+#: Bytes of text that a block has about, and whose windows a bucket gets from each batch.
+BLOCK_BYTES = 24_000_000
 PACKED = "n int, main binary, second binary, docs binary"
 _TYPES = [pa.int32(), pa.binary(), pa.binary(), pa.binary()]
 
@@ -108,7 +111,7 @@ def pack(main: np.ndarray, second: np.ndarray, docs: np.ndarray) -> tuple:
 
 
 def unpack(n: int, main: bytes, second: bytes, docs: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return np.cumsum(_unplanes(main, n, np.uint64), dtype=np.uint64), _unplanes(second, n, np.uint16), _unplanes(docs, n, np.int64)
+    return np.cumsum(_unplanes(main, n, np.uint64), dtype=np.uint64), _unplanes(second, n, np.uint32), _unplanes(docs, n, np.int64)
 
 
 @cache
@@ -137,15 +140,16 @@ class WindowIndex:
         self.spark, self.folder, self.buckets, self.window, self.fan_in = spark, folder, buckets, window, fan_in
         self.levels: list[list[str]] = [[]]
         self.made = 0
+        self.greatest: int | None = None
 
     def state(self) -> dict:
         """What a later session needs to open the index again."""
-        return {k: getattr(self, k) for k in ("folder", "buckets", "window", "fan_in", "levels", "made")}
+        return {k: getattr(self, k) for k in ("folder", "buckets", "window", "fan_in", "levels", "made", "greatest")}
 
     @staticmethod
     def restore(spark: SparkSession, state: dict) -> WindowIndex:
         out = WindowIndex(spark, state["folder"], state["buckets"], state["window"], state["fan_in"])
-        out.levels, out.made = [list(x) for x in state["levels"]], state["made"]
+        out.levels, out.made, out.greatest = [list(x) for x in state["levels"]], state["made"], state["greatest"]
         return out
 
     def runs(self) -> list[str]:
@@ -155,8 +159,14 @@ class WindowIndex:
         self.made += 1
         return f"{self.folder}/{what}-{self.made:04d}"
 
-    def add(self, blocks: DataFrame) -> str:
-        """Takes a batch (block long, doc_id long, text) whose doc_ids are above all earlier ones; returns the path of run and answers."""
+    def add(self, blocks: DataFrame, low: int | None, high: int | None, parts: int) -> str:
+        """Takes a batch (block long, doc_id long, text) with doc_ids from low to high; returns the path of run and answers.
+
+        parts: tasks that the batch's blocks are dealt to. low must be above all earlier batches.
+        """
+        if low is not None and self.greatest is not None and low <= self.greatest:
+            raise ValueError(f"doc_id {low} is not above the index's greatest, {self.greatest}")
+        self.greatest = self.greatest if high is None else high
         window, buckets, runs, path = self.window, self.buckets, self.runs(), self._new("run")
 
         def send(t: pa.Table) -> pa.Table:
@@ -193,8 +203,8 @@ class WindowIndex:
                     rows.append(("answer", bucket, block, *pack(main[k], second[k], docs[k][:0])))
             return pa.table([pa.array(c, k) for c, k in zip(zip(*rows), [pa.string(), pa.int32(), pa.int64(), *_TYPES])], names=["kind", "bucket", "block", "n", "main", "second", "docs"])
 
-        sent = blocks.groupBy("block").applyInArrow(send, f"bucket int, block long, {PACKED}")
-        merged = sent.groupBy("bucket").applyInArrow(merge, f"kind string, bucket int, block long, {PACKED}")
+        sent = blocks.repartition(parts, "block").groupBy("block").applyInArrow(send, f"bucket int, block long, {PACKED}")
+        merged = sent.repartition(max(parts, buckets), "bucket").groupBy("bucket").applyInArrow(merge, f"kind string, bucket int, block long, {PACKED}")
         with _shuffle_cleanup(self.spark):
             merged.write.partitionBy("kind", "bucket").parquet(path)
         self.levels[0].append(path)
@@ -256,19 +266,27 @@ def _marked(documents: DataFrame, given: list[str], made: str, result: Callable,
     spark = documents.sparkSession
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     shares = [k / batches for k in range(1, batches)]
-    cuts = documents.agg(F.percentile_approx("doc_id", shares, 1000)).first()[0] if shares else None
-    cuts = sorted(set(cuts or []))
+    facts = [F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.sum(F.octet_length("text")).alias("bytes")]
+    facts += [F.percentile_approx("doc_id", shares, 1000).alias("cuts")] if shares else []
+    facts = documents.agg(*facts).first()
+    low, high = facts["low"], facts["high"]
+    cuts = sorted(set(facts["cuts"] or []) - {high}) if shares else []
+    n = max(n, -(-(facts["bytes"] or 0) // (BLOCK_BYTES * (len(cuts) + 1))))
     batch = sum((F.when(F.col("doc_id") > F.lit(c), 1).otherwise(0) for c in cuts), F.lit(0))
-    blocks = documents.withColumn("block", batch.cast("long") * n + F.pmod(F.xxhash64("doc_id"), F.lit(n)))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(facts["bytes"] or 0) // BLOCK_BYTES))
+    # rows of one doc_id are told apart by their texts; rows without a doc_id take no part in the index, and any block will do for them
+    number = lambda spread: batch.cast("long") * n + F.pmod(spread, F.lit(n))
+    blocks = documents.withColumn("block", number(F.xxhash64("doc_id", "text")))
+    every = documents.withColumn("block", F.when(F.col("doc_id").isNull(), number(F.xxhash64(F.monotonically_increasing_id()))).otherwise(number(F.xxhash64("doc_id", "text"))))
     keep, answers = index is not None, []
     index = index or WindowIndex(spark, new_path(spark, "windows"), n, window)
     window = index.window
-    for k in range(len(cuts) + 1):
-        within = [F.col("doc_id").isNotNull()] + ([F.col("doc_id") > F.lit(cuts[k - 1])] if k else []) + ([F.col("doc_id") <= F.lit(cuts[k])] if k < len(cuts) else [])
-        part = blocks
-        for c in within:
-            part = part.where(c)
-        answers.append(index.add(part.select("block", "doc_id", "text")))
+    edges = [low, *(c + 1 for c in cuts)], [*cuts, high]
+    for k, (first, last) in enumerate(zip(*edges)):
+        within = blocks.where("doc_id is not null")
+        within = within.where(F.col("doc_id") >= F.lit(first)) if k else within
+        within = within.where(F.col("doc_id") <= F.lit(last)) if k < len(cuts) else within
+        answers.append(index.add(within.select("block", "doc_id", "text"), first, last, n))
         if keep or k < len(cuts):
             index.compact()
     if not keep:
@@ -280,7 +298,7 @@ def _marked(documents: DataFrame, given: list[str], made: str, result: Callable,
         told = one if told is None else told.union(one)
 
     order = ["block", "doc_id", "text", *given]
-    final = blocks.select("block", "doc_id", "text", *(F.col(f"`{c}`").alias(f"g{i}") for i, c in enumerate(given)))
+    final = every.select("block", "doc_id", "text", *(F.col(f"`{c}`").alias(f"g{i}") for i, c in enumerate(given)))
     kinds = [final.schema[f"g{i}"].dataType.simpleString() for i in range(len(given))]
 
     def mark(t: pa.Table, a: pa.Table) -> pa.Table:
@@ -288,9 +306,9 @@ def _marked(documents: DataFrame, given: list[str], made: str, result: Callable,
         each = [(x or "").encode().split() for x in texts]
         hashes = [window_hashes(w, window) if d is not None else window_hashes([], window) for w, d in zip(each, docs)]
         of = np.repeat(np.array([d or 0 for d in docs], np.int64), [len(h[0]) for h in hashes])
-        main, second = (np.concatenate([h[i] for h in hashes]) if hashes else np.empty(0, (np.uint64, np.uint16)[i]) for i in range(2))
+        main, second = (np.concatenate([h[i] for h in hashes]) if hashes else np.empty(0, (np.uint64, np.uint32)[i]) for i in range(2))
         d_main, d_second, d_first = first_of_each(main, second, of)
-        told = [(np.cumsum(_unplanes(m, n, np.uint64), dtype=np.uint64), _unplanes(s, n, np.uint16)) for n, m, s in zip(*(a.column(c).to_pylist() for c in ("n", "main", "second")))]
+        told = [(np.cumsum(_unplanes(m, n, np.uint64), dtype=np.uint64), _unplanes(s, n, np.uint32)) for n, m, s in zip(*(a.column(c).to_pylist() for c in ("n", "main", "second")))]
         if told:
             at = find(np.concatenate([x[0] for x in told]), np.concatenate([x[1] for x in told]), d_main, d_second)
             d_first[at[at >= 0]] = np.iinfo(np.int64).min
@@ -307,7 +325,7 @@ def _marked(documents: DataFrame, given: list[str], made: str, result: Callable,
         return pa.table(out, names=[f"g{i}" for i in range(len(given))] + [f[0] for f in fields])
 
     schema = ", ".join([f"g{i} {k}" for i, k in enumerate(kinds)] + [made])
-    return final.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(mark, schema)
+    return final.repartition(parts, "block").groupBy("block").cogroup(told.repartition(parts, "block").groupBy("block")).applyInArrow(mark, schema)
 
 
 def _digest(text, words: list[bytes], gone: np.ndarray) -> tuple:
@@ -330,14 +348,14 @@ def _cut(text, words: list[bytes], gone: np.ndarray) -> tuple:
 
 def dedup(documents: DataFrame, window: int = WINDOW, batches: int = 4, index: WindowIndex | None = None) -> DataFrame:
     """The documents with all their columns; text loses the words that the report counts, and n_chars, where there is one, is set anew."""
-    names = documents.columns
-    rest = [c for c in names if c != "text"]
-    inner = documents.select(documents["`doc_id`"], documents["`text`"], *(documents[f"`{c}`"].alias(f"x{i}") for i, c in enumerate(rest)))
-    out = _marked(inner, [f"x{i}" for i in range(len(rest))], "kept string", _cut, batches, window, index)
-    columns = {c: F.col(f"g{i}") for i, c in enumerate(rest)} | {"text": F.col("kept")}
-    if "n_chars" in columns:
-        columns["n_chars"] = F.length("kept").cast(documents.schema["n_chars"].dataType)
-    return out.select(*(columns[c].alias(c) for c in names))
+    names, (plain, at) = documents.columns, by_place(documents)
+    rest = [c for c in plain.columns if c != at["text"]]
+    inner = plain.select(F.col(at["doc_id"]).alias("doc_id"), F.col(at["text"]).alias("text"), *rest)
+    out = _marked(inner, rest, "kept string", _cut, batches, window, index)
+    columns = {c: F.col(f"g{i}") for i, c in enumerate(rest)} | {at["text"]: F.col("kept")}
+    if "n_chars" in at:
+        columns[at["n_chars"]] = F.length("kept").cast(plain.schema[at["n_chars"]].dataType)
+    return out.select(*(columns[c].alias(c) for c in plain.columns)).toDF(*names)
 
 
 REPORT_SQL = r"""
