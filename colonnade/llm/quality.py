@@ -1,21 +1,23 @@
 """Quality rules with verdicts on hosts. DataFrame functions only.
 
-Every document gets counts and rule failures of its own. Failures are summed by host (before the exchange, then after it), and each host's rate
-of failure under each rule is shrunk towards the corpus by a beta prior fitted to all hosts by the method of moments. A host
-whose shrunk rate passes max_host_rate under any rule is rejected, and its verdict is joined back to its documents.
+Every document gets counts and rule failures of its own. Failures are summed by host (before the exchange, then after it). For each rule the
+hosts' rates are taken as draws from a beta distribution, whose mean and strength are those of the greatest beta-binomial likelihood over
+all hosts, on a grid. A host's rate is shrunk by that prior, and the host is rejected if the posterior says with a probability of about 0.98
+(two standard deviations of the posterior beta) that the rate is above the limit of any rule: max_times the prior's mean, least_rate at least, and
+half way from the mean to 1 at most. So a host is judged against its like, and one with few documents is not judged by
+them alone. The verdict is joined back to the host's documents.
 
 Defined cases: null and blank texts have no words (and so fail); a null host is a host like any other; rows that repeat are each judged;
-one host alone, or hosts without variance, shrink to the corpus rate; an empty table gives no rows.
+where hosts differ no more than chance lets them, or there is one host alone, all shrink to the corpus rate and none is rejected; very long
+texts are counted whole; an empty table gives no rows; other columns, whatever their names, are ignored by the report and kept by the filter.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colonnade.llm.common import WHITE, materialise, only, words_column
+from colonnade.llm.common import WHITE, by_place, materialise, only, words_column
 
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
@@ -28,8 +30,11 @@ RULES = {
     "lines": "10 * n_dup_lines > 3 * n_lines",
     "word_length": "n_words > 0 and (word_chars < 2 * n_words or word_chars > 20 * n_words)",
 }
-#: Strength of the prior (in documents) where the hosts' rates vary no more than chance would have them vary.
-MAX_STRENGTH = 1e6
+#: The grid of priors: strengths (in documents), and odds of the mean as multiples of the corpus's odds.
+STRENGTHS = [2.0**k for k in range(21)]
+ODDS = [2.0 ** (k / 2) for k in range(-16, 5)]
+#: Standard deviations of the posterior that a host's rate must be above the limit.
+DEVIATIONS = 2.0
 
 
 def _let(value: Column, body) -> Column:
@@ -58,20 +63,21 @@ def repeat_words(words: Column, window: int = WINDOW) -> Column:
         return _let(placed, lambda s: _let(repeated(s), length))
 
     n = F.size(words)
-    hashes = F.transform(F.sequence(F.lit(1), n - window + 1), lambda i: F.xxhash64(F.slice(words, i, window)))
+    of_words = F.transform(words, lambda w: F.xxhash64(w))
+    hashes = _let(of_words, lambda hs: F.transform(F.sequence(F.lit(1), n - window + 1), lambda i: F.xxhash64(F.slice(hs, i, window))))
     counted = _let(hashes, lambda hs: F.when(F.size(F.array_distinct(hs)) < F.size(hs), covered(hs)).otherwise(F.lit(0).cast("long")))
     return F.when(n >= window, counted).otherwise(F.lit(0).cast("long"))
 
 
-def counts(documents: DataFrame, text: str = "text") -> dict[str, Column]:
+def counts(text: Column) -> dict[str, Column]:
     """Columns n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words of a text column."""
-    whole = F.coalesce(documents[f"`{text}`"], F.lit(""))
+    whole = F.coalesce(text, F.lit(""))
     lines = F.filter(F.split(whole, "\n"), lambda x: F.translate(x, WHITE, "") != "")
     return {
         "word_chars": F.length(F.translate(whole, WHITE, "")).cast("long"),
         "n_symbols": (F.length(whole) - F.length(F.translate(whole, SYMBOLS, ""))).cast("long"),
         "line_counts": _let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"))),
-        "word_counts": _let(words_column(documents[f"`{text}`"]), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeat_words(w).alias("n_repeat_words"))),
+        "word_counts": _let(words_column(text), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeat_words(w).alias("n_repeat_words"))),
     }
 
 
@@ -79,9 +85,9 @@ COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 
 
 def judged(documents: DataFrame, host: str = "source") -> DataFrame:
-    """A row for each document: given (struct of its columns), host, the counts, and failures (array of 0 and 1, in the order of RULES)."""
-    given = F.struct(*(documents[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(documents.columns)))
-    rows = documents.select(given.alias("given"), documents[f"`{host}`"].alias("host"), *(c.alias(n) for n, c in counts(documents).items()))
+    """A row for each document: given (struct of its columns by place), host, the counts, and failures (array of 0 and 1, in the order of RULES)."""
+    plain, at = by_place(documents)
+    rows = plain.select(F.struct(*plain.columns).alias("given"), F.col(at[host]).alias("host"), *(c.alias(n) for n, c in counts(F.col(at["text"])).items()))
     rows = rows.select("given", "host", "word_chars", "n_symbols", "line_counts.*", "word_counts.*")
     return rows.withColumn("failures", F.array(*(F.expr(r).cast("int") for r in RULES.values())))
 
@@ -91,35 +97,51 @@ def host_rates(rows: DataFrame) -> DataFrame:
     return rows.groupBy("host").agg(F.count("*").alias("n"), *(F.sum(F.col("failures")[i]).alias(f"f{i}") for i in range(len(RULES))))
 
 
+def _log_gamma(x: Column) -> Column:
+    """Stirling's series eight steps up, and back down; good to 1e-13 of the value for x > 0."""
+    y = x + 8
+    steps = x * (x + 1) * (x + 2) * (x + 3) * (x + 4) * (x + 5) * (x + 6) * (x + 7)
+    series = 1 / (12 * y) - 1 / (360 * F.pow(y, F.lit(3))) + 1 / (1260 * F.pow(y, F.lit(5))) - 1 / (1680 * F.pow(y, F.lit(7)))
+    return (y - 0.5) * F.log(y) - y + 0.9189385332046727 + series - F.log(steps)
+
+
 def beta_priors(hosts: DataFrame) -> list[tuple[float, float]]:
-    """(alpha, beta) of each rule. One row of sums over the hosts comes to the driver.
+    """(mean, strength) of each rule's prior. One row for each rule comes to the driver.
 
-    The mean is the corpus rate m. The strength follows from the variance of the hosts' rates, weighted by their
-    documents, less the variance that chance alone would give: m (1 - m) / variance - 1, from 1 to MAX_STRENGTH.
+    Hosts that agree in documents and failures are one row with a count before the grid is laid over them. Of equal likelihoods the
+    greatest strength counts, then the least mean. Where no document fails, or all do, the mean is that and the strength the grid's greatest.
     """
-    n = F.sum("n")
-    sums = [n.alias("n"), F.count("*").alias("k")]
-    for i in range(len(RULES)):
-        sums += [F.sum(f"f{i}").alias(f"f{i}"), F.sum(F.col(f"f{i}") * (F.col(f"f{i}") / F.col("n"))).alias(f"q{i}")]
-    s = hosts.agg(*sums).first()
-    out = []
-    for i in range(len(RULES)):
-        if not s["n"]:
-            out.append((0.5, 0.5))
-            continue
-        m = s[f"f{i}"] / s["n"]
-        spread = m * (1 - m)
-        variance = s[f"q{i}"] / s["n"] - m * m - spread * s["k"] / s["n"]
-        strength = MAX_STRENGTH if variance <= spread / (MAX_STRENGTH + 1) or math.isclose(spread, 0) else min(MAX_STRENGTH, max(1.0, spread / variance - 1))
-        out.append((m * strength, (1 - m) * strength))
-    return out
-
-
-def host_verdicts(hosts: DataFrame, max_host_rate: float = 0.5) -> DataFrame:
-    """of_host, host_ok: false for a host that is rejected. hosts, a row for each, is read twice."""
+    each = hosts.select(F.explode(F.array(*(F.struct(F.lit(i).alias("k"), F.col("n").cast("double").alias("n"), F.col(f"f{i}").cast("double").alias("f")) for i in range(len(RULES))))).alias("x")).select("x.*")
+    each = materialise(each.groupBy("k", "n", "f").agg(F.count("*").alias("hosts")), "host-counts")
+    rates = {r["k"]: r["m"] for r in each.groupBy("k").agg((F.sum(F.col("f") * F.col("hosts")) / F.sum(F.col("n") * F.col("hosts"))).alias("m")).collect()}
+    out = {k: (m, STRENGTHS[-1]) for k, m in rates.items()}
+    open_rates = [F.struct(F.lit(k).alias("of"), F.lit(m).alias("rate")) for k, m in sorted(rates.items()) if 0 < m < 1]
+    if open_rates:
+        cells = each.select("*", F.explode(F.filter(F.array(*open_rates), lambda x: x["of"] == F.col("k"))).alias("x")).select("*", F.col("x")["rate"].alias("p"))
+        cells = cells.select("*", F.explode(F.array(*map(F.lit, ODDS))).alias("o")).select("*", F.explode(F.array(*map(F.lit, STRENGTHS))).alias("s"))
+        cells = cells.select("k", "n", "f", "hosts", (F.col("p") * F.col("o") / (1 - F.col("p") + F.col("p") * F.col("o"))).alias("m"), "s")
+        a, b, n, f, s = F.col("m") * F.col("s"), (1 - F.col("m")) * F.col("s"), F.col("n"), F.col("f"), F.col("s")
+        signed = F.transform(F.array(a + f, b + n - f, s, s + n, a, b), lambda x, i: F.when(i < 3, 1.0).otherwise(-1.0) * _log_gamma(x))
+        cells = cells.select("k", "m", "s", (F.aggregate(signed, F.lit(0.0), lambda t, x: t + x) * F.col("hosts")).alias("like"))
+        fits = cells.groupBy("k", "m", "s").agg(F.round(F.sum("like"), 4).alias("fit"))
+        best = fits.groupBy("k").agg(F.max(F.struct("fit", "s", (-F.col("m")).alias("low"))).alias("b"))
+        out |= {r["k"]: (-r["b"]["low"], r["b"]["s"]) for r in best.collect()}
+    return [out.get(k, (0.5, 1.0)) for k in range(len(RULES))]
+
+
+def limits(priors: list[tuple[float, float]], max_times: float, least_rate: float) -> list[float]:
+    """The rate of each rule that a host must not surely exceed."""
+    return [min(max(max_times * m, least_rate), (1 + m) / 2) for m, _ in priors]
+
+
+def host_verdicts(hosts: DataFrame, max_times: float = 3.0, least_rate: float = 0.2) -> DataFrame:
+    """of_host, its shrunk rates (host_rate_<rule>), host_ok: false for a host that is rejected. hosts, a row for each, is read several times."""
     priors = beta_priors(hosts)
-    rates = [(F.col(f"f{i}") + F.lit(a)) / (F.col("n") + F.lit(a + b)) for i, (a, b) in enumerate(priors)]
-    return hosts.select(F.col("host").alias("of_host"), (F.greatest(*rates) <= max_host_rate).alias("host_ok"))
+    rates = [(F.col(f"f{i}") + F.lit(m * s)) / (F.col("n") + F.lit(s)) for i, (m, s) in enumerate(priors)]
+    errors = [F.sqrt(r * (1 - r) / (F.col("n") + F.lit(s) + 1)) for r, (_, s) in zip(rates, priors)]
+    over = [r - DEVIATIONS * e > F.lit(x) for r, e, x in zip(rates, errors, limits(priors, max_times, least_rate))]
+    shown = [F.round(r, 6).alias(f"host_rate_{name}") for r, name in zip(rates, RULES)]
+    return hosts.select(F.col("host").alias("of_host"), *shown, (~F.greatest(*over)).alias("host_ok"))
 
 
 def with_verdicts(rows: DataFrame, verdicts: DataFrame) -> DataFrame:
@@ -129,21 +151,22 @@ def with_verdicts(rows: DataFrame, verdicts: DataFrame) -> DataFrame:
 BASE_FAILED = f"({RULES['few_words']}) or ({RULES['repetition']})"
 
 
-def quality_report(documents: DataFrame, host: str = "source", max_host_rate: float = 0.5) -> DataFrame:
-    """doc_id, the counts, base_failed and kept of each document (doc_id, text, host)."""
+def quality_report(documents: DataFrame, host: str = "source", max_times: float = 3.0, least_rate: float = 0.2) -> DataFrame:
+    """doc_id, the counts, base_failed, kept, and the shrunk rates of its host, of each document (doc_id, text, host)."""
     rows = materialise(judged(only(documents, *dict.fromkeys(["doc_id", "text", host])), host).withColumn("given", F.struct("given.c0")), "quality")
-    out = with_verdicts(rows, host_verdicts(host_rates(rows), max_host_rate)).withColumn("base_failed", F.expr(BASE_FAILED))
-    return out.select(F.col("given.c0").alias("doc_id"), *COUNTS, "base_failed", (~F.col("base_failed") & F.col("host_ok")).alias("kept"))
+    hosts = materialise(host_rates(rows), "hosts")
+    out = with_verdicts(rows, host_verdicts(hosts, max_times, least_rate)).withColumn("base_failed", F.expr(BASE_FAILED))
+    return out.select(F.col("given.c0").alias("doc_id"), *COUNTS, "base_failed", (~F.col("base_failed") & F.col("host_ok")).alias("kept"), *(f"host_rate_{r}" for r in RULES))
 
 
-def quality_filter(documents: DataFrame, host: str = "source", max_host_rate: float = 0.5) -> DataFrame:
+def quality_filter(documents: DataFrame, host: str = "source", max_times: float = 3.0, least_rate: float = 0.2) -> DataFrame:
     """The documents, with all their columns, that quality_report would keep.
 
     The texts are read twice, for the hosts' rates and for the documents' own rules, rather than stored in between.
     """
     hosts = materialise(host_rates(judged(only(documents, *dict.fromkeys(["text", host])), host)), "hosts")
     kept = judged(documents, host).where(~F.expr(BASE_FAILED))
-    return with_verdicts(kept, host_verdicts(hosts, max_host_rate)).where("host_ok").select("given.*").toDF(*documents.columns)
+    return with_verdicts(kept, host_verdicts(hosts, max_times, least_rate)).where("host_ok").select("given.*").toDF(*documents.columns)
 
 
 REPORT_SQL = r"""
@@ -160,11 +183,17 @@ counts as (select r, doc_id, source, len(w)::bigint as n_words, length(regexp_re
 rules as (select *, unnest([n_words < 20, 100 * n_repeat_words > 30 * n_words, 10 * n_symbols > 3 * n_words, 10 * n_dup_lines > 3 * n_lines,
     n_words > 0 and (word_chars < 2 * n_words or word_chars > 20 * n_words)]) as failed, unnest(range(5)) as k from counts),
 hosts as (select source, k, count(*)::double as n, sum(failed::int)::double as f from rules group by source, k),
-sums as (select k, sum(n) as n, count(*) as h, sum(f) / sum(n) as m, sum(f * (f / n)) / sum(n) as q from hosts group by k),
-spreads as (select k, m, m * (1 - m) as s, q - m * m - m * (1 - m) * h / n as v from sums),
-priors as (select k, m, case when s <= 0 or v <= s / 1000001 then 1e6 else least(1e6, greatest(1, s / v - 1)) end as g from spreads),
-verdicts as (select source, bool_and((f + m * g) / (n + g) <= 0.5) as ok from hosts join priors using (k) group by source)
+corpus as (select k, sum(f) / sum(n) as p from hosts group by k),
+grid as (select k, p * o / (1 - p + p * o) as m, pow(2, e)::double as s from corpus, (select pow(2, unnest(range(-16, 5)) / 2.0) as o), (select unnest(range(21)) as e) where p > 0 and p < 1),
+fits as (select k, m, s, round(sum(lgamma(m * s + f) + lgamma((1 - m) * s + n - f) - lgamma(s + n) + lgamma(s) - lgamma(m * s) - lgamma((1 - m) * s)), 4) as fit
+    from grid join hosts using (k) group by k, m, s),
+best as (select k, m, s from fits qualify row_number() over (partition by k order by fit desc, s desc, m) = 1),
+priors as (select k, m, s from best union all select k, p, 1048576.0 from corpus where p = 0 or p = 1),
+rates as (select source, k, (f + m * s) / (n + s) as r, n + s + 1 as w, least(greatest(3 * m, 0.2), (1 + m) / 2) as most from hosts join priors using (k)),
+verdicts as (select source, bool_and(r - 2 * sqrt(r * (1 - r) / w) <= most) as ok, max(round(r, 6)) filter (k = 0) as r0, max(round(r, 6)) filter (k = 1) as r1,
+    max(round(r, 6)) filter (k = 2) as r2, max(round(r, 6)) filter (k = 3) as r3, max(round(r, 6)) filter (k = 4) as r4 from rates group by source)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed,
-    not (n_words < 20 or 100 * n_repeat_words > 30 * n_words) and ok as kept
+    not (n_words < 20 or 100 * n_repeat_words > 30 * n_words) and ok as kept, r0 as host_rate_few_words, r1 as host_rate_repetition, r2 as host_rate_symbols,
+    r3 as host_rate_lines, r4 as host_rate_word_length
 from counts join verdicts on counts.source is not distinct from verdicts.source
 """
