@@ -9,10 +9,12 @@ direction being drawn so that each expectation stays, until one of the two is 0
 the words of a source stay at its target until one document is left, and it alone is drawn on its own: the sum is within the size of
 one document of the target. The meetings form a tree: documents are dealt into chunks of about fan_in by a hash of their id, each chunk
 folds to one residual, fan_in chunks fold to one again, and so on. No task holds more than a few chunks, however large the source.
-Draws are hashes of ids and the seed: reruns agree.
+Draws are hashes of the seed and of a row's key: reruns agree, however the table is split. The key is the doc_id and the text's hash; rows that agree
+in both are numbered, by task and then within it, so that any number of them spreads over the chunks.
 
 Defined cases: null and blank texts have size 0 and are taken 0 times; a null source is a source; rows of one doc_id, and rows with a null doc_id,
-are each rounded as documents of their own; a corpus without words has targets of 0; an empty table gives no rows; other columns are ignored by mixture.
+are each rounded as documents of their own; a very long text is one document of its size; a corpus without words has targets of 0; an empty
+table gives no rows; other columns, whatever their names, are ignored by mixture and kept by mix_documents.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from colonnade.llm.common import materialise, only, words_column
+from colonnade.llm.common import by_place, materialise, only, words_column
 
 WEIGHTS = (3, 1, 2)
 
@@ -99,10 +101,31 @@ def rounded(rows: DataFrame, fan_in: int = 64, seed: int = 7) -> DataFrame:
         depth += 1
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """rows (row, key, ...) with keys that differ: rows of one key are numbered from 0. A key's rows are sorted by task, never all in one."""
+    again = materialise(rows.groupBy("key").count().where("count > 1").select("key"), "repeated-keys")
+    if again.isEmpty():
+        return rows
+    same = rows.select("row", "key", F.shiftright("row", 33).alias("task")).join(again, "key", "left_semi")
+    same = same.withColumn("nth", F.row_number().over(Window.partitionBy("key", "task").orderBy("row")) - 1)
+    sizes = same.groupBy("key", "task").count()
+    before = F.sum("count").over(Window.partitionBy("key").orderBy("task").rowsBetween(Window.unboundedPreceding, -1))
+    same = same.join(sizes.select("key", "task", F.coalesce(before, F.lit(0)).alias("before")), ["key", "task"]).select("row", (F.col("nth") + F.col("before")).alias("nth"))
+    return rows.join(same, "row", "left").withColumn("key", F.concat_ws("#", "key", "nth")).drop("nth")
+
+
+def _rows(plain: DataFrame, at: dict[str, str], *more) -> DataFrame:
+    """row, key, source, size and more of a table with columns by place, written out so that row stays what it is."""
+    text = F.col(at["text"])
+    key = F.concat(F.coalesce(F.col(at["doc_id"]).cast("string"), F.lit("")), F.lit("|"), F.hex(F.xxhash64(text)))
+    made = [F.monotonically_increasing_id().alias("row"), key.alias("key"), F.col(at["source"]).alias("source"), F.size(words_column(text)).cast("long").alias("size")]
+    return materialise(plain.select(*made, *more), "mix")
+
+
 def _mixed(rows: DataFrame, share: float, max_repeats: float, seed: int) -> DataFrame:
-    """copies, target and source_size for rows (key, source, size, ...)."""
+    """copies, target and source_size for rows (row, key, source, size, ...)."""
     each = targets(rows, share, max_repeats).withColumnRenamed("source", "of_source")
-    rows = rows.join(each, rows["source"].eqNullSafe(each["of_source"])).drop("of_source")
+    rows = _numbered(rows).join(each, F.col("source").eqNullSafe(F.col("of_source"))).drop("of_source")
     due = F.when(F.col("size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rows = rows.withColumn("whole", F.floor(due).cast("long")).withColumn("p", due - F.floor(due))
     settled = F.col("p") == 0
@@ -113,19 +136,15 @@ def _mixed(rows: DataFrame, share: float, max_repeats: float, seed: int) -> Data
 
 def mixture(documents: DataFrame, share: float = 1.5, max_repeats: float = 2.0, seed: int = 7) -> DataFrame:
     """doc_id, size, source_size, target (its source's), taken (words that the mix takes) of each document (doc_id, text, source)."""
-    given = only(documents, "doc_id", "text", "source")
-    rows = given.select("doc_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("key"), "source", F.size(words_column(F.col("text"))).cast("long").alias("size"))
-    out = _mixed(materialise(rows, "sizes"), share, max_repeats, seed)
+    plain, at = by_place(only(documents, "doc_id", "text", "source"))
+    out = _mixed(_rows(plain, at, F.col(at["doc_id"]).alias("doc_id")), share, max_repeats, seed)
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mix_documents(documents: DataFrame, share: float = 1.5, max_repeats: float = 2.0, seed: int = 7) -> DataFrame:
     """The documents with all their columns, each row as often as the mix takes it."""
-    given = F.struct(*(documents[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(documents.columns)))
-    doc = only(documents, "doc_id", "text", "source")
-    key = F.coalesce(doc["doc_id"].cast("string"), F.lit(""))
-    rows = documents.select(given.alias("given"), F.monotonically_increasing_id().alias("row"), key.alias("key"), documents["`source`"].alias("source"), F.size(words_column(documents["`text`"])).cast("long").alias("size"))
-    rows = materialise(rows, "mix")
+    plain, at = by_place(documents)
+    rows = _rows(plain, at, F.struct(*plain.columns).alias("given"))
     copies = _mixed(rows.drop("given"), share, max_repeats, seed).where("copies > 0").select("row", "copies")
     taken = rows.select("row", "given").join(copies, "row").select("given", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("copy"))
     return taken.select("given.*").toDF(*documents.columns)
