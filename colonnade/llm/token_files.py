@@ -5,14 +5,17 @@ Its file is an Arrow IPC file (the stream format with a footer), uncompressed, w
 ``input_ids`` fixed_size_list<uint16 or uint32>[seq_len] and ``mask`` fixed_size_list<bool>[seq_len] (true on ids, false on
 the padding of the last row). Every batch but the last has the same number of rows, so row r lies in batch r div rows_per_batch, and
 id t of the shard is item t % seq_len of row t div seq_len: a memory-mapped reader reaches any sequence without copying.
-A second file beside it lists (doc_id, start, n_tokens) of the shard's documents.
+A second file beside it lists (doc_id, start, n_tokens) of the shard's documents. Each attempt of a task writes files under names of its own,
+nothing is renamed, and the manifest, written last, says which files hold the data: what a lost or speculative attempt left behind is never read.
 
 Defined cases: a null or empty text has the end id alone; rows with one doc_id stay separate rows, next to each other in an
-order fixed by their texts; a null doc_id sorts first; an empty table gives no shard and no rows; other columns are ignored.
+order fixed by their texts, and may lie in several shards; a null doc_id sorts first; a very long text is encoded in one piece, and its ids cross
+batches as any do; an empty table gives no shard and no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -29,6 +32,7 @@ from colonnade.llm.common import arrow_blocks, new_path, only
 
 #: Encoded pieces of text that a worker keeps; the store is emptied when full, which bounds memory and changes speed alone.
 CACHED_UNITS = 1_500_000
+MANIFEST = "manifest.json"
 
 
 def _visible(c: str) -> bool:
@@ -46,6 +50,7 @@ class UnitEncoder:
     Byte-level pre-tokenisation lets no token span the place before a single space that stands between two visible
     characters. So a text is cut there, each distinct unit goes to the tokenizers library once, and its ids are joined.
     Where either neighbour of the space is not surely visible (not alphanumeric, not printable ASCII), units stay together.
+    A file of another kind (see fits) has its texts encoded whole.
     """
 
     def __init__(self, path: str):
@@ -53,6 +58,9 @@ class UnitEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.library.no_truncation()
+        self.library.no_padding()
+        self.by_word = self.fits(self.library)
         size = self.library.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
         self.opens = np.zeros(size, bool)
@@ -61,6 +69,15 @@ class UnitEncoder:
         #: Ids, as bytes, of a word after a single space.
         self.word: dict[str, bytes] = {}
 
+    @staticmethod
+    def fits(library) -> bool:
+        """Whether the file is a byte-level BPE that leaves the text as it is, splits it by the usual pattern, and has no special string with white space or greed for it."""
+        spec = json.loads(library.to_str())
+        split, model = spec.get("pre_tokenizer") or {}, spec.get("model") or {}
+        plain = spec.get("normalizer") is None and split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True)
+        plain = plain and model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix"))
+        return plain and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or len(t["content"].split()) != 1 or t["content"].strip() != t["content"] for t in spec.get("added_tokens", []))
+
     def _learn(self, words: list[str]) -> list[bytes]:
         """Ids of distinct plain words as they are after a space; they are kept."""
         out: list[bytes] = []
@@ -94,6 +111,8 @@ class UnitEncoder:
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of each text; a null text has none. Arrow finds the distinct words, so Python handles each once a call."""
+        if not self.by_word:
+            return [np.frombuffer(x, self.dtype) for x in self._each([t or "" for t in texts.to_pylist()])]
         if len(self.word) > CACHED_UNITS:
             self.word.clear()
         parts = pc.split_pattern(pc.fill_null(texts, ""), " ")
@@ -145,20 +164,19 @@ def _fs(uri: str) -> tuple[pafs.FileSystem, str]:
 
 
 class ShardWriter:
-    """Packs documents into rows of seq_len ids; close() makes the files visible under their names in one step each."""
+    """Packs documents into rows of seq_len ids, in files that bear the attempt's name."""
 
     def __init__(self, folder: str, shard: int, attempt: str, dtype, seq_len: int, rows_per_batch: int):
         self.fs, root = _fs(folder)
         self.fs.create_dir(root, recursive=True)
-        self.name = f"{root}/shard-{shard:06d}"
-        self.temp = f"{root}/.{shard:06d}-{attempt}"
+        self.name = f"shard-{shard:06d}-{attempt}"
         self.seq_len, self.take = seq_len, seq_len * rows_per_batch
         kind = pa.uint16() if dtype.itemsize == 2 else pa.uint32()
         self.kind, self.dtype = kind, dtype
         self.schema = pa.schema([("input_ids", pa.list_(kind, seq_len)), ("mask", pa.list_(pa.bool_(), seq_len))])
         self.index_schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
-        self.out = self.fs.open_output_stream(self.temp + ".arrow")
-        self.index_out = self.fs.open_output_stream(self.temp + ".index")
+        self.out = self.fs.open_output_stream(f"{root}/{self.name}.arrow")
+        self.index_out = self.fs.open_output_stream(f"{root}/{self.name}.index")
         self.writer = pa.ipc.new_file(self.out, self.schema)
         self.index = pa.ipc.new_file(self.index_out, self.index_schema)
         self.held: list[np.ndarray] = []
@@ -205,20 +223,18 @@ class ShardWriter:
         for w, o in ((self.writer, self.out), (self.index, self.index_out)):
             w.close()
             o.close()
-        for end in (".arrow", ".index"):
-            self.fs.move(self.temp + end, self.name + end)
 
 
-def write_shards(documents: DataFrame, tokenizer: str, folder: str, end_id: int | None = 2, seq_len: int = 2048, rows_per_batch: int = 64) -> list[tuple[int, int, int]]:
-    """Writes all documents (doc_id, text) as shards under folder; returns (shard, documents, ids) of each, in doc_id order.
+def write_shards(documents: DataFrame, tokenizer: str, folder: str, end_id: int | None = 2, seq_len: int = 2048, rows_per_batch: int = 64) -> list[tuple[str, int, int]]:
+    """Writes all documents (doc_id, text) as shards under folder; returns (name, documents, ids) of each, in doc_id order.
 
-    One range exchange on doc_id deals the texts out; each task then encodes and writes its own shard. The list that
-    comes back has a row for each shard, not for each document.
+    One range exchange on doc_id (and the text's hash, which splits a repeated id) deals the texts out; each task then encodes and writes
+    its own shard. The list that comes back, which is also the manifest, has a row for each shard, not for each document.
     """
     spark = documents.sparkSession
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     by = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), F.col("text")]
-    dealt = only(documents, "doc_id", "text").repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(*by)
+    dealt = only(documents, "doc_id", "text").repartitionByRange(n, *by[:2]).sortWithinPartitions(*by)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -232,17 +248,29 @@ def write_shards(documents: DataFrame, tokenizer: str, folder: str, end_id: int
                 writer.add(d, np.concatenate([ids, end]))
         if writer is not None:
             writer.close()
-            yield pa.record_batch([pa.array([x], pa.int64()) for x in (task.partitionId(), writer.n_docs, writer.n)], names=["shard", "n_docs", "n_ids"])
+            yield pa.record_batch([pa.array([writer.name]), pa.array([writer.n_docs], pa.int64()), pa.array([writer.n], pa.int64())], names=["shard", "n_docs", "n_ids"])
+
+    shards = sorted(tuple(r) for r in dealt.mapInArrow(write, "shard string, n_docs long, n_ids long").collect())
+    fs, root = _fs(folder)
+    fs.create_dir(root, recursive=True)
+    with fs.open_output_stream(f"{root}/{MANIFEST}") as out:
+        out.write(json.dumps({"seq_len": seq_len, "rows_per_batch": rows_per_batch, "shards": shards}).encode())
+    return shards
+
 
-    return sorted(tuple(r) for r in dealt.mapInArrow(write, "shard long, n_docs long, n_ids long").collect())
+def manifest(folder: str) -> list[tuple[str, int, int]]:
+    """What write_shards returned, of a folder that it has finished."""
+    fs, root = _fs(folder)
+    with fs.open_input_stream(f"{root}/{MANIFEST}") as held:
+        return [tuple(x) for x in json.loads(held.read())["shards"]]
 
 
 class Shard:
     """Random access to a shard; a local file is memory-mapped and its ids are views, not copies."""
 
-    def __init__(self, folder: str, shard: int):
+    def __init__(self, folder: str, shard: str):
         fs, root = _fs(folder)
-        name = f"{root}/shard-{shard:06d}"
+        name = f"{root}/{shard}"
         local = isinstance(fs, pafs.LocalFileSystem)
         self.file = pa.ipc.open_file(pa.memory_map(name + ".arrow") if local else fs.open_input_file(name + ".arrow"))
         self.index = pa.ipc.open_file(pa.memory_map(name + ".index") if local else fs.open_input_file(name + ".index"))
@@ -271,15 +299,16 @@ class Shard:
             yield got
             start, n = start + len(got), n - len(got)
 
-    def documents(self) -> Iterator[tuple]:
+    def documents(self) -> Iterator[list[tuple]]:
+        """(doc_id, start, n_tokens) of its documents, in lists of bounded length."""
         for i in range(self.index.num_record_batches):
-            yield from zip(*(c.to_pylist() for c in self.index.get_batch(i).columns))
+            yield list(zip(*(c.to_pylist() for c in self.index.get_batch(i).columns)))
 
 
-def read_shards(spark: SparkSession, folder: str, shards: list[tuple[int, int, int]]) -> DataFrame:
-    """Reads the files: doc_id, start, n_tokens, ids_crc32 of each document, with start counted over all shards."""
+def read_shards(spark: SparkSession, folder: str, shards: list[tuple[str, int, int]] | None = None) -> DataFrame:
+    """Reads the files: doc_id, start, n_tokens, ids_crc32 of each document, with start counted over all shards (those of the manifest if none are given)."""
     before, rows = 0, []
-    for shard, _, n in shards:
+    for shard, _, n in manifest(folder) if shards is None else shards:
         rows.append((shard, before))
         before += n
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -289,15 +318,17 @@ def read_shards(spark: SparkSession, folder: str, shards: list[tuple[int, int, i
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for shard, base in zip(*(c.to_pylist() for c in batch.columns)):
-                held, out = Shard(folder, shard), []
-                for doc_id, start, n in held.documents():
-                    crc = 0
-                    for ids in held.ids(start, n):
-                        crc = zlib.crc32(ids.astype("<u4").tobytes(), crc)
-                    out.append((doc_id, base + start, n, crc))
-                yield pa.record_batch([pa.array(list(c), pa.int64()) for c in zip(*out)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    listed = spark.createDataFrame(spark.sparkContext.parallelize(rows, len(rows)), "shard long, base long")
+                held = Shard(folder, shard)
+                for part in held.documents():
+                    out = []
+                    for doc_id, start, n in part:
+                        crc = 0
+                        for ids in held.ids(start, n):
+                            crc = zlib.crc32(ids.astype("<u4").tobytes(), crc)
+                        out.append((doc_id, base + start, n, crc))
+                    yield pa.record_batch([pa.array(list(c), pa.int64()) for c in zip(*out)] if out else [pa.array([], pa.int64())] * 4, names=["doc_id", "start", "n_tokens", "ids_crc32"])
+
+    listed = spark.createDataFrame(spark.sparkContext.parallelize(rows, len(rows)), "shard string, base long")
     return listed.mapInArrow(read, schema)
 
 
