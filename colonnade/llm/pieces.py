@@ -1,17 +1,20 @@
 """SentencePiece ids with the byte span of each piece in the text as it was, and decoding.
 
-Normalisation goes through the model's compiled character map: at each place the longest prefix that the map's trie holds is
-replaced, anything else passes as one character. Every normalised byte records the source byte that it came from, so a
-piece, which is a range of normalised bytes, projects to a range of source bytes. The added leading space projects to an
-empty span, and characters that normalisation removes belong to the piece that follows (at the end: the one before).
-
-Defined cases: null and empty texts have no ids and decode to ''; repeated rows stay; an empty table gives no rows; other columns
-are ignored by encode_documents.
+Every text is normalised here, through the model's compiled character map: at each place the longest prefix that the map's trie holds (or
+that is a piece set apart by the model, which stays as it is) is replaced, anything else passes as it is. Every normalised byte records the source byte
+that it came from. The library segments the normalised text, by a copy of the model whose own normaliser is off, so a piece is a range of
+normalised bytes and projects to a range of source bytes. The added leading space projects to an empty span; a character that normalisation
+removes belongs to the piece before it, white space that it trims at either end to none. Places where nothing in the map can begin are passed over in one step,
+so a model with an empty map costs a copy.
+
+Defined cases: null and empty texts have no ids and decode to ''; repeated rows, and rows with a null doc_id, stay; a very long text is encoded whole;
+an empty table gives no rows; other columns, whatever their names, are ignored by encode_documents.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -39,6 +42,13 @@ class CharacterMap:
         self.units = np.frombuffer(blob, "<u4", size // 4, 4).tolist() if blob else []
         self.texts = blob[4 + size :]
 
+    def can_begin(self, c: int) -> bool:
+        """Whether anything in the map begins with this byte."""
+        if not self.units:
+            return False
+        node = (self.units[0] >> 10) << ((self.units[0] & 512) >> 6) ^ c
+        return node < len(self.units) and self.units[node] & 0x800000FF == c
+
     def longest(self, data: bytes, at: int) -> tuple[int, bytes] | None:
         """Length of the longest prefix of data[at:] in the map, and its replacement."""
         units = self.units
@@ -72,80 +82,111 @@ class PieceEncoder:
         model = sentencepiece_model_pb2.ModelProto()
         with open(path, "rb") as f:
             model.ParseFromString(f.read())
-        self.spec = model.normalizer_spec
-        self.map = CharacterMap(self.spec.precompiled_charsmap)
+        self.spec = spec = model.normalizer_spec
+        self.map = CharacterMap(spec.precompiled_charsmap)
         self.unknown = next((i for i, p in enumerate(model.pieces) if p.type == 2), -1)
         self.sizes = np.array([1 if p.type == 6 else len(p.piece.encode()) for p in model.pieces], np.int64)
         self.numbers = [str(i) for i in range(len(model.pieces))]
+        #: Pieces that the model sets apart: normalisation leaves them as they are.
+        self.apart = [p.piece.encode() for p in model.pieces if p.type == 4]
+        self.begins = self._starts()
+        plain = sentencepiece_model_pb2.ModelProto()
+        plain.CopyFrom(model)
+        plain.normalizer_spec.precompiled_charsmap = b""
+        plain.normalizer_spec.name = "identity"
+        plain.normalizer_spec.add_dummy_prefix = plain.normalizer_spec.remove_extra_whitespaces = plain.normalizer_spec.escape_whitespaces = False
+        plain.ClearField("denormalizer_spec")
+        self.segments = sentencepiece.SentencePieceProcessor(model_proto=plain.SerializeToString())
+
+    def _starts(self) -> re.Pattern | None:
+        """Finds the bytes at which something in the map, or a piece set apart, can begin; None if there is none."""
+        first = {p[0] for p in self.apart} | {c for c in range(256) if self.map.can_begin(c)}
+        return re.compile(b"[" + b"".join(re.escape(bytes([c])) for c in sorted(first)) + b"]") if first else None
+
+    def _replace(self, data: bytes) -> tuple[bytes, np.ndarray]:
+        """data through the map, and the source byte of each byte."""
+        out, source, done, at = [], [], 0, 0
+
+        def passed(a: int, b: int) -> None:
+            if b > a:
+                out.append(data[a:b])
+                source.append(np.arange(a, b))
+
+        while self.begins and (m := self.begins.search(data, at)):
+            i = m.start()
+            if data[i] & 0xC0 == 0x80:  # inside a character
+                at = i + 1
+                continue
+            n = max((len(p) for p in self.apart if data.startswith(p, i)), default=0)
+            if n:
+                at = i + n
+                continue
+            hit = self.map.longest(data, i)
+            if not hit:
+                at = i + 1
+                continue
+            passed(done, i)
+            n, new = hit
+            out.append(new)
+            source.append(np.full(len(new), i))
+            at = done = i + n
+        passed(done, len(data))
+        return b"".join(out), np.concatenate(source) if source else np.zeros(0, np.int64)
 
     def normalise(self, text: str) -> tuple[bytes, np.ndarray]:
         """Normalised bytes, and for each of them the source byte it starts from; one entry more, the length of the source."""
-        data = text.encode()
-        spec = self.spec
-        if not data:
-            return b"", np.zeros(1, np.int64)
-        if not self.map.units and not spec.remove_extra_whitespaces:  # identity: bytes pass, spaces are escaped
-            raw = np.frombuffer(data, np.uint8)
-            wide = np.where(raw == 32, len(SPACE), 1) if spec.escape_whitespaces else np.ones(len(raw), np.int64)
-            source = np.repeat(np.arange(len(raw)), wide)
-            out = data.replace(b" ", SPACE) if spec.escape_whitespaces else data
-            if spec.add_dummy_prefix:
-                mark = SPACE if spec.escape_whitespaces else b" "
-                out, source = mark + out, np.concatenate([np.zeros(len(mark), np.int64), source])
-            return out, np.append(source, len(data))
-        parts: list[tuple[bytes, int]] = []
-        i = 0
-        while i < len(data):
-            hit = self.map.longest(data, i)
-            if hit:
-                n, new = hit
-            else:
-                n = 1 if data[i] < 0x80 else 2 if data[i] < 0xE0 else 3 if data[i] < 0xF0 else 4
-                new = data[i : i + n]
-            parts.append((new, i))
-            i += n
-        out, source = bytearray(), []
-        mark = SPACE if spec.escape_whitespaces else b" "
+        data, spec = text.encode(), self.spec
+        out, source = self._replace(data)
+        opens, closes = 0, len(data)
         if spec.remove_extra_whitespaces:
-            spaced, kept = True, []
-            for new, i in parts:
-                while spaced and new.startswith(b" "):
-                    new = new[1:]
-                if new:
-                    kept.append((new, i))
-                    spaced = new.endswith(b" ")
-            while kept and kept[-1][0].endswith(b" "):
-                new, i = kept.pop()
-                if new := new.rstrip(b" "):
-                    kept.append((new, i))
-            parts = kept
-        if spec.add_dummy_prefix and parts:
-            out += mark
-            source += [0] * len(mark)
-        for new, i in parts:
-            new = new.replace(b" ", mark)
-            out += new
-            source += [i] * len(new)
-        return bytes(out), np.array([*source, len(data)], np.int64)
-
-    def spans(self, text: str, ids: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        """Source byte at which each piece begins and ends."""
+            opens = self._leading(data)
+            raw = np.frombuffer(out, np.uint8)
+            space = raw == 32
+            keep = ~(space & np.concatenate([[True], space[:-1]])) if len(raw) else space  # leading spaces, and all but the first of a run
+            end, ends = len(out), (b" ", SPACE) if spec.escape_whitespaces else (b" ",)
+            while cut := next((len(x) for x in ends if out.endswith(x, 0, end)), 0):
+                end -= cut
+            closes = int(source[end]) if end < len(out) else closes
+            keep &= np.arange(len(raw)) < end
+            out, source = raw[keep].tobytes(), source[keep]
+        if not out:
+            return b"", np.array([len(data)], np.int64)
+        mark = SPACE if spec.escape_whitespaces else b" "
+        if spec.escape_whitespaces:
+            source = np.repeat(source, np.where(np.frombuffer(out, np.uint8) == 32, len(SPACE), 1))
+            out = out.replace(b" ", SPACE)
+        if spec.add_dummy_prefix:
+            out, source = mark + out, np.concatenate([np.full(len(mark), opens, np.int64), source])
+        return out, np.append(source, closes)
+
+    def _leading(self, data: bytes) -> int:
+        """Bytes at the start that are a space, or become one."""
+        at = 0
+        while at < len(data):
+            n, new = self.map.longest(data, at) or (1, data[at : at + 1])
+            if new != b" " or any(data.startswith(p, at) for p in self.apart):
+                break
+            at += n
+        return at
+
+    def encode_one(self, text: str) -> tuple[list[int], np.ndarray, np.ndarray]:
+        """Ids of a text, and the source byte at which each piece begins and ends."""
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[tuple[list[int], np.ndarray, np.ndarray]]:
+        normal = [self.normalise(t) for t in texts]
+        plain = [n.decode() for n, _ in normal]
+        return [(ids, *self._spans(p, n, source, ids)) for p, (n, source), ids in zip(plain, normal, self.segments.encode(plain, num_threads=1))]
+
+    def _spans(self, plain: str, normal: bytes, source: np.ndarray, ids: list[int]) -> tuple[np.ndarray, np.ndarray]:
         k = np.array(ids, np.int64)
         sizes = self.sizes[k]
         if (k == self.unknown).any():  # only the library knows how much of the text an unknown piece covers
-            sizes = np.array([len(p.piece.encode()) for p in self.library.encode(text, return_type="proto").pieces], np.int64)
-        normal, source = self.normalise(text)
+            sizes = np.array([len(p.piece.encode()) for p in self.segments.encode(plain, return_type="proto").pieces], np.int64)
         ends = np.cumsum(sizes)
         if len(ends) and ends[-1] != len(normal):
             raise ValueError("pieces do not cover the normalised text")
-        begins = ends - sizes
-        first, last = source[begins], source[ends]
-        if len(first):
-            first[0] = 0
-        return first, last
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return self.library.encode(texts, num_threads=1)
+        return source[ends - sizes], source[ends]
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.library.decode(ids, num_threads=1) if ids else []
@@ -162,8 +203,8 @@ def encode_documents(documents: DataFrame, model: str) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(model)
         for (doc_ids,), texts in rows_in_blocks(batches):
-            ids = enc.encode(texts)
-            spans = [enc.spans(t, i) for t, i in zip(texts, ids)]
+            made = enc.encode_all(texts)
+            ids, spans = [x[0] for x in made], [x[1:] for x in made]
             each = pa.list_(pa.int32())
             columns = [pa.array(doc_ids, pa.int64()), pa.array(ids, each), pa.array([s[0].astype("i4") for s in spans], each), pa.array([s[1].astype("i4") for s in spans], each), pa.array(enc.decode(ids))]
             yield pa.record_batch(columns, names=["doc_id", "ids", "begins", "ends", "decoded"])
@@ -188,10 +229,10 @@ def digests(documents: DataFrame, model: str, keep: list[str] | None = None) ->
         for batch in batches:
             out: list[list] = [[], [], [], []]
             for _, texts in rows_in_blocks(iter([batch.select([at])])):
-                ids = enc.encode(texts)
-                for text, i, back in zip(texts, ids, enc.decode(ids)):
+                encoded = enc.encode_all(texts)
+                for (i, *spans), back in zip(encoded, enc.decode([x[0] for x in encoded])):
                     crc = 0
-                    for s in enc.spans(text, i):
+                    for s in spans:
                         crc = zlib.crc32(s.astype("<u4").tobytes(), crc)
                     made = len(i), hashlib.sha256(",".join(map(enc.numbers.__getitem__, i)).encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), crc
                     for column, value in zip(out, made):
