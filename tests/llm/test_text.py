@@ -58,11 +58,13 @@ def test_token_files_hold_what_the_library_gives(spark, texts, tmp_path):
             ids = file.get_batch(0).column(0).flatten().to_numpy(zero_copy_only=True)
             assert pa.total_allocated_bytes() == before and not ids.flags.owndata
             assert all(n == 4 for n in rows_in[:-1])
-        shard = token_files.Shard(folder, int(name[-12:-6]))
-        n = sum(x[2] for x in shard.documents())
+        shard = token_files.Shard(folder, name.rsplit("/", 1)[1].removesuffix(".arrow"))
+        n = sum(x[2] for part in shard.documents() for x in part)
         masks = [shard.sequence(r)[1] for r in range(sum(rows_in))]
         assert sum(map(sum, masks)) == n and all(len(m) == 64 for m in masks)
-    assert not glob.glob(f"{tmp_path}/files/.*")
+    open(f"{tmp_path}/files/shard-000000-99.arrow", "w").close()  # what a lost attempt left
+    again = token_files.read_shards(spark, folder).collect()
+    assert sorted(map(repr, again)) == sorted(map(repr, got))
 
 
 def test_units_split_nothing_that_belongs_together(texts):
@@ -136,6 +138,56 @@ def test_pieces_and_spans(spark, texts):
     assert got == collections.Counter((d, len(i := sp.encode(t or "")), sha(",".join(map(str, i))), sha(sp.decode(i))) for d, t in rows)
 
 
+@pytest.fixture(scope="module")
+def mapped_models(tmp_path_factory):
+    """The public model with the library's compiled character maps in place of its own, which is empty."""
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2
+
+    out, folder = [], tmp_path_factory.mktemp("models")
+    for rule, flags in (("nmt_nfkc", {}), ("nfkc", {"add_dummy_prefix": False}), ("nmt_nfkc_cf", {"apart": ["<sep>", "ﬁ"]}), ("nfkc_cf", {"remove_extra_whitespaces": False}), ("nmt_nfkc", {"escape_whitespaces": False})):
+        held, model = sentencepiece_model_pb2.ModelProto(), sentencepiece_model_pb2.ModelProto()
+        held.ParseFromString(sentencepiece.SentencePieceNormalizer(rule_name=rule).serialized_model_proto())
+        with open(registry.tokenizer_path("piece_bpe_32k.model"), "rb") as f:
+            model.ParseFromString(f.read())
+        spec = model.normalizer_spec
+        spec.precompiled_charsmap, spec.name = held.normalizer_spec.precompiled_charsmap, rule
+        spec.add_dummy_prefix = spec.remove_extra_whitespaces = spec.escape_whitespaces = True
+        for k, v in flags.items():
+            if k != "apart":
+                setattr(spec, k, v)
+        for p in flags.get("apart", []):
+            model.pieces.add(piece=p, score=0, type=4)
+        out.append(f"{folder}/{len(out)}.model")
+        with open(out[-1], "wb") as f:
+            f.write(model.SerializeToString())
+    return out
+
+
+def test_every_text_goes_through_the_map(spark, texts, mapped_models):
+    import sentencepiece
+
+    rng = random.Random(11)
+    alphabet = [*"abcdefghij klmno  PQ ", "é", "ﬁ", "½", "İ", "Ａ", "\u3000", "\xa0", "\u200b", "\t", "\n", "\r", "漢", "😀", "e\u0301", "ｶﾞ", "①", "\x07", "ŉ", "\x1f", "<sep>", "▁"]
+    cases = [t or "" for t in texts if len(t or "") < 5000] + ["".join(rng.choice(alphabet) for _ in range(rng.randrange(60))) for _ in range(800)]
+    cases += ["  lead", "trail  ", "   ", "\u200b", "a \u200b b", "ab<sep>", "x ▁", "▁", "\x07ab", " \x07 a", "b\x07", "b \x07"]
+    for path in [registry.tokenizer_path("piece_bpe_32k.model"), *mapped_models]:
+        library, enc = sentencepiece.SentencePieceProcessor(model_file=path), pieces.PieceEncoder(path)
+        changed = 0
+        for t in cases:
+            ids, begins, ends = enc.encode_one(t)
+            proto = library.encode(t, return_type="proto").pieces
+            assert ids == [p.id for p in proto], (path, t)
+            changed += enc.normalise(t)[0].decode().replace("▁", " ").strip() != t.replace("▁", " ").strip()
+            if not any(enc.sizes[i] == 1 and library.is_byte(i) for i in ids):
+                assert list(zip(begins.tolist(), ends.tolist())) == [(p.begin, p.end) for p in proto], (path, t)
+        assert (changed > 300) == (path in mapped_models)
+    df, rows = frame(spark, cases[:100])
+    library = sentencepiece.SentencePieceProcessor(model_file=mapped_models[0])
+    got = collections.Counter((r.doc_id, tuple(r.ids), r.decoded) for r in pieces.encode_documents(df.withColumn("ids", F.lit(1)), mapped_models[0]).collect())
+    assert got == collections.Counter((d, tuple(i := library.encode(t or "")), library.decode(i)) for d, t in rows)
+
+
 def double_array(entries):
     """A character map's trie of single-step nodes, laid out one node after another: for the reader's test."""
     units, at = {}, 256
@@ -171,6 +223,7 @@ def test_character_map_takes_the_longest_prefix():
     assert m.longest(b"b", 0) is None and m.longest(b"", 0) is None
     enc = pieces.PieceEncoder(registry.tokenizer_path("piece_bpe_32k.model"))
     enc.map = m
+    enc.begins = enc._starts()
     out, source = enc.normalise("xabé a")
     assert out == "▁xoneb▁one".encode() and source.tolist() == [0, 0, 0, 0, 1, 1, 1, 2, 5, 5, 5, 6, 6, 6, 7]
 
