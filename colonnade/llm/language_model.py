@@ -1,17 +1,22 @@
 """Scores of documents by a log-bilinear model, trained in numpy with noise-contrastive estimation.
 
-Tokens are the lower-cased words of a text and one end. All counts are over all training documents: blocks of documents send each
-distinct word once, by hash, to the bucket of its range; buckets sum and answer in the order they were asked.
+Tokens are the lower-cased words of a text and one end. All counts are over all training documents: blocks of documents send each distinct
+word, and each distinct pair of neighbouring tokens, once, by hash, to the bucket of its range; buckets sum and answer in the order they were asked.
+What is gathered so grows with the corpus.
 
-The model predicts a token's symbol from the one before it: the end, one of the head words (the most frequent), or one of the tail classes (a hash of a
-word's last bytes). The score of symbol w after c is r_c . q_w + b_w. Training maximises the noise-contrastive objective with the unigram distribution as
+The model gives token w after token c the score r_c . q_w + b_w + d_cw. The first part is over symbols: the end, the head words (the most frequent),
+and tail classes (a hash of a word's last bytes). Training maximises the noise-contrastive objective with the unigram distribution as
 noise: counts of all pairs of symbols in the training documents stand for the data, and the expectation over the noise is taken in full,
-in blocks of matrix products. Counts of pairs are bounded by the square of the symbols, whatever the corpus. Scoring normalises each context by a product over all symbols.
-A tail word takes its class's probability times (count + 0.1) / (count of the class + 0.1 (words of the class + 1)).
-
-Word hashes are 64 bits: two words are taken for one with a chance of 2^-64 a pair. Defined cases: null and blank texts are one end; a null doc_id
-hashes as an empty text (held out); repeated rows each count; a corpus without training documents gives every token a count of 0 and the model's uniform
-start; an empty table gives no rows; other columns are ignored.
+in blocks of matrix products. Scoring normalises each context by a product over all symbols, and a tail word takes its class's probability times
+(count + 0.1) / (count of the class + 0.1 (words of the class + 1)); call what comes of it p0(w | c). The second part is a weight of each pair of words
+that occurs, trained against p0 as the noise with `prior` observations drawn from p0 beside the data of each context. A free weight has its
+noise-contrastive optimum in closed form, log((n_cw + prior p0) / ((n_c + prior) p0)), which is taken instead of steps towards it; with n_cw = 0 for
+pairs that do not occur the model is normalised: p(w | c) = p0 exp(d_cw) sums to one over all words.
+
+Hashes are 64 bits: two words, or two pairs, are taken for one with a chance of 2^-64 a pair. Counts are 64 bits. Blocks are sized by bytes of text.
+Defined cases: null and blank texts are one end; a null doc_id hashes as an empty text (held out); repeated rows each count; a very long text is
+a block of its own at worst; a corpus without training documents gives every token a count of 0 and the model's uniform start; an empty table gives
+no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -27,6 +32,9 @@ from pyspark.sql import functions as F
 from colonnade.llm.common import _shuffle_cleanup, drop, materialise, new_path, only, rows_in_blocks
 
 END = np.uint64(0)  # in place of a word's hash
+#: Bytes of text that a block has about, and that a task has.
+BLOCK_BYTES, TASK_BYTES = 6_000_000, 24_000_000
+_ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
@@ -119,18 +127,68 @@ def _table(key: str, model: dict) -> np.ndarray:
     return _TABLES[key]
 
 
-def _distinct(texts: list[str], docs: list, classes: int):
-    """Of a block: sizes of its texts, distinct keys in order, place of each token, counts in training texts, class of each key."""
-    words, sizes = tokens(texts)
-    h = word_hashes(words)
-    keys, first, place = np.unique(h, return_index=True, return_inverse=True)
-    training = np.array([is_training(d) for d in docs], bool)
-    counts = np.bincount(place, np.repeat(training, sizes), len(keys)).astype(np.int64)
-    return sizes, keys, place, counts, tail_class([words[i] for i in first.tolist()], classes), training
+def pair_hashes(before: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    """64 bits of each pair of token hashes."""
+    h = before * _ODD[0] + (tokens ^ (tokens >> np.uint64(32))) * _ODD[1]
+    h ^= h >> np.uint64(31)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(29))
+
+
+class Block:
+    """Of a block of texts: distinct words and distinct pairs in order, the place of each token in them, and their counts in training texts."""
+
+    def __init__(self, texts: list[str], docs: list, classes: int):
+        words, self.sizes = tokens(texts)
+        h = word_hashes(words)
+        self.keys, first, self.place = np.unique(h, return_index=True, return_inverse=True)
+        self.class_of = tail_class([words[i] for i in first.tolist()], classes)
+        self.training = np.array([is_training(d) for d in docs], bool)
+        self.counts = np.bincount(self.place, np.repeat(self.training, self.sizes), len(self.keys)).astype(np.int64)
+        #: The texts with their ends, in a row: where the words stand in it, and where each text begins.
+        self.at = np.arange(len(h)) + np.repeat(np.arange(len(self.sizes)), self.sizes)
+        self.stops = np.cumsum(self.sizes + 1)
+        self.starts = self.stops - self.sizes - 1
+        line = self.line(h, END)
+        self.pairs, self.pair_place = np.unique(pair_hashes(self.shifted(line), line), return_inverse=True)
+        self.pair_counts = np.bincount(self.pair_place, np.repeat(self.training, self.sizes + 1), len(self.pairs)).astype(np.int64)
+
+    def line(self, of_words: np.ndarray, of_end) -> np.ndarray:
+        """Values of all tokens in a row, from those of the words and that of the end."""
+        out = np.full(len(of_words) + len(self.sizes), of_end, of_words.dtype)
+        out[self.at] = of_words
+        return out
+
+    @staticmethod
+    def shifted(line: np.ndarray) -> np.ndarray:
+        """The value of the token before; before a text stands the end of another, or nothing, which counts as an end."""
+        return np.concatenate([line[-1:], line[:-1]])
+
+
+def packed(x: np.ndarray) -> bytes:
+    """Bytes of equal rank side by side, compressed."""
+    x = np.ascontiguousarray(x)
+    return pa.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes(), codec="zstd", asbytes=True) if len(x) else b""
+
 
+def unpacked(data: bytes, n: int, dtype) -> np.ndarray:
+    if not n:
+        return np.empty(0, dtype)
+    size = np.dtype(dtype).itemsize
+    raw = pa.decompress(data, decompressed_size=n * size, codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, n).T).view(dtype).ravel()
 
-def _cuts(keys: np.ndarray, buckets: int) -> np.ndarray:
-    return np.searchsorted((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1))
+
+def _cuts(keys: np.ndarray, buckets: int) -> list[int]:
+    return np.searchsorted((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1)).tolist()
+
+
+def summed(asked: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Distinct keys, where each is first asked, their sums, and the sums in the order that each block asked."""
+    keys, first, place = np.unique(np.concatenate(asked), return_index=True, return_inverse=True)
+    sums = np.zeros(len(keys), np.int64)
+    np.add.at(sums, place, np.concatenate(counts).astype(np.int64))
+    return keys, first, sums, np.split(sums[place], np.cumsum([len(x) for x in asked])[:-1])
 
 
 def _summary(keys, counts, class_of, words, distinct, head_words: int) -> bytes:
@@ -152,50 +210,58 @@ def _merged(parts: list[bytes], classes: int, head_words: int) -> bytes:
     return _summary(*(np.concatenate([e[i] for e in each]) for i in range(3)), sum(e[3] for e in each), sum(e[4] for e in each), head_words)
 
 
-def language_scores(documents: DataFrame, head_words: int = 2048, classes: int = 256, **training) -> DataFrame:
+def language_scores(documents: DataFrame, head_words: int = 2048, classes: int = 256, prior: float = 24.0, **training) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each document (doc_id, text)."""
     spark = documents.sparkSession
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     docs = only(documents, "doc_id", "text")
-    blocks = docs.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(4 * n)))
+    in_training = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(10)) != 0
+    size, ends = docs.agg(F.sum(F.octet_length("text")), F.count(F.when(in_training, 1))).first()
+    parts = max(n, -(-(size or 0) // TASK_BYTES))
+    blocks = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(4 * n, -(-(size or 0) // BLOCK_BYTES))))).repartition(parts, "block")
     counted = new_path(spark, "word-counts")
 
     def send(t: pa.Table) -> pa.Table:
-        _, keys, _, counts, class_of, _ = _distinct([x or "" for x in t.column("text").to_pylist()], t.column("doc_id").to_pylist(), classes)
-        cuts = _cuts(keys, n).tolist()
-        rows = [(b, keys[s:e].tobytes(), counts[s:e].astype("<u4").tobytes(), class_of[s:e].astype("<u2").tobytes()) for b, (s, e) in enumerate(zip(cuts, cuts[1:])) if e > s]
-        block = t.column("block")[0].as_py()
-        columns = [list(c) for c in zip(*rows)] or [[]] * 4
-        return pa.table([pa.array(columns[0], pa.int32()), pa.array([block] * len(rows), pa.int64()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=["bucket", "block", "keys", "counts", "classes"])
+        b = Block([x or "" for x in t.column("text").to_pylist()], t.column("doc_id").to_pylist(), classes)
+        rows = []
+        for pairs, keys, counts in ((False, b.keys, b.counts), (True, b.pairs, b.pair_counts)):
+            cuts = _cuts(keys, parts)
+            for bucket, (s, e) in enumerate(zip(cuts, cuts[1:])):
+                if e > s:
+                    class_of = b"" if pairs else packed(b.class_of[s:e].astype("<u2"))
+                    rows.append((2 * bucket + pairs, e - s, packed(np.diff(keys[s:e], prepend=np.uint64(0))), packed(counts[s:e]), class_of))
+        columns = [list(c) for c in zip(*rows)] or [[]] * 5
+        arrays = [pa.array(columns[0], pa.int32()), pa.array([t.column("block")[0].as_py()] * len(rows), pa.int64()), pa.array(columns[1], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[2:])]
+        return pa.table(arrays, names=["bucket", "block", "n", "keys", "counts", "classes"])
 
     def total(t: pa.Table) -> pa.Table:
-        asked = [np.frombuffer(x, np.uint64) for x in t.column("keys").to_pylist()]
-        keys, first, place = np.unique(np.concatenate(asked), return_index=True, return_inverse=True)
-        sums = np.bincount(place, np.concatenate([np.frombuffer(x, "<u4") for x in t.column("counts").to_pylist()]), len(keys)).astype(np.int64)
-        class_of = np.concatenate([np.frombuffer(x, "<u2") for x in t.column("classes").to_pylist()])[first].astype(np.int64)
-        rows, start = [], 0
-        for block, x in zip(t.column("block").to_pylist(), asked):
-            rows.append(("answer", block, t.column("bucket")[0].as_py(), 0, sums[place[start : start + len(x)]].astype("<u4").tobytes()))
-            start += len(x)
-        words, distinct = np.bincount(class_of, sums, classes).astype(np.int64), np.bincount(class_of, sums > 0, classes).astype(np.int64)
-        rows.append(("summary", t.column("bucket")[0].as_py(), 0, 0, _summary(keys, sums, class_of, words, distinct, head_words)))
-        return pa.table([pa.array(c, k) for c, k in zip(zip(*rows), (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["kind", "a", "b", "c", "data"])
-
-    sent = blocks.groupBy("block").applyInArrow(send, "bucket int, block long, keys binary, counts binary, classes binary")
+        bucket, sizes = t.column("bucket")[0].as_py(), t.column("n").to_pylist()
+        asked = [np.cumsum(unpacked(x, k, np.uint64), dtype=np.uint64) for x, k in zip(t.column("keys").to_pylist(), sizes)]
+        keys, first, sums, answers = summed(asked, [unpacked(x, k, np.int64) for x, k in zip(t.column("counts").to_pylist(), sizes)])
+        rows = [("answer", block, bucket, k, packed(x)) for block, k, x in zip(t.column("block").to_pylist(), sizes, answers)]
+        if bucket % 2 == 0:
+            class_of = np.concatenate([unpacked(x, k, "<u2") for x, k in zip(t.column("classes").to_pylist(), sizes)])[first].astype(np.int64)
+            words, distinct = np.zeros(classes, np.int64), np.bincount(class_of, sums > 0, classes).astype(np.int64)
+            np.add.at(words, class_of, sums)
+            rows.append(("summary", bucket, 0, 0, _summary(keys, sums, class_of, words, distinct, head_words)))
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*rows), (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["kind", "a", "b", "n", "data"])
+
+    sent = blocks.groupBy("block").applyInArrow(send, "bucket int, block long, n int, keys binary, counts binary, classes binary")
     with _shuffle_cleanup(spark):
-        sent.groupBy("bucket").applyInArrow(total, "kind string, a long, b long, c long, data binary").write.partitionBy("kind").parquet(counted)
-    told = spark.read.schema("a long, b long, c long, data binary, kind string").parquet(counted)
-    ends = docs.where(F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(10)) != 0).count()
+        sent.repartition(2 * parts, "bucket").groupBy("bucket").applyInArrow(total, "kind string, a long, b long, n long, data binary").write.partitionBy("kind").parquet(counted)
+    told = spark.read.schema("a long, b long, n long, data binary, kind string").parquet(counted)
+
     def merge(t: pa.Table) -> pa.Table:
         return pa.table([pa.array([_merged(t.column("data").to_pylist(), classes, head_words)], pa.binary())], names=["data"])
 
     # summaries are of bounded size, and the driver gets 16 of them, however many buckets there are
-    summaries = told.where("kind = 'summary'").select((F.col("a") % 16).alias("part"), "data").groupBy("part").applyInArrow(merge, "data binary").collect()
+    summaries = told.where("kind = 'summary'").select((F.col("a") / 2 % 16).cast("int").alias("part"), "data").groupBy("part").applyInArrow(merge, "data binary").collect()
     head, counts, class_of, words, distinct = _parsed(_merged([r.data for r in summaries], classes, head_words), classes)
     n_tokens, n_distinct = int(words.sum()) + ends, int(distinct.sum()) + (ends > 0)
     in_class = np.stack([words, distinct]).astype(np.float64)
     np.subtract.at(in_class[0], class_of, counts)
     np.subtract.at(in_class[1], class_of, 1)
+    in_class = np.maximum(in_class, 0)
     symbols = Symbols(head, classes)
     sym_shared = spark.sparkContext.broadcast(symbols)
     size = symbols.size
@@ -245,33 +311,28 @@ def language_scores(documents: DataFrame, head_words: int = 2048, classes: int =
     drop(sums)
     shared, key = spark.sparkContext.broadcast(model), counted
 
+    names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    kinds = (pa.int64(), pa.bool_(), *[pa.int64()] * 3, *[pa.float64()] * 2)
+
     def score(t: pa.Table, a: pa.Table) -> pa.Table:
         known, tail = shared.value["symbols"], shared.value["in_class"]
         table = _table(key, shared.value)
         ids, texts = t.column("doc_id").to_pylist(), [x or "" for x in t.column("text").to_pylist()]
         if not ids:
-            return pa.table([pa.array([], k) for k in (pa.int64(), pa.bool_(), *[pa.int64()] * 3, *[pa.float64()] * 2)], names=names)
-        sizes, keys, place, _, class_of, training = _distinct(texts, ids, classes)
-        by_bucket = dict(zip(a.column("b").to_pylist(), a.column("data").to_pylist()))
-        counts = np.concatenate([np.empty(0, "<u4"), *(np.frombuffer(by_bucket[b], "<u4") for b in sorted(by_bucket))]).astype(np.float64)
+            return pa.table([pa.array([], k) for k in kinds], names=names)
+        b = Block(texts, ids, classes)
+        answers = sorted(zip(a.column("b").to_pylist(), a.column("n").to_pylist(), a.column("data").to_pylist()))
+        counts, pair_counts = (np.concatenate([np.empty(0, np.int64), *(unpacked(x, k, np.int64) for bucket, k, x in answers if bucket % 2 == odd)]).astype(np.float64) for odd in (0, 1))
         floor = n_tokens + 0.1 * (n_distinct + 1)
-        base = np.log10((counts + 0.1) / floor)
-        of = known.of(keys, class_of)
-        within = np.where(of <= classes, np.log10((counts + 0.1) / (np.maximum(tail[0], 0)[class_of] + 0.1 * (np.maximum(tail[1], 0)[class_of] + 1))), 0.0)
-        line = np.zeros(len(place) + len(sizes), np.int64)
-        at = np.arange(len(place)) + np.repeat(np.arange(len(sizes)), sizes)
-        line[at] = of[place]
-        logs = table[np.concatenate([[0], line[:-1]]), line].astype(np.float64)
-        logs[at] += within[place]
-        bases = np.full(len(line), np.log10((ends + 0.1) / floor))
-        bases[at] = base[place]
-        stops = np.cumsum(sizes + 1)
-        starts = stops - sizes - 1
-        seen = np.full(len(line), ends > 0, np.int64)
-        seen[at] = counts[place] > 0
-        columns = [ids, ~training, sizes + 1, np.add.reduceat(seen, starts), np.full(len(ids), n_tokens), np.add.reduceat(bases, starts), np.add.reduceat(logs, starts)]
-        return pa.table([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.bool_(), *[pa.int64()] * 3, *[pa.float64()] * 2))], names=names)
-
-    names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-    answers = told.where("kind = 'answer'").select(F.col("a").alias("block"), "b", "data")
+        seen = b.line(counts[b.place], float(ends))
+        of = known.of(b.keys, b.class_of)
+        within = np.where(of <= classes, np.log10((counts + 0.1) / (tail[0][b.class_of] + 0.1 * (tail[1][b.class_of] + 1))), 0.0)
+        line = b.line(of[b.place], 0)
+        smooth = 10 ** (table[b.shifted(line), line].astype(np.float64) + b.line(within[b.place], 0.0))
+        logs = np.log10((pair_counts[b.pair_place] + prior * smooth) / (b.shifted(seen) + prior))
+        bases = np.log10((seen + 0.1) / floor)
+        columns = [ids, ~b.training, b.sizes + 1, np.add.reduceat((seen > 0).astype(np.int64), b.starts), np.full(len(ids), n_tokens), np.add.reduceat(bases, b.starts), np.add.reduceat(logs, b.starts)]
+        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+
+    answers = told.where("kind = 'answer'").select(F.col("a").alias("block"), "b", "n", "data").repartition(parts, "block")
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -344,14 +344,58 @@ def test_language_model(spark):
     out = [r for r in scores.values() if r.held_out]
     assert len(out) > 10 and sum(r.score for r in out) > 0.9 * sum(r.base_score for r in out)
     assert language_model.language_scores(df.limit(0)).count() == 0
+    held_only = language_model.language_scores(df.where("doc_id is null")).collect()
+    assert [(r.held_out, r.n_known, r.train_tokens) for r in held_only] == [(True, 0, 0)]
+
+
+def test_scores_are_what_the_model_says(spark, monkeypatch):
+    """Scores recomputed token by token from the trained numbers and from counts made here; probabilities of all words sum to one."""
+    rng = random.Random(2)
+    words = ["Ab", "ab", "cde", "f", "ghi", "é", "zz", "q1"] + [f"w{i}" for i in range(30)]
+    rows = [(i, " ".join(rng.choice(words[: rng.randrange(2, 38)]) for _ in range(rng.randrange(0, 40)))) for i in range(120)] + [(500, None), (501, "only here once")]
+    found, train = {}, language_model.train
+    monkeypatch.setattr(language_model, "train", lambda pairs, **k: found.setdefault("p", train(pairs, **k)))
+    df = spark.createDataFrame(rows, DOCS)
+    got = {r.doc_id: r.score for r in language_model.language_scores(df, head_words=6, classes=3, prior=5.0, steps=20).collect()}
+    split = lambda t: [*(t or "").encode().lower().split(), None]
+    lines = [(d, split(t)) for d, t in rows]
+    counts, pairs = collections.Counter(), collections.Counter()
+    for d, w in lines:
+        if zlib.crc32(str(d).encode()) % 10:
+            counts.update(w)
+            pairs.update(zip([None, *w], w))
+    vocabulary = [w for w in counts if w is not None]
+    keys = dict(zip(vocabulary, language_model.word_hashes(vocabulary).tolist()))
+    head = sorted(keys[w] for w in sorted(vocabulary, key=lambda w: (-counts[w], keys[w]))[:6])
+    class_of = lambda w: zlib.crc32(w[-3:]) % 3
+    symbol = lambda w: 0 if w is None else 4 + head.index(keys[w]) if keys.get(w) in head else 1 + class_of(w)
+    table = language_model.log10_table(found["p"]).astype(float)
+    tail = [w for w in vocabulary if symbol(w) <= 3]
+    mass = {c: sum(counts[w] for w in tail if class_of(w) == c) + 0.1 * (sum(class_of(w) == c for w in tail) + 1) for c in range(3)}
+
+    def smooth(c, w):
+        p = 10 ** table[symbol(c), symbol(w)]
+        return p if symbol(w) in (0, 4, 5, 6, 7, 8, 9) else p * (counts[w] + 0.1) / mass[class_of(w)]
+
+    probability = lambda c, w: (pairs[c, w] + 5.0 * smooth(c, w)) / (counts[c] + 5.0)
+    for d, w in lines:
+        assert abs(got[d] - sum(math.log10(probability(c, x)) for c, x in zip([None, *w], w))) < 1e-3 * len(w), d
+    for c in (None, b"ab", b"w7", b"never"):
+        unknown = 5.0 * sum(10 ** table[symbol(c), 1 + k] * 0.1 / mass[k] for k in range(3)) / (counts[c] + 5.0)
+        assert abs(sum(probability(c, w) for w in [None, *vocabulary]) + unknown - 1) < 1e-4
+
+
+def test_counts_past_32_bits():
+    keys, _, sums, answers = language_model.summed([np.array([3, 9], np.uint64), np.array([9], np.uint64)], [np.array([1, 3_000_000_000]), np.array([3_000_000_000])])
+    assert keys.tolist() == [3, 9] and sums.tolist() == [1, 6_000_000_000] and [x.tolist() for x in answers] == [[1, 6_000_000_000], [6_000_000_000]]
+    x = np.array([6_000_000_000, 0, 2**62], np.int64)
+    assert language_model.unpacked(language_model.packed(x), 3, np.int64).tolist() == x.tolist() and language_model.unpacked(language_model.packed(x[:0]), 0, np.int64).tolist() == []
 
 
 def test_probabilities_sum_to_one():
     rng = np.random.default_rng(1)
     p = language_model.train(rng.integers(0, 50, (40, 40)).astype(np.float32), steps=30)
     assert np.allclose((10.0 ** language_model.log10_table(p).astype(float)).sum(axis=1), 1, atol=1e-4)
-    counts = np.array([5.0, 3, 0, 2])
-    assert abs(sum((counts + 0.1) / (counts.sum() + 0.1 * (3 + 1))) + 0.0 - (counts.sum() + 0.4) / (counts.sum() + 0.4)) < 1e-9
 
 
 def test_trained_model_beats_its_start():
