@@ -4,14 +4,17 @@ Centroids are fitted on a bounded sample; then every vector is assigned to the c
 whose boundary is near: with home h, cell c is visited if x.(h - c) <= margin |h - c|, for the unit vector x. A pair is found if one of the two
 visits the home of the other, so a pair is lost only if they lie on either side of a boundary, each more than the margin away. Their chord then is over
 twice the margin: with half the chord of the threshold's angle as margin, the default, no link is ever lost, whatever the number of cells or the intrinsic dimension.
-A pair counts in one cell only.
+A smaller margin copies less and may lose links. Past max_cells cells there are two levels, coarse cells and cells within each, with the same rule at both; a
+pair counts in the lowest cell where it meets, of the lowest coarse cell where it meets. Cells number one for each cell_size vectors, up to
+max_cells squared / 16 (65,536), and larger ones are cut into blocks.
 
 Equal vectors are one vector with a count. Cells of over block vectors are cut into blocks, each pair of blocks being a task's work; a
-cell returns counts and a spanning forest, never its pairs. Centroids are broadcast: max_cells vectors at most.
+cell returns counts and a spanning forest, never its pairs. Centroids are broadcast, 65,536 of them at most.
 
-Defined cases: a vector that is null, zero, of another length than most, or holds null or non-finite numbers, or whose label or vec_id is null,
-links with nothing and is kept (component_id is its vec_id); rows that repeat a vector with other ids link; an empty table gives no rows;
-other columns are ignored.
+Defined cases: a vector that is null, zero, or holds null or non-finite numbers, or whose label or vec_id is null,
+links with nothing and is kept (component_id is its vec_id); vectors of another length are compared among themselves, each length with cells of its
+own; rows that repeat a vector with other ids link; very long vectors are read whole; an empty table gives no rows; other columns, whatever their
+names, are ignored.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +34,9 @@ from colonnade.llm.simhash import forest
 
 def fit_cells(sample: np.ndarray, k: int, rounds: int = 12, seed: int = 5) -> np.ndarray:
     """Spherical k-means: unit centroids of unit vectors. An empty cell takes the vector worst served."""
+    if k <= 1:
+        total = sample.sum(axis=0, keepdims=True)
+        return total / max(float(np.linalg.norm(total)), 1e-30)
     rng = np.random.default_rng(seed)
     centres = sample[rng.choice(len(sample), min(k, len(sample)), replace=False)].copy()
     for _ in range(rounds):
@@ -62,65 +69,126 @@ def assign(x: np.ndarray, centres: np.ndarray, gaps: np.ndarray, margin: float)
     return home, inside
 
 
-def compare(ids, counts, x, own, cell: int, centres: np.ndarray, gaps: np.ndarray, margin: float, threshold: float, step: int = 1024):
+class Cells:
+    """Two levels of centroids: coarse, and for each coarse cell its own."""
+
+    def __init__(self, coarse: np.ndarray, fine: list[np.ndarray]):
+        self.coarse, self.fine = coarse, fine
+        self.width = max(len(f) for f in fine)
+        self.gaps: dict[int, np.ndarray] = {}
+
+    @staticmethod
+    def fit(sample: np.ndarray, k: int, max_cells: int, seed: int) -> Cells:
+        k1 = k if k <= max_cells else math.ceil(math.sqrt(k))
+        coarse = fit_cells(sample, k1, seed=seed)
+        if k <= max_cells:
+            return Cells(coarse, [coarse[c : c + 1] for c in range(len(coarse))])
+        home = np.concatenate([(sample[a : a + 4096] @ coarse.T).argmax(axis=1) for a in range(0, len(sample), 4096)])
+        members = [sample[home == c] for c in range(len(coarse))]
+        share = len(sample) / k
+        return Cells(coarse, [fit_cells(m, max(1, round(len(m) / share)), seed=seed) if len(m) else coarse[c : c + 1] for c, m in enumerate(members)])
+
+    def assign(self, x: np.ndarray, within: int | None, margin: float) -> tuple[np.ndarray, np.ndarray]:
+        """Home and cells of unit vectors among the coarse cells, or among those within one."""
+        centres = (self.coarse if within is None else self.fine[within]).astype(np.float64)
+        key = -1 if within is None else within
+        if key not in self.gaps:
+            if len(self.gaps) > 64:
+                self.gaps.clear()
+            self.gaps[key] = boundaries(centres)
+        return assign(x, centres, self.gaps[key], margin)
+
+    def place(self, x: np.ndarray, margin: float) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and numbers of all cells that the vectors are in."""
+        at, cells = [], []
+        _, inside = self.assign(x, None, margin)
+        for c in range(len(self.coarse)):
+            rows = np.flatnonzero(inside[:, c])
+            if len(rows):
+                i, f = np.nonzero(self.assign(x[rows], c, margin)[1])
+                at.append(rows[i])
+                cells.append(c * self.width + f)
+        return np.concatenate(at), np.concatenate(cells)
+
+
+def compare(ids, counts, x, own, cell: int, cells: Cells, margin: float, threshold: float, step: int = 1024):
     """Links among the vectors in one cell: for each, those found here (weighted by counts), and the least place it is connected to.
 
     own: the block that a vector is from, where the cell's vectors come as two blocks that meet; -1 where all of them meet.
     """
     n = len(ids)
-    home, inside = assign(x, centres, gaps, margin)
+    levels = []
+    for within, here in ((None, cell // cells.width), (cell // cells.width, cell % cells.width)):
+        home, inside = cells.assign(x, within, margin)
+        levels.append((here, home, inside, home == here))
     links, labels = np.zeros(n, np.int64), np.arange(n)
-    resident = home == cell
     for a in range(0, n, step):
         for b in range(a, n, step):
             i, j = np.nonzero(x[a : a + step] @ x[b : b + step].T >= threshold)
             i, j = i + a, j + b
-            keep = (i < j) & (resident[i] | resident[j]) & ((own[i] < 0) | (own[i] != own[j]))
+            keep = (i < j) & ((own[i] < 0) | (own[i] != own[j]))
+            for _, _, _, resident in levels:
+                keep &= resident[i] | resident[j]
             i, j = i[keep], j[keep]
             labels = forest(n, i, j, labels)
-            # a resident and a guest meet again in the guest's home if the resident visits it: the lower cell counts them
-            r, g = np.where(resident[i], i, j), np.where(resident[i], j, i)
-            once = resident[g] | ~inside[r, home[g]] | (home[g] > cell)
+            once = np.ones(len(i), bool)
+            for here, home, inside, resident in levels:
+                # a resident and a guest meet again in the guest's home if the resident visits it: the lower cell counts them
+                r, g = np.where(resident[i], i, j), np.where(resident[i], j, i)
+                once &= resident[g] | ~inside[r, home[g]] | (home[g] > here)
             i, j = i[once], j[once]
             links += np.bincount(i, counts[j], n).astype(np.int64) + np.bincount(j, counts[i], n).astype(np.int64)
     return links, labels
 
 
 def near_vectors(table: DataFrame, threshold: float = 0.93, cell_size: int = 1000, max_cells: int = 1024, sample_rows: int = 20_000, block: int = 4096, margin: float | None = None, seed: int = 5) -> DataFrame:
-    """vec_id, n_links, component_id, kept of each row (vec_id, embedding, label). sample_rows bounds what the centroids are fitted on."""
-    spark = table.sparkSession
+    """vec_id, n_links, component_id, kept of each row (vec_id, embedding, label).
+
+    sample_rows bounds what the centroids are fitted on, up to 20 cells for each 100 of them; beyond, four vectors a cell are sampled (262,144 at most).
+    """
     rows = only(table, "vec_id", "embedding", "label")
     finite = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))
     fit = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("embedding").isNotNull() & F.forall("embedding", finite) & F.exists("embedding", lambda v: v != 0)
-    good = rows.where(fit)
-    size = good.groupBy(F.size("embedding").alias("dim")).count().orderBy(F.col("count").desc(), "dim").first()
-    single = {"vec_id": F.col("vec_id"), "n_links": F.lit(0).cast("long"), "component_id": F.col("vec_id"), "kept": F.lit(True)}
-    if size is None:
-        return rows.select(*(c.alias(n) for n, c in single.items()))
-    dim = size["dim"]
-    fit = F.coalesce(fit & (F.size("embedding") == dim), F.lit(False))
-    distinct = rows.where(fit).groupBy("label", "embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"))
+    fit = F.coalesce(fit, F.lit(False))
+    lengths = [r[0] for r in rows.where(fit).groupBy(F.size("embedding").alias("dim")).count().where("count > 1").collect()]
+    lone = rows.where(~fit | ~F.size("embedding").isin(lengths)) if lengths else rows
+    out = lone.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    if margin is None:
+        margin = math.sqrt(max(0.0, (1 - threshold) / 2)) + 1e-9
+    for dim in sorted(lengths):
+        out = _of_length(rows.where(fit & (F.size("embedding") == dim)), dim, threshold, cell_size, max_cells, sample_rows, block, margin, seed).unionByName(out)
+    return out
+
+
+def _of_length(rows: DataFrame, dim: int, threshold: float, cell_size: int, max_cells: int, sample_rows: int, block: int, margin: float, seed: int) -> DataFrame:
+    """near_vectors of rows that are all fit, and of one length."""
+    spark = rows.sparkSession
+
+    def unit(x: np.ndarray) -> np.ndarray:
+        x = x.astype(np.float64).reshape(-1, dim)
+        x = x / np.abs(x).max(axis=1, keepdims=True)  # so that no square overflows, or vanishes
+        return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+    distinct = rows.groupBy("label", "embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"))
     distinct = materialise(distinct, "vectors")
     total = distinct.count()
+    k = max(1, min(max_cells**2 // 16, math.ceil(total / cell_size)))
+    sample_rows = max(sample_rows, min(4 * k, max_cells**2 // 4))
     share = sample_rows / max(total, 1)
-    picked = distinct.where(F.shiftrightunsigned(F.xxhash64(F.lit(seed), "id"), 11) / F.lit(float(2**53)) < share).select("id", "embedding").limit(2 * sample_rows)
-    picked = sorted(picked.toArrow().to_pylist(), key=lambda r: r["id"])
-    sample = np.array([r["embedding"] for r in picked], np.float64).reshape(-1, dim)
-    sample /= np.linalg.norm(sample, axis=1, keepdims=True)
-    centres = fit_cells(sample, max(1, min(max_cells, math.ceil(total / cell_size))), seed=seed) if len(sample) else np.eye(1, dim)
-    if margin is None:
-        margin = math.sqrt(max(0.0, (1 - threshold) / 2))
-    shared = spark.sparkContext.broadcast((centres, boundaries(centres)))
+    picked = distinct.where(F.shiftrightunsigned(F.xxhash64(F.lit(seed), "id"), 11) / F.lit(float(2**53)) < share).select("id", "embedding").limit(2 * sample_rows).toArrow()
+    picked = picked.take(pc.sort_indices(picked, [("id", "ascending")])).column("embedding").combine_chunks()
+    sample = unit(picked.flatten().to_numpy(zero_copy_only=False)).astype(np.float32)
+    cells = Cells.fit(sample, k, max_cells, seed) if len(sample) else Cells(np.eye(1, dim), [np.eye(1, dim)])
+    shared = spark.sparkContext.broadcast(cells)
 
     def place(batches):
         for b in batches:
-            flat = b.column("embedding").flatten().to_numpy(zero_copy_only=False)
-            x = flat.astype(np.float64).reshape(-1, dim)
-            x /= np.linalg.norm(x, axis=1, keepdims=True)
-            _, inside = assign(x, *shared.value, margin)
-            at, cell = np.nonzero(inside)
-            take = b.take(pa.array(at))
-            yield pa.RecordBatch.from_arrays([pa.array(cell.astype("i4")), *(take.column(c) for c in ("label", "id", "copies", "embedding"))], names=["cell", "label", "id", "copies", "embedding"])
+            for start in range(0, b.num_rows, 2048):
+                part = b.slice(start, 2048)
+                at, cell = shared.value.place(unit(part.column("embedding").flatten().to_numpy(zero_copy_only=False)), margin)
+                for a in range(0, len(at), 16384):
+                    take = part.take(pa.array(at[a : a + 16384]))
+                    yield pa.RecordBatch.from_arrays([pa.array(cell[a : a + 16384].astype("i4")), *(take.column(c) for c in ("label", "id", "copies", "embedding"))], names=["cell", "label", "id", "copies", "embedding"])
 
     placed = distinct.select("label", "id", "copies", "embedding").mapInArrow(place, f"cell int, label {rows.schema['label'].dataType.simpleString()}, id long, copies long, embedding array<{rows.schema['embedding'].dataType.elementType.simpleString()}>")
     large = materialise(placed.groupBy("cell", "label").count().where(F.col("count") > block).select("cell", "label", F.ceil(F.col("count") / block).cast("int").alias("blocks")), "large-cells")
@@ -131,12 +199,11 @@ def near_vectors(table: DataFrame, threshold: float = 0.93, cell_size: int = 100
     placed = placed.select("cell", "label", low.alias("a"), high.alias("b"), F.when(low == high, -1).otherwise(F.col("own")).alias("own"), "id", "copies", "embedding")
 
     def work(t: pa.Table) -> pa.Table:
-        x = np.array(t.column("embedding").to_pylist(), np.float64).reshape(-1, dim)
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        x = unit(t.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False))
         ids, counts, own = (t.column(c).to_numpy() for c in ("id", "copies", "own"))
         order = np.argsort(ids, kind="stable")
         ids = ids[order]
-        links, labels = compare(ids, counts[order], x[order], own[order], t.column("cell")[0].as_py(), *shared.value, margin, threshold)
+        links, labels = compare(ids, counts[order], x[order], own[order], t.column("cell")[0].as_py(), shared.value, margin, threshold)
         some = (links > 0) | (labels != np.arange(len(ids)))
         return pa.table([pa.array(ids[some]), pa.array(links[some]), pa.array(ids[labels[some]])], names=["id", "links", "root"])
 
@@ -145,6 +212,5 @@ def near_vectors(table: DataFrame, threshold: float = 0.93, cell_size: int = 100
     classes = components(found.select(F.col("id").alias("u"), F.col("root").alias("v"))).withColumnRenamed("node", "id")
     state = distinct.join(links, "id", "left").join(classes, "id", "left")
     state = state.select(F.col("label").alias("l"), F.col("embedding").alias("e"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "id").alias("c"))
-    linked = rows.where(fit).join(state, (F.col("label") == F.col("l")) & (F.col("embedding") == F.col("e")))
-    linked = linked.select("vec_id", F.col("n").cast("long").alias("n_links"), F.col("c").alias("component_id"), (F.col("vec_id") == F.col("c")).alias("kept"))
-    return linked.unionByName(rows.where(~fit).select(*(c.alias(n) for n, c in single.items())))
+    linked = rows.join(state, (F.col("label") == F.col("l")) & (F.col("embedding") == F.col("e")))
+    return linked.select("vec_id", F.col("n").cast("long").alias("n_links"), F.col("c").alias("component_id"), (F.col("vec_id") == F.col("c")).alias("kept"))

@@ -295,10 +295,9 @@ def test_vectors(spark, options):
             break
         labels = new
     links = sum(got[r[0]].n_links for r in good)
-    assert links >= 0.9 * near.sum() and all(got[r[0]].n_links <= near[i].sum() for i, r in enumerate(good))
-    if links == near.sum():
-        for i, r in enumerate(good):
-            assert got[r[0]].component_id == good[labels[i]][0] and got[r[0]].kept == (labels[i] == i)
+    assert links == near.sum() and all(got[r[0]].n_links == near[i].sum() for i, r in enumerate(good))
+    for i, r in enumerate(good):
+        assert got[r[0]].component_id == good[labels[i]][0] and got[r[0]].kept == (labels[i] == i)
     for r in rows:
         if r not in good:
             assert (got[r[0]].n_links, got[r[0]].component_id, got[r[0]].kept) == (0, r[0], True)
