@@ -1,12 +1,18 @@
 """Main text of web pages by a minimum cut over their blocks.
 
-A page is cut into blocks of text at block-level tags. A classifier gives each block the log odds of being content, from the elements it lies
-in, their class, id and role, its share of linked text and its length. Source-to-block capacity is the cost of calling the block boilerplate,
-block-to-sink capacity that of calling it content; blocks next to each other, and blocks under one parent, are joined by smoothness
-capacities that fall with their distance in the tree. Maximum flow gives the minimum cut, and the blocks on the source's side are content.
+A page is cut into blocks of text at block-level tags; a part of a line that is named as an advert or a button to share is a block of its own inside
+the line. A classifier, a logistic regression over features of the block and of the elements around it, gives each block the log odds of being
+content. It is fitted in numpy on pages that are generated with their truth (html_pages), TRAINING_PAGES of them, whatever the table. Source-to-block
+capacity is the cost of calling the block boilerplate, block-to-sink capacity that of calling it content; blocks next to each other, and blocks under one
+parent, are joined by smoothness capacities that fall with their distance in the tree, on the scale of the terminal costs. Maximum flow gives the minimum
+cut, and the blocks on the source's side are content.
+
+A class or id speaks for an element only if nothing else in the name does: no-sidebar or comments-open say what a page has, and a
+word on body, on main, or on what holds the article says nothing about the text inside.
 
 Defined cases: null, empty and tagless-but-blank pages give an empty text; text without any tags is one block, and content; unclosed tags end
-where HTML implies, or with the page; repeated rows stay; an empty table gives no rows; other columns are ignored.
+where HTML implies, or with the page; end tags without a partner are passed over in constant time; malformed tags and very long pages are read
+to their end; a null page_id or url is kept; repeated rows stay; an empty table gives no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -14,13 +20,19 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from colonnade.llm.common import only, rows_in_blocks
 
+#: Generated pages that the classifier is fitted on.
+TRAINING_PAGES = 400
+
 # Element names and the words of class and id attributes that the classifier knows.
 SKIPPED = frozenset("script style noscript template svg math iframe object canvas video audio head title select textarea button datalist".split())
 RAW = frozenset("script style textarea title noscript iframe xmp".split())
@@ -33,6 +45,14 @@ BOILER_WORDS = frozenset(
     "cookie cookies consent gdpr notice notices banner alert popup modal overlay newsletter subscribe signup login menu menus nav navbar navigation topnav breadcrumb breadcrumbs pagination pager "
     "footer foot copyright masthead share sharing social related recommended recommendations toolbar search skip outbrain taboola".split()
 )
+INLINE_WORDS = frozenset("ad ads advert adverts advertisement sponsor sponsored share sharing social".split())
+#: Words that leave the meaning of a boilerplate word beside them as it is.
+NEUTRAL_WORDS = frozenset(
+    "site page top bottom left right main global primary secondary box block list item items link links wrap wrapper container section area bar inner outer row col column post posts article articles "
+    "story stories slot unit zone panel form field button buttons group holder content body text title heading count more sticky fixed js".split()
+)
+#: Beside these a boilerplate word tells what the page has or lacks, not what the element is.
+STATE_WORDS = frozenset("no not has have with without is are open opened closed enabled disabled on off visible hidden active inactive allowed".split())
 CONTENT_WORDS = frozenset("article content post entry story main body text prose maincontent articlebody".split())
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog alertdialog menu menubar toolbar".split())
 CONTENT_ROLES = frozenset("main article".split())
@@ -50,99 +70,108 @@ SCOPE = frozenset("table ul ol dl body html article section div main aside nav h
 
 _TOKEN = re.compile(r"""<(?:!--.*?(?:-->|\Z)|!\[CDATA\[.*?(?:\]\]>|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>"'=]++|=\s*+(?:"[^"]*"|'[^']*')|["'=])*+)(?:>|\Z))""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
-_SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
+_CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 _RIGHTS = re.compile(r"^©|all rights reserved", re.I)
-#: Log odds that the elements around a block add.
-STRONG = 8.0
+_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
+
+
+def name_words(name: str) -> list[str]:
+    """Words of one class or id, lowered; capitals inside begin a word, digits say nothing."""
+    return [w for w in re.split(r"[^a-z]+", _CAMEL.sub("-", name).lower()) if w]
+
+
+@lru_cache(maxsize=65536)
+def name_says(names: str) -> tuple[bool, bool, bool, bool]:
+    """Of a class or id attribute: whether some name in it is boilerplate's own, or only holds such a word; whether one is content's; whether one marks an advert or a share button."""
+    full = weak = content = inline = False
+    for name in names.split():
+        words = set(name_words(name))
+        if words & STATE_WORDS:
+            continue
+        if words & (BOILER_WORDS | {"header"}):
+            if words <= BOILER_WORDS | NEUTRAL_WORDS | {"header"}:
+                full = True
+                inline |= bool(words & INLINE_WORDS)
+            else:
+                weak = True
+        elif words & CONTENT_WORDS:
+            content = True
+    return full, weak, content, inline
 
 
 class _Element:
-    __slots__ = ("name", "parent", "depth", "skip", "odds", "linked", "in_content", "key")
+    __slots__ = ("name", "parent", "depth", "skip", "linked", "block", "inside", "key", "full", "weak", "content", "role", "hidden", "advert", "chars", "has_h1", "has_article", "flags")
 
     def __init__(self, name: str, parent, attributes: str, key: int):
         self.name, self.parent, self.key = name, parent, key
         self.depth = parent.depth + 1 if parent else 0
         self.skip = name in SKIPPED or bool(parent and parent.skip)
         self.linked = name == "a" or bool(parent and parent.linked)
-        self.in_content = bool(parent and parent.in_content)
-        self.odds = parent.odds if parent else 1.0
-        own = 0.0
-        if name in BOILER:
-            own -= STRONG
-        elif name in CONTENT:
-            own += 3.0
-            self.in_content = True
-        elif name == "header" and not self.in_content:
-            own -= STRONG
-        if attributes and "=" in attributes or "hidden" in attributes:
-            own += self._named(attributes)
-        if name in INLINE and own <= -STRONG / 2:  # a part of a line that says it is an advert, a button to share, or the like
-            self.skip = True
-            return
-        # what is boilerplate stays so inside, whatever its parts are called, and outweighs the content around it
-        if own <= -STRONG / 2 or self.odds <= -STRONG / 2:
-            self.odds = min(self.odds, 0.0) + min(own, 0.0)
-        else:
-            self.odds += own
-
-    def _named(self, attributes: str) -> float:
-        own = 0.0
+        inline = name in INLINE and parent is not None
+        self.block = parent.block if inline else self
+        self.inside = None if inline else Counter()
+        self.full = self.weak = self.content = self.hidden = False
+        self.advert = inline and parent.advert
+        self.role, self.chars, self.has_h1, self.has_article, self.flags = 0, 0, False, False, None
+        if "=" in attributes or "hidden" in attributes:
+            self._read(attributes, inline)
+
+    def _read(self, attributes: str, inline: bool) -> None:
         for m in _ATTRIBUTE.finditer(attributes):
             k, v = m[1].lower(), m[2] or m[3] or m[4] or ""
             if k in ("class", "id"):
-                words = {w for part in v.split() for w in _SPLIT.split(part[:1].lower() + part[1:] if not part.isupper() else part.lower()) if w}
-                words = {w.lower() for w in words}
-                if words & BOILER_WORDS or ("header" in words and not self.in_content):
-                    own -= STRONG
-                elif words & CONTENT_WORDS:
-                    own += 1.5
+                full, weak, content, advert = name_says(v)
+                self.full, self.weak, self.content = self.full or full, self.weak or weak, self.content or content
+                self.advert = self.advert or (inline and advert)
             elif k == "role":
-                own += -STRONG if v.lower() in BOILER_ROLES else 3.0 if v.lower() in CONTENT_ROLES else 0.0
-            elif k == "hidden" or (k == "aria-hidden" and v == "true") or (k == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", v)):
-                own -= STRONG
-        return own
+                self.role = -1 if v.lower() in BOILER_ROLES else 1 if v.lower() in CONTENT_ROLES else self.role
+            elif k == "hidden" or (k == "aria-hidden" and v == "true") or (k == "style" and _HIDDEN.search(v)):
+                self.hidden = True
 
 
 class Block:
-    """A run of text between block-level tags, with what the classifier needs."""
+    """A run of text between block-level tags, or a part of one that is named as an advert, with what the classifier needs."""
 
-    __slots__ = ("text", "linked", "element")
+    __slots__ = ("text", "raw", "linked", "element", "advert", "line")
 
-    def __init__(self, text: str, linked: int, element: _Element):
-        self.text, self.linked, self.element = text, linked, element
+    def __init__(self, raw: str, linked: int, element: _Element, advert: bool, line: int):
+        self.raw, self.text = raw, " ".join(raw.split())
+        self.linked, self.element, self.advert, self.line = linked, element, advert, line
 
-    def odds(self) -> float:
-        n = len(self.text)
-        words = self.text.count(" ") + 1
-        share = min(1.0, self.linked / n)
-        shape = 0.5 if self.element.name in ("p", "h1", "h2", "h3", "blockquote", "pre") else -0.5 if self.element.name == "li" else 0.0
-        rights = 3.0 if _RIGHTS.search(self.text) else 0.0
-        return self.element.odds + shape + min(1.5, (words - 6) / 12) - 3.0 * share - rights
 
-
-def blocks_of(page: str) -> list[Block]:
-    """The page's blocks in order; skipped elements have none."""
+def blocks_of(page: str) -> tuple[list[Block], list[_Element]]:
+    """The page's blocks in order, and its elements, each after its parent; skipped elements have no blocks."""
     top = _Element("#page", None, "", 0)
-    here, out, held, linked, made, at = top, [], [], 0, 0, 0
+    here, out, elements, at, line = top, [], [top], 0, 0
+    held: list[tuple[str, bool, bool]] = []
+    open_names: Counter = Counter()
+
+    def close(upto: _Element) -> None:
+        """Makes upto the open element."""
+        nonlocal here
+        while here is not upto:
+            open_names[here.name] -= 1
+            if here.inside is None:
+                here.block.inside[here.name] -= 1
+            here = here.parent
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal line
         if held:
-            text = " ".join(html.unescape("".join(held)).split())
-            if text:
-                owner = here
-                while owner.name in INLINE and owner.parent:
-                    owner = owner.parent
-                out.append(Block(text, linked, owner))
+            parts: list[list] = []
+            for text, linked, advert in held:
+                if not parts or (parts[-1][2] != advert and text.strip()):
+                    parts.append([[], 0, advert])
+                parts[-1][0].append(text)
+                parts[-1][1] += len(text) if linked else 0
+            made = [Block("".join(t), n, here.block, advert, line) for t, n, advert in parts]
+            out.extend(b for b in made if b.text)
+            line += 1
             held.clear()
-        linked = 0
 
     def say(text: str) -> None:
-        nonlocal linked
         if text and not here.skip:
-            held.append(text)
-            if here.linked:
-                linked += len(text)
+            held.append((html.unescape(text) if "&" in text else text, here.linked, here.advert))
 
     size = len(page)
     while at < size:
@@ -165,37 +194,121 @@ def blocks_of(page: str) -> list[Block]:
             if name in VOID:
                 continue
             if name == "body" and here.name == "head":
-                here = here.parent
-            if name not in INLINE:
-                node = here
-                while node.name in INLINE and node.parent:
-                    node = node.parent
-                if node.name == "p":
-                    here = node.parent
+                close(here.parent)
+            if name not in INLINE and here.block.name == "p":
+                close(here.block.parent)
             if name in CLOSED_BY:
-                node, closes = here, CLOSED_BY[name]
-                while node.parent and node.name not in SCOPE:
+                closes = CLOSED_BY[name]
+                node, last = here, None
+                while node.parent and node.name not in SCOPE and any(open_names[c] > 0 for c in closes):
                     if node.name in closes:
-                        here = node.parent
+                        last = node.parent
                         if name != "tr":
                             break
                     node = node.parent
-            made += 1
-            here = _Element(name, here, m[3], made)
+                if last is not None:
+                    close(last)
+            here = _Element(name, here, m[3], len(elements))
+            elements.append(here)
+            open_names[name] += 1
+            if here.inside is None:
+                here.block.inside[name] += 1
             if name in RAW:
                 end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
                 at = end.end() if end else size
-                here = here.parent
-        else:
+                close(here.parent)
+        elif name in INLINE:
+            if here.block.inside[name] > 0:
+                node = here
+                while node.name != name:
+                    node = node.parent
+                close(node.parent)
+        elif open_names[name] > 0:
             node = here
-            while node.parent and node.name != name:
-                if name in INLINE and node.name not in INLINE:
-                    break
+            while node.name != name:
                 node = node.parent
-            if node.name == name and node.parent:
-                here = node.parent
+            close(node.parent)
     flush()
-    return out
+    return out, elements
+
+
+def _surroundings(blocks: list[Block], elements: list[_Element]) -> int:
+    """Sets each element's flags, from what it holds and from what it lies in; returns the characters of the page."""
+    for b in blocks:
+        b.element.chars += len(b.text)
+        if b.element.name == "h1":
+            b.element.has_h1 = True
+    for e in reversed(elements[1:]):
+        up = e.parent
+        up.chars += e.chars
+        up.has_h1 |= e.has_h1
+        up.has_article |= e.has_article or e.name == "main" or e.role > 0 or (e.name == "article" and not (e.full or e.weak))
+    total = max(elements[0].chars, 1)
+    for e in elements:
+        # section: -1 nearest is boilerplate's element, 1 an article or main; tag, full, weak, content, role, hidden: something above says so
+        section, tag, heads, full, weak, content, role, hidden, article = e.parent.flags if e.parent else (0, 0, 0, 0, 0, 0, 0, 0, 0)
+        wrapper = e.name in ("html", "body", "main", "#page") or e.has_article or (e.has_h1 and e.chars > 0.4 * total)
+        if e.name in BOILER and not (e.name == "form" and wrapper):
+            section, tag = -1, 1
+        elif e.name in CONTENT:
+            section = 1
+            article = article or not (e.full or e.weak)
+        elif e.name == "header" and not article:
+            heads = 1
+        if not wrapper and e.name not in INLINE:
+            full, weak = full or e.full, weak or e.weak
+            role = -1 if e.role < 0 else role
+        if e.content:
+            content = 1
+        if e.role > 0:
+            role = role or 1
+        e.flags = section, tag, heads, int(full), int(weak), content, role, int(hidden or (e.hidden and not wrapper)), int(article)
+    return total
+
+
+def features(blocks: list[Block], elements: list[_Element]) -> np.ndarray:
+    """A row of bounded numbers for each block."""
+    total = _surroundings(blocks, elements)
+    has_article = elements[0].has_article
+    rows = []
+    for i, b in enumerate(blocks):
+        e, n = b.element, len(b.text)
+        words = b.text.count(" ") + 1
+        share = min(1.0, b.linked / n)
+        section, tag, heads, full, weak, content, role, hidden, article = e.flags
+        around = (e.parent.chars if e.parent else e.chars) / total
+        rows.append(
+            (
+                1.0, min(math.log1p(words), 5.0), float(words < 6), share, share * (words < 9), float(e.name in ("p", "blockquote", "pre")), float(e.name == "h1"),
+                float(e.name in ("h2", "h3", "h4", "h5", "h6")), float(e.name in ("li", "dt", "dd")), float(e.name in ("td", "th")), float(section < 0), float(section > 0), float(tag), float(heads),
+                float(full), float(weak), float(content), float(role < 0), float(role > 0), float(hidden), float(bool(_RIGHTS.search(b.text))), float(b.text[-1] in ".!?…\"'”»"),
+                min(1.0, (b.text.count(".") + b.text.count(",")) / words), around, float(has_article and not article), (i + 1) / len(blocks), float(b.advert), float(full and tag),
+                float(full and section > 0), float(full and (e.full or e.parent.full)),
+            )
+        )
+    own = np.array(rows).reshape(len(blocks), 30)
+    pad = np.zeros((1, 2))
+    near = np.concatenate([pad, own[:, [1, 3]], pad])
+    return np.hstack([own, near[:-2], near[2:]])
+
+
+@lru_cache(maxsize=4)
+def classifier(pages: int = TRAINING_PAGES, seed: int = 17, penalty: float = 0.3, rounds: int = 12) -> np.ndarray:
+    """Weights of the features, by Newton steps on generated pages whose truth is known."""
+    from colonnade.llm.html_pages import generated
+
+    x, y = [], []
+    for page, truth in generated(pages, seed):
+        blocks, elements = blocks_of(page)
+        x.append(features(blocks, elements))
+        y += [b.text in truth for b in blocks]
+    x, y = np.vstack(x), np.array(y, float)
+    w = np.zeros(x.shape[1])
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        grad = x.T @ (y - p) - penalty * w
+        w = w + np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + penalty * np.eye(len(w)), grad)
+    return w
 
 
 def minimum_cut(gain: list[int], links: list[tuple[int, int, int]]) -> list[bool]:
@@ -246,17 +359,16 @@ def _capacity(x: float) -> float:
     return x + math.log1p(math.exp(-x)) if x > 0 else math.log1p(math.exp(x))
 
 
-def label(blocks: list[Block], near: float = 0.6, siblings: float = 1.2, scale: int = 1000) -> list[bool]:
-    """Which blocks are content."""
+def label(blocks: list[Block], odds: np.ndarray, near: float = 0.5, siblings: float = 1.0, alike: float = 1.0, scale: int = 1000) -> list[bool]:
+    """Which blocks are content, by the minimum cut; odds: log odds of each. near joins neighbours, by their distance in the tree; siblings those
+    of one parent, by the blocks between them, and alike is added where their elements are of one name."""
     gain, links, last = [], [], {}
     for i, b in enumerate(blocks):
-        x = b.odds()
+        x = float(max(-12.0, min(12.0, odds[i])))
         gain.append(round(scale * (_capacity(x) - _capacity(-x))))
         e = b.element
-        parent = e.parent.key if e.parent else -1
         if i:
-            f = blocks[i - 1].element
-            p, q, steps = e, f, 0
+            p, q, steps = e, blocks[i - 1].element, 0
             while p is not q and steps < 6:
                 if p.depth >= q.depth:
                     p = p.parent
@@ -264,23 +376,36 @@ def label(blocks: list[Block], near: float = 0.6, siblings: float = 1.2, scale:
                     q = q.parent
                 steps += 1
             links.append((i - 1, i, round(scale * near / (1 + steps))))
-        if parent in last:
-            links.append((last[parent], i, round(scale * siblings / (i - last[parent]))))
-        last[parent] = i
+        if not b.advert:
+            parent = e.parent.key if e.parent else -1
+            if parent in last:
+                j = last[parent]
+                links.append((j, i, round(scale * (siblings + alike * (blocks[j].element.name == e.name)) / math.sqrt(i - j))))
+            last[parent] = i
     return minimum_cut(gain, links)
 
 
-def main_text(page: str | None) -> str:
-    blocks = blocks_of(page or "")
-    return "\n\n".join(b.text for b, keep in zip(blocks, label(blocks)) if keep)
+def main_text(page: str | None, weights: np.ndarray | None = None) -> str:
+    blocks, elements = blocks_of(page or "")
+    if not blocks:
+        return ""
+    odds = features(blocks, elements) @ (classifier() if weights is None else weights)
+    lines: dict[int, list[str]] = {}
+    if len(elements) == 1:
+        return "\n\n".join(b.text for b in blocks)
+    for b, keep in zip(blocks, label(blocks, odds)):
+        if keep:
+            lines.setdefault(b.line, []).append(b.raw)
+    return "\n\n".join(" ".join("".join(parts).split()) for parts in lines.values())
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of each page (page_id, url, html). No exchange."""
+    weights = pages.sparkSession.sparkContext.broadcast(classifier())
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (ids, urls), texts in rows_in_blocks(batches):
-            found = [main_text(t) for t in texts]
+            found = [main_text(t, weights.value) for t in texts]
             yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(found, pa.string()), pa.array([len(x) for x in found], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return only(pages, "page_id", "url", "html").mapInArrow(work, "page_id long, url string, text string, n_chars long")

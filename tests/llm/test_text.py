@@ -250,6 +250,42 @@ def test_pages(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+def test_names_of_wrappers_and_of_parts_of_lines_lose_no_article():
+    words = "Some words in a long text that goes on, and on. " * 6
+    inner = f"<h1>The big title</h1><p>{words}</p><p>As.</p><p>More words <span class='hljs-comment'>inner</span> <span class='search'>find</span> <em class='notice'>note</em> end.</p>"
+    want = "\n\n".join(["The big title", words.strip(), "As.", "More words inner find note end."])
+    menu, foot = "<nav><ul><li><a href=/a>Home</a></li><li><a href=/b>News</a></li></ul></nav>", "<footer>&copy; 2020 Some company</footer>"
+    for name in ("single post no-sidebar", "has-sidebar", "page comments-open", "home siteFooter", ""):
+        for a, b in (("", ""), ("<div class='layout with-banner'>", "</div>"), ("<main><article>", "</article></main>"), ("<div id=has-sidebar><article class=post>", "</article></div>"), ("<form>", "</form>")):
+            assert html_text.main_text(f"<body class='{name}'>{menu}{a}{inner}{b}{foot}") == want, (name, a)
+    page = f"<body><article><h1>Title</h1><p>{words}</p><section class='related-work'><h2>Related work</h2><p>{words}</p></section></article><div class='siteFooter'>Who we are</div>{foot}"
+    assert html_text.main_text(page) == "\n\n".join(["Title", words.strip(), "Related work", words.strip()])
+
+
+def test_cut_agrees_better_than_a_threshold_on_generated_pages():
+    from colonnade.llm.html_pages import generated
+
+    weights, errors, alone, n, flips = html_text.classifier(), 0, 0, 0, 0
+    for page, truth in generated(200, 99):
+        blocks, elements = html_text.blocks_of(page)
+        odds = html_text.features(blocks, elements) @ weights
+        for b, keep, x in zip(blocks, html_text.label(blocks, odds), odds):
+            errors += keep != (b.text in truth)
+            alone += (x > 0) != (b.text in truth)
+            flips += keep != (x > 0)
+            n += 1
+    assert flips > 5 and errors < alone and errors < 0.02 * n
+
+
+def test_end_tags_without_a_partner_cost_no_walk():
+    import time
+
+    began = time.perf_counter()
+    assert html_text.main_text("<div>" * 2000 + "<b><p>text here" + "</section>" * 40000 + "</i>" * 40000) == "text here"
+    assert html_text.main_text("<i>" + "<b>" * 3000 + "x" + "<div>" + "<em>" * 3000 + "</i>" * 3000 + "</nothing" * 5) == "x"
+    assert time.perf_counter() - began < 4
+
+
 def test_cut_is_minimal():
     rng = random.Random(7)
     for _ in range(300):
