@@ -78,12 +78,16 @@ def shift_right(a: Column, bits: int, width: int, mask: Column | None = None) ->
     return masked(F.shiftrightunsigned(wrap(a.cast("long"), width), bits), a, mask)
 
 
-def is_zero(a: Column, width: int) -> Column:
-    return wrap(a.cast("long"), width) == 0
+def is_zero(a: Column, width: int, mask: Column | None = None) -> Column:
+    """Whether a is zero; with a mask, 1 or 0, and a itself where the mask is false."""
+    found = wrap(a.cast("long"), width) == 0
+    return found if mask is None else masked(found.cast("long"), a, mask)
 
 
-def all_ones(a: Column, width: int) -> Column:
-    return wrap(a.cast("long"), width) == F.lit(_ones(width))
+def all_ones(a: Column, width: int, mask: Column | None = None) -> Column:
+    """Whether every bit of a is set; with a mask as in is_zero."""
+    found = wrap(a.cast("long"), width) == F.lit(_ones(width))
+    return found if mask is None else masked(found.cast("long"), a, mask)
 
 
 def compare_value(a: Column, op: str, value: int, width: int, mask: Column | None = None) -> Column:
@@ -91,18 +95,19 @@ def compare_value(a: Column, op: str, value: int, width: int, mask: Column | Non
     return masked(compare(a, op, value, width).cast("long"), a, mask)
 
 
-def majority(a: Column, b: Column, c: Column) -> Column:
+def majority(a: Column, b: Column, c: Column, mask: Column | None = None) -> Column:
     """Each bit as most of the three have it."""
-    return a.bitwiseAND(b).bitwiseOR(b.bitwiseAND(c)).bitwiseOR(c.bitwiseAND(a))
+    return masked(a.bitwiseAND(b).bitwiseOR(b.bitwiseAND(c)).bitwiseOR(c.bitwiseAND(a)), a, mask)
 
 
-def popcount(a: Column) -> Column:
-    return F.bit_count(a.cast("long"))
+def popcount(a: Column, mask: Column | None = None) -> Column:
+    found = F.bit_count(a.cast("long"))
+    return found if mask is None else masked(found.cast("long"), a, mask)
 
 
-def bucket(key: Column, initial_buckets: int) -> Column:
+def bucket(key: Column, initial_buckets: int, mask: Column | None = None) -> Column:
     """Bucket of a key in a table with a power of two buckets: the low bits of factor * key + offset."""
     m = initial_buckets - 1
     if initial_buckets < 1 or initial_buckets & m or initial_buckets > 1 << 30:
         raise ValueError("the number of buckets is a power of two, 2^30 at most")
-    return (key.cast("long").bitwiseAND(F.lit(m)) * F.lit(HASH_FACTOR) + F.lit(HASH_OFFSET)).bitwiseAND(F.lit(m))
+    return masked((key.cast("long").bitwiseAND(F.lit(m)) * F.lit(HASH_FACTOR) + F.lit(HASH_OFFSET)).bitwiseAND(F.lit(m)), key, mask)

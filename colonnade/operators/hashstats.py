@@ -35,8 +35,23 @@ def statistics(keys: DataFrame, key: str, initial_buckets: int, capacity: int =
     )
 
 
+def sweep(keys: DataFrame, key: str, initial_buckets: list[int], capacities: list[int], bucket_bytes: int = 128) -> DataFrame:
+    """statistics() of every pair of a number of first buckets and a capacity, in one reading of the keys: a row for each pair."""
+    hashed = F.array(*(F.struct(F.lit(i).cast("long").alias("initial_buckets"), bucket(F.col(key), i).alias("bucket")) for i in initial_buckets))
+    found = keys.select(F.explode(hashed).alias("x")).groupBy("x.initial_buckets", "x.bucket").agg(F.count("*").alias("records"))
+    found = found.select("initial_buckets", "records", F.explode(F.array(*(F.lit(c).cast("long") for c in capacities))).alias("capacity"))
+    chain = F.ceil(F.col("records") / F.col("capacity")).cast("long")
+    total = F.sum(chain - 1) + F.col("initial_buckets")
+    return found.groupBy("initial_buckets", "capacity").agg(
+        F.sum("records").alias("total_records"), total.alias("buckets"), (total * bucket_bytes).alias("bytes"), F.max(chain).alias("longest_bucket_chain"), F.max("records").alias("longest_record_chain")
+    )
+
+
 def traced(probe: DataFrame, on: str, build: DataFrame, key: str, initial_buckets: int, capacity: int = 31, order: str = "record_index") -> DataFrame:
-    """Each probe row with hit, buckets_visited and compares of its lookup; build has unique keys, inserted in the given order."""
+    """Each probe row with hit, buckets_visited and compares of its lookup; build has unique keys, inserted in the given order.
+
+    Places in a chain are numbered by first bucket, in as many tasks as there are first buckets: give as many of them as the build side is meant to have.
+    """
     placed = build.select(F.col(key).alias("_k"), bucket(F.col(key), initial_buckets).alias("_b"), F.col(order).alias("_o"))
     placed = placed.select("_k", "_b", F.row_number().over(Window.partitionBy("_b").orderBy("_o", "_k")).alias("_at"))
     lengths = chains(build, key, initial_buckets, capacity).select(F.col("bucket").alias("_fb"), "records", "chain")

@@ -48,9 +48,22 @@ def bitmap_and(*parts: DataFrame) -> DataFrame:
     return both.where(F.col("n") == len(parts)).select("bucket", "bitmap")
 
 
+def has_bit(bitmap: Column, at: Column) -> Column:
+    """Whether bit `at` (0 to SPAN - 1) of a bitmap is set."""
+    byte = F.conv(F.hex(F.substring(bitmap, F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return F.getbit(byte, F.pmod(at, F.lit(8)).cast("int")) == 1
+
+
+def consume(df: DataFrame, part: DataFrame, index: str = "record_index") -> DataFrame:
+    """The rows whose positions are set: the bitmaps' rows, one for each SPAN positions, are joined by their bucket and the bit is tested."""
+    rows = df.join(part.select(F.col("bucket").alias("_bucket"), F.col("bitmap").alias("_bitmap")), F.bitmap_bucket_number(F.col(index) + 1) == F.col("_bucket"))
+    return rows.where(has_bit(F.col("_bitmap"), F.bitmap_bit_position(F.col(index) + 1))).drop("_bucket", "_bitmap")
+
+
 def bitmap_not(part: DataFrame, universe: DataFrame, index: str = "record_index") -> DataFrame:
-    """The positions of universe that part lacks."""
-    return bitmaps(universe.join(unpack(part), universe[index] == F.col("position"), "left_anti"), F.lit(True), index)
+    """The positions of universe that part lacks, by bucket as in consume."""
+    rows = universe.select(index).join(part.select(F.col("bucket").alias("_bucket"), F.col("bitmap").alias("_bitmap")), F.bitmap_bucket_number(F.col(index) + 1) == F.col("_bucket"), "left")
+    return bitmaps(rows, F.col("_bitmap").isNull() | ~has_bit(F.col("_bitmap"), F.bitmap_bit_position(F.col(index) + 1)), index)
 
 
 def bitmap_count(part: DataFrame) -> DataFrame:
@@ -59,10 +72,26 @@ def bitmap_count(part: DataFrame) -> DataFrame:
 
 
 def unpack(part: DataFrame) -> DataFrame:
-    """position of each bit that is set."""
-    byte = lambda k: F.conv(F.hex(F.substring("bitmap", k + 1, F.lit(1))), 16, 10).cast("int")
-    listed = F.transform(F.sequence(F.lit(0), F.lit(SPAN // 8 - 1)), lambda k: F.struct(k.alias("k"), byte(k).alias("byte")))
-    rows = part.select("bucket", F.explode(F.filter(listed, lambda x: x["byte"] != 0)).alias("x"))
-    set_bits = F.filter(F.sequence(F.lit(0), F.lit(7)), lambda b: F.getbit("x.byte", b) == 1)
-    rows = rows.select("bucket", "x", F.explode(set_bits).alias("b"))
-    return rows.select(((F.col("bucket") - 1) * SPAN + F.col("x.k") * 8 + F.col("b")).cast("long").alias("position"))
+    """position of each bit that is set, by words of 64 positions; the first byte of a word holds its first eight."""
+    rows = part.select("bucket", F.hex("bitmap").alias("hex"))
+    word = lambda k: F.conv(F.substring(F.col("hex"), k * 16 + 1, F.lit(16)), 16, -10).cast("long")
+    listed = F.transform(F.sequence(F.lit(0), F.lit(SPAN // 64 - 1)), lambda k: F.struct(k.alias("k"), word(k).alias("word")))
+    rows = rows.select("bucket", F.explode(F.filter(listed, lambda x: x["word"] != 0)).alias("x"))
+    rows = rows.select("bucket", "x", F.explode(F.filter(F.sequence(F.lit(0), F.lit(63)), lambda b: F.getbit("x.word", b) == 1)).alias("b"))
+    at = (7 - F.shiftright("b", 3)) * 8 + F.col("b").bitwiseAND(F.lit(7))
+    return rows.select(((F.col("bucket") - 1) * SPAN + F.col("x.k") * 64 + at).cast("long").alias("position"))
+
+
+def shown(part: DataFrame) -> DataFrame:
+    """Bitmaps as results: each with its bits set, n, and as hexadecimal digits, two for each byte."""
+    return part.withColumn("n", F.bitmap_count("bitmap")).withColumn("bitmap", F.hex("bitmap"))
+
+
+def shown_sql(positions: str, by: str = "") -> str:
+    """SQL for the same, of a query that gives record_index (and one more column, by)."""
+    keep, on = (f"{by}, ", f"{by}, ") if by else ("", "")
+    return (
+        f"select {keep}bucket, sum(bit_count(coalesce(x, 0)))::bigint as n, string_agg(printf('%02X', coalesce(x, 0)), '' order by j) as bitmap "
+        f"from (select distinct {keep}record_index // {SPAN} + 1 as bucket from ({positions})) cross join range({SPAN // 8}) as r(j) "
+        f"left join (select {keep}record_index // {SPAN} + 1 as bucket, record_index % {SPAN} // 8 as j, sum(1 << (record_index % 8))::int as x from ({positions}) group by all) using ({on}bucket, j) group by {keep}bucket"
+    )

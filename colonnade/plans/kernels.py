@@ -51,6 +51,11 @@ def _entries() -> dict:
     out["filter_between_open"] = (k(lambda t: selection.select(t, opened(), prior()).select("record_index", "pi")), f"select record_index, pi from keys where v < 40 and pi > {LOW} and pi < {HIGH}")
     out["filter_inverse_between"] = (k(lambda t: selection.select(t, inverse(closed(), prior())).select("record_index", "pi")), f"select record_index, pi from keys where v < 40 and not pi between {LOW} and {HIGH}")
     composite = lambda: F.shiftleft(pi(), 8).bitwiseOR(v())
+    piece = lambda: subfield(F.col("c"), 3, 2, 1)
+    for op, sign in operators.items():
+        out[f"filter_subfield_{op}"] = (k(lambda t, op=op: selection.select(t.withColumn("c", composite()), compare(piece(), op, 25, 1)).select("record_index", "c")), f"select record_index, pi * 256 + v as c from keys where v {sign} 25")
+    out["filter_subfield_between"] = (k(lambda t: selection.select(t.withColumn("c", composite()), between(piece(), 25, 60, width=1)).select("record_index", "c")), "select record_index, pi * 256 + v as c from keys where v between 25 and 60")
+    out["filter_subfield_high"] = (k(lambda t: selection.select(t.withColumn("c", composite()), compare(subfield(F.col("c"), 3, 0, 2), "eq", YEAR, 2)).select("record_index", "c")), f"select record_index, pi * 256 + v as c from keys where pi = {YEAR}")
     out["filter_subfield"] = (k(lambda t: selection.select(t.withColumn("c", composite()), subfield(F.col("c"), 3, 2, 1) < 25).select("record_index", "c")), "select record_index, pi * 256 + v as c from keys where v < 25")
     out["logical_and"] = (k(lambda t: selection.positions(t, compare(pi(), "ge", LOW) & compare(v(), "lt", 25))), f"select record_index from keys where pi >= {LOW} and v < 25")
     out["logical_or"] = (k(lambda t: selection.positions(t, compare(pi(), "eq", LOW) | compare(v(), "lt", 25))), f"select record_index from keys where pi = {LOW} or v < 25")
@@ -63,7 +68,7 @@ def _entries() -> dict:
     out["count_selected"] = (k(lambda t: selection.count(t, b())), "select count(*) as n from keys where v < 25")
     out["bitmap_count"] = (k(lambda t: selection.bitmap_count(selection.bitmaps(t, b()))), "select count(*) as n from keys where v < 25")
     out["consume_bitmap"] = (
-        k(lambda t: t.join(unpacked(selection.bitmaps(t, b())), F.col("record_index") == F.col("position")).agg(F.sum("pi").alias("total"))),
+        k(lambda t: selection.consume(t, selection.bitmaps(t, b())).agg(F.sum("pi").alias("total"))),
         "select sum(pi)::bigint as total from keys where v < 25",
     )
     out["consume_indices"] = (
@@ -101,6 +106,14 @@ def _entries() -> dict:
         f", places as (select c_custkey, {hashed} as h, row_number() over (partition by {hashed} order by c_custkey) as place from customer where (c_custkey * 53 + 7) % 100 < 25), chains as (select h, count(*) as n from places group by h) "
         f"select record_index, place is not null as hit, coalesce(ceil(place / 31), ceil(n / 31), 1)::bigint as buckets_visited, coalesce(place, n, 1) as compares from keys left join places on fk = c_custkey left join chains on ({integers.HASH_FACTOR}::hugeint * fk + {integers.HASH_OFFSET}) % 16 = chains.h",
     )
+    initials, capacities = [64, 256, 1024, 4096, 16384], [7, 15, 31, 63]
+    swept = f"({integers.HASH_FACTOR}::hugeint * p_partkey + {integers.HASH_OFFSET}) % i"
+    out["hash_geometry_sweep"] = (
+        lambda s, d: hashstats.sweep(views.parts(s, d).where("p_category = 'MFGR#12'"), "p_partkey", initials, capacities),
+        f", sizes as (select i, {swept} as h, count(*) as n from (select p_partkey from part where substr(p_brand, 7)::int = 2), (select unnest({initials}) as i) group by 1, 2) "
+        "select i::bigint as initial_buckets, c::bigint as capacity, sum(n)::bigint as total_records, (sum(ceil(n / c) - 1) + i)::bigint as buckets, ((sum(ceil(n / c) - 1) + i) * 128)::bigint as bytes, "
+        f"max(ceil(n / c))::bigint as longest_bucket_chain, max(n)::bigint as longest_record_chain from sizes, (select unnest({capacities}) as c) group by i, c",
+    )
     out["emit_values"] = (k(lambda t: emit.values(t, b(), "record_index", "pi")), "select record_index, pi from keys where v < 25")
     out["emit_payload"] = (
         lambda s, d: emit.payloads(keys(s, d), F.col("v") < 25, views.sqb_b(s, d).select("b_k", "b_10"), "fk", "b_k", "b_10"),
@@ -113,10 +126,13 @@ def _entries() -> dict:
     for kind, sql in (("tinyint", "utinyint"), ("smallint", "usmallint"), ("int", "uinteger"), ("bigint", "ubigint")):
         for t in (0, 1, 5, 10, 25, 50, 100):
             out[f"typed_selection_{kind}_{t}"] = (k(lambda x, kind=kind, t=t: selection.positions(x, F.col("v").cast(kind) < F.lit(t).cast(kind))), f"select record_index from keys where v::{sql} < {t}")
+            typed = lambda kind=kind, t=t: F.col("v").cast(kind) < F.lit(t).cast(kind)
+            out[f"typed_selection_{kind}_{t}_values"] = (k(lambda x, p=typed, kind=kind: emit.values(x.withColumn("value", F.col("v").cast(kind).cast("long")), p(), "record_index", "value")), f"select record_index, v as value from keys where v::{sql} < {t}")
+            out[f"typed_selection_{kind}_{t}_bitmap"] = (k(lambda x, p=typed: selection.shown(selection.bitmaps(x, p()))), selection.shown_sql(f"select record_index from keys where v::{sql} < {t}"))
     out["record_equality"] = (k(lambda t: selection.positions(t, (F.col("pi") == YEAR) & (F.col("v") == 11))), f"select record_index from keys where pi = {YEAR} and v = 11")
     out["bit_planes"] = (
-        k(lambda t: bits.planes(t, "v", 1).groupBy("plane").agg(F.sum(F.bitmap_count("bitmap")).alias("n")).withColumn("plane", F.col("plane").cast("long"))),
-        "select plane, count(*) as n from keys, range(8) as r(plane) where (v >> (7 - plane)) & 1 = 1 group by plane",
+        k(lambda t: selection.shown(bits.planes(t, "v", 1)).withColumn("plane", F.col("plane").cast("long"))),
+        selection.shown_sql("select plane, record_index from keys, range(8) as r(plane) where (v >> (7 - plane)) & 1 = 1", "plane"),
     )
     words = lambda: [F.col("record_index") * 8 + i for i in range(8)]
     out["byte_transpose"] = (
@@ -148,6 +164,23 @@ def _entries() -> dict:
     wrapped = ", keysx as (select record_index, record_index % 65536 as x, pi as y, v from keys) "
     for op in operators:
         arithmetic[f"compare_{op}"] = (lambda op=op: integers.compare_value(x(), op, 500, 2), f"(x {operators[op]} 500)::bigint")
+    constants = {"and": (integers.bit_and, "x & 3855"), "xnor": (integers.bit_xnor, "65535 - xor(x, 3855)"), "add": (integers.add, "(x + 3855) % 65536"), "mul": (integers.mul, "(x * 3855) % 65536")}
+    for name, (f, sql) in constants.items():
+        arithmetic[f"{name}_constant"] = (lambda f=f: f(x(), 3855, 2), sql)
+    mask = lambda: v() < 40
+    under = {
+        "add": (lambda: integers.add(x(), y(), 2, mask()), "(x + y) % 65536"),
+        "mul_constant": (lambda: integers.mul(x(), 3855, 2, mask()), "(x * 3855) % 65536"),
+        "not": (lambda: integers.bit_not(x(), 2, mask()), "65535 - x"),
+        "shift_left": (lambda: integers.shift_left(x(), 3, 2, mask()), "(x * 8) % 65536"),
+        "is_zero": (lambda: integers.is_zero(x(), 2, mask()), "(x = 0)::bigint"),
+        "all_ones": (lambda: integers.all_ones(x(), 2, mask()), "(x = 65535)::bigint"),
+        "majority": (lambda: integers.majority(x(), y(), v(), mask()), "(x & y) | (y & v) | (v & x)"),
+        "popcount": (lambda: integers.popcount(x(), mask()), "bit_count(x)::bigint"),
+        "hash": (lambda: integers.bucket(x(), 1024, mask()), f"(({integers.HASH_FACTOR}::hugeint * x + {integers.HASH_OFFSET}) % 1024)::bigint"),
+        "compare_lt": (lambda: integers.compare_value(x(), "lt", 500, 2, mask()), "(x < 500)::bigint"),
+    }
+    arithmetic |= {f"{name}_masked": (f, f"case when v < 40 then {sql} else x end") for name, (f, sql) in under.items()}
     for name, (column, sql) in arithmetic.items():
         out[f"integer_{name}"] = (
             k(lambda t, column=column: t.withColumn("id", F.col("record_index")).withColumn("record_index", F.col("record_index") % 65536).select("id", column().alias("z"))),
@@ -156,8 +189,28 @@ def _entries() -> dict:
     return out
 
 
+def _drawn(s: SparkSession, rows: DataFrame) -> DataFrame:
+    """What is sure of drawn columns: rows, values that are not null, least and greatest."""
+    facts = [F.count("*").alias("n")]
+    for c in ("pi", "data"):
+        facts += [F.count(c).alias(f"n_{c}"), F.min(c).alias(f"low_{c}"), F.max(c).alias(f"high_{c}")]
+    return rows.agg(*facts)
+
+
+def _drawn_sql(n: int, pi: tuple | None, data: tuple | None) -> str:
+    part = lambda name, x: f"{n if x else 0}::bigint as n_{name}, {x[0] if x else 'null'}::bigint as low_{name}, {x[1] if x else 'null'}::bigint as high_{name}"
+    return f"select {n}::bigint as n, {part('pi', pi)}, {part('data', data)}"
+
+
 def _generators() -> dict:
-    return {
+    n, byte = 100_000, (0, 255)  # a byte's 256 values are all drawn among so many rows
+    drawn = {"random_constant": (byte, (204, 204)), "incremental_constant": (byte, (204, 204)), "random_null": (byte, None), "incremental_null": (byte, None), "bounded_null": ((3, 9), None), "constant_random": ((204, 204), byte), "incremental_random": (byte, byte)}
+    pairs = {f"generate_{name}": (lambda s, d, name=name: _drawn(s, generators.combination(s, name, n, 1, 3, 9)), _drawn_sql(n, *x)) for name, x in drawn.items()}
+    single = {
+        "generate_uniform": (lambda s, d: _drawn(s, generators.records(s, n, generators.uniform(10, 19, 5))), _drawn_sql(n, (10, 19), None)),
+        "generate_uniform_width": (lambda s, d: _drawn(s, generators.records(s, n, generators.uniform_width(1, 5))), _drawn_sql(n, byte, None)),
+    }
+    return pairs | single | {
         "generate_constant": (lambda s, d: generators.records(s, 1000, generators.constant(204)), "select i as record_index, 204::bigint as pi, null::bigint as data from range(1000) as r(i)"),
         "generate_incremental": (lambda s, d: generators.records(s, 1000, generators.incremental(1)), "select i as record_index, i % 256 as pi, null::bigint as data from range(1000) as r(i)"),
         "generate_known_truth": (lambda s, d: generators.records(s, 8193, F.col("record_index"), F.col("record_index")), "select i as record_index, i as pi, i as data from range(8193) as r(i)"),
