@@ -24,32 +24,38 @@ b as (select c_custkey as record_index, c_custkey as b_k, c_custkey * 3 % 10 as
 """
 
 
-def lineorder(spark: SparkSession, sf_dir: str, supply_cost: bool = False) -> DataFrame:
-    """lo_ columns; money in hundredths, revenue and supply cost in ten-thousandths, all whole numbers."""
+def lines(spark: SparkSession, sf_dir: str, scan: str = "true") -> DataFrame:
+    """The columns of lineorder that lineitem holds; money in hundredths, revenue in ten-thousandths, all whole numbers.
+
+    scan: a predicate in the file's own units and columns, which reaches the Parquet scan.
+    """
     cents = lambda c: F.round(F.col(c) * 100).cast("long")
-    day = F.year("o_orderdate") * 10000 + F.month("o_orderdate") * 100 + F.dayofmonth("o_orderdate")
-    orders = parquet(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("lo_custkey"), day.cast("long").alias("lo_orderdate"))
-    lines = parquet(spark, sf_dir, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    out = lines.select(
+    return parquet(spark, sf_dir, "lineitem").where(scan).select(
         F.col("l_orderkey").alias("lo_orderkey"),
         F.col("l_linenumber").cast("long").alias("lo_linenumber"),
-        "lo_custkey",
         F.col("l_partkey").alias("lo_partkey"),
         F.col("l_suppkey").alias("lo_suppkey"),
-        "lo_orderdate",
         F.col("l_quantity").cast("long").alias("lo_quantity"),
         cents("l_discount").alias("lo_discount"),
         cents("l_extendedprice").alias("lo_extendedprice"),
         (cents("l_extendedprice") * (100 - cents("l_discount"))).alias("lo_revenue"),
     )
-    if supply_cost:
-        parts = parquet(spark, sf_dir, "part").select("p_partkey", F.round(F.col("p_retailprice") * 6000).cast("long").alias("lo_supplycost"))
-        out = out.join(parts, F.col("lo_partkey") == F.col("p_partkey")).drop("p_partkey")
-    return out
+
+
+def placed_orders(spark: SparkSession, sf_dir: str, scan: str = "true") -> DataFrame:
+    """The columns of lineorder that orders holds; scan as in lines."""
+    day = F.year("o_orderdate") * 10000 + F.month("o_orderdate") * 100 + F.dayofmonth("o_orderdate")
+    return parquet(spark, sf_dir, "orders").where(scan).select("o_orderkey", F.col("o_custkey").alias("lo_custkey"), day.cast("long").alias("lo_orderdate"))
+
+
+#: First and last day of the calendar: bounds its size whatever the tables.
+CALENDAR = ("1900-01-01", "2099-12-31")
 
 
 def dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = parquet(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("d")).distinct()
+    """A row for each day of the calendar (73,049 of them), made without reading a table."""
+    first, last = (F.to_date(F.lit(x)) for x in CALENDAR)
+    d = spark.range(73049).select(F.date_add(first, F.col("id").cast("int")).alias("d")).where(F.col("d") <= last)
     year, month = F.year("d"), F.month("d")
     return d.select(
         (year * 10000 + month * 100 + F.dayofmonth("d")).cast("long").alias("d_datekey"),
@@ -80,7 +86,8 @@ def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     mfgr = F.concat(F.lit("MFGR#"), (F.floor(b / 5) + 1).cast("string"))
     category = F.concat(mfgr, (b % 5 + 1).cast("string"))
     brand = F.concat(category, (F.col("p_partkey") % 40 + 1).cast("string"))
-    return parquet(spark, sf_dir, "part").select("p_partkey", mfgr.alias("p_mfgr"), category.alias("p_category"), brand.alias("p_brand1"))
+    cost = F.round(F.col("p_retailprice") * 6000).cast("long")
+    return parquet(spark, sf_dir, "part").select("p_partkey", mfgr.alias("p_mfgr"), category.alias("p_category"), brand.alias("p_brand1"), cost.alias("lo_supplycost"))
 
 
 SSB_SQL = """
