@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from colonnade.llm.common import _shuffle_cleanup, drop, materialise, new_path, only, rows_in_blocks
 
 END = np.uint64(0)  # in place of a word's hash
-#: Bytes of text that a block has about, and that a task has.
-BLOCK_BYTES, TASK_BYTES = 6_000_000, 24_000_000
+#: Bytes of text that a block has about, and that a bucket answers for: messages between them number their product at most, whatever the partitions.
+BLOCK_BYTES, BUCKET_BYTES = 6_000_000, 24_000_000
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
 
 
@@ -213,19 +213,19 @@ def _merged(parts: list[bytes], classes: int, head_words: int) -> bytes:
 def language_scores(documents: DataFrame, head_words: int = 2048, classes: int = 256, prior: float = 24.0, **training) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each document (doc_id, text)."""
     spark = documents.sparkSession
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    least = max(2, spark.sparkContext.defaultParallelism)
     docs = only(documents, "doc_id", "text")
     in_training = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(10)) != 0
     size, ends = docs.agg(F.sum(F.octet_length("text")), F.count(F.when(in_training, 1))).first()
-    parts = max(n, -(-(size or 0) // TASK_BYTES))
-    blocks = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(4 * n, -(-(size or 0) // BLOCK_BYTES))))).repartition(parts, "block")
+    n_blocks, buckets = (max(least, -(-(size or 0) // b)) for b in (BLOCK_BYTES, BUCKET_BYTES))
+    blocks = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks))).repartition(n_blocks, "block")
     counted = new_path(spark, "word-counts")
 
     def send(t: pa.Table) -> pa.Table:
         b = Block([x or "" for x in t.column("text").to_pylist()], t.column("doc_id").to_pylist(), classes)
         rows = []
         for pairs, keys, counts in ((False, b.keys, b.counts), (True, b.pairs, b.pair_counts)):
-            cuts = _cuts(keys, parts)
+            cuts = _cuts(keys, buckets)
             for bucket, (s, e) in enumerate(zip(cuts, cuts[1:])):
                 if e > s:
                     class_of = b"" if pairs else packed(b.class_of[s:e].astype("<u2"))
@@ -248,7 +248,7 @@ def language_scores(documents: DataFrame, head_words: int = 2048, classes: int =
 
     sent = blocks.groupBy("block").applyInArrow(send, "bucket int, block long, n int, keys binary, counts binary, classes binary")
     with _shuffle_cleanup(spark):
-        sent.repartition(2 * parts, "bucket").groupBy("bucket").applyInArrow(total, "kind string, a long, b long, n long, data binary").write.partitionBy("kind").parquet(counted)
+        sent.repartition(2 * buckets, "bucket").groupBy("bucket").applyInArrow(total, "kind string, a long, b long, n long, data binary").write.partitionBy("kind").parquet(counted)
     told = spark.read.schema("a long, b long, n long, data binary, kind string").parquet(counted)
 
     def merge(t: pa.Table) -> pa.Table:
@@ -334,5 +334,5 @@ def language_scores(documents: DataFrame, head_words: int = 2048, classes: int =
         columns = [ids, ~b.training, b.sizes + 1, np.add.reduceat((seen > 0).astype(np.int64), b.starts), np.full(len(ids), n_tokens), np.add.reduceat(bases, b.starts), np.add.reduceat(logs, b.starts)]
         return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
-    answers = told.where("kind = 'answer'").select(F.col("a").alias("block"), "b", "n", "data").repartition(parts, "block")
+    answers = told.where("kind = 'answer'").select(F.col("a").alias("block"), "b", "n", "data").repartition(n_blocks, "block")
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
