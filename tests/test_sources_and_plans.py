@@ -110,3 +110,28 @@ def test_entry_point_without_text_operators(tmp_path):
     code = "import __spark_entry__ as e; q = e.queries(); assert set(q) == set(e.oracle_sql()) and not any(n.startswith('op1_') for n in q); print(len(q))"
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env={**os.environ, "PYTHONPATH": str(tmp_path)})
     assert out.returncode == 0, out.stderr
+
+
+def test_predicates_reach_the_scan_and_dimensions_come_first(spark, sf_dir):
+    from colonnade.plans import ssb
+
+    def plan(df):
+        return df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+
+    text = plan(ssb.full(spark, sf_dir, "q1_1"))
+    pushed = [x for x in text.splitlines() if x.startswith("PushedFilters")]
+    assert any("LessThanOrEqual(l_discount" in x and "LessThan(l_quantity" in x for x in pushed)
+    assert any("GreaterThanOrEqual(o_orderdate" in x for x in pushed)
+    for name in ("q2_1", "q4_3"):
+        tree = ssb.full(spark, sf_dir, name)._jdf.queryExecution().optimizedPlan().toString()
+        assert tree.count("part.parquet") <= 1 and tree.count("p_partkey#") > 0
+        lines = tree.splitlines()
+        depth = {k: next(i for i, x in enumerate(lines) if k in x) for k in ("(lo_orderkey#", "(lo_partkey#", "(lo_suppkey#")}
+        assert depth["(lo_orderkey#"] < min(depth["(lo_partkey#"], depth["(lo_suppkey#"])  # the two sides meet above the dimensions
+
+
+def test_the_calendar_has_all_its_days_and_a_known_size(spark, sf_dir):
+    from colonnade.sources import views
+
+    found = views.dates(spark, sf_dir).agg({"d_datekey": "min", "d_year": "max", "*": "count"}).first()
+    assert tuple(sorted(map(int, found))) == (2099, 73049, 19000101)
