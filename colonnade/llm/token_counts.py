@@ -1,6 +1,7 @@
 """Token counts of whole texts, with huge ones encoded in overlapping chunks.
 
-A text of up to chunk_chars characters is encoded whole, or, where the library's tokens never span white space, by its distinct words. A longer one is encoded in chunks that overlap; both encodings of an
+A text of up to chunk_chars characters is one chunk: it goes to the library whole. With by_word, where the library's tokens never span white space, such texts
+are counted by their distinct words instead, with the same result. A longer one is encoded in chunks that overlap; both encodings of an
 overlap carry offsets. The chunks are spliced at a place where white space is followed by a visible character, where a
 token of both encodings begins, and where the guard tokens before and after it are the same in both: there the library's pre-tokenisation
 starts a new word whatever stands further off, so no token depends on what the other chunk lacks. Where an overlap has no such
@@ -140,13 +141,13 @@ def _words(path: str) -> WordCounts | None:
     return WordCounts(library) if WordCounts.fits(library) else None
 
 
-def token_counts(documents: DataFrame, tokenizer: str, limit: int = 2048, chunk_chars: int = 16384, overlap: int = 512) -> DataFrame:
+def token_counts(documents: DataFrame, tokenizer: str, limit: int = 2048, chunk_chars: int = 16384, overlap: int = 512, by_word: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit) of each document (doc_id, text). No exchange."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         library = _load(tokenizer)
         pieces = tokenizer.endswith(".model")
-        words = None if pieces else _words(tokenizer)
+        words = _words(tokenizer) if by_word and not pieces else None
         for block in arrow_blocks(batches, 4_000_000 if words else 400_000):
             texts = pc.fill_null(block.column(1), "")
             huge = pc.greater(pc.utf8_length(texts), chunk_chars).to_numpy(zero_copy_only=False) & (not pieces)
