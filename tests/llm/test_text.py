@@ -65,6 +65,8 @@ def test_token_files_hold_what_the_library_gives(spark, texts, tmp_path):
     open(f"{tmp_path}/files/shard-000000-99.arrow", "w").close()  # what a lost attempt left
     again = token_files.read_shards(spark, folder).collect()
     assert sorted(map(repr, again)) == sorted(map(repr, got))
+    units = token_files.token_files(df, path, f"file://{tmp_path}/units", seq_len=64, rows_per_batch=4, by_word=True).collect()
+    assert sorted(map(repr, units)) == sorted(map(repr, got))
 
 
 def test_units_split_nothing_that_belongs_together(texts):
@@ -91,6 +93,7 @@ def test_token_counts(spark, texts):
     counts = [(d, len((t or "").encode()), len(library.encode(t or "", add_special_tokens=False))) for d, t in rows]
     assert got == collections.Counter((d, b, n, n > 2048) for d, b, n in counts)
     assert collections.Counter(map(tuple, token_counts.token_counts(df, path).collect())) == got
+    assert collections.Counter(map(tuple, token_counts.token_counts(df, path, chunk_chars=500, overlap=16, by_word=True).collect())) == got
     other = registry.tokenizer_path("byte_bpe_50k.json")
     plain = Tokenizer.from_file(other)
     assert token_counts._words(path) is not None and token_counts._words(other) is None
