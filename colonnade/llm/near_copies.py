@@ -1,8 +1,9 @@
-"""Near copies by word shingles: candidates from MinHash bands, each decided by the exact Jaccard similarity of the shingle sets.
+"""Near copies by word shingles: SimHash candidates widened by MinHash bands, each decided by the exact Jaccard similarity of the shingle sets.
 
-A text's set holds the XXH64 of its runs of size words, ASCII letters lowered and white space as one space. BANDS bands of ROWS minima each make two
-texts candidates: at a similarity of 0.8 a pair shares no band with probability (1 - 0.8^6)^24 = 7e-4, at 0.85 with 8e-6; nothing else is lost, and
-no pair below the threshold is linked. Candidates' texts are put in clusters, so that a text travels once, and a cluster returns a spanning forest of
+A text's set holds the XXH64 of its runs of size words, ASCII letters lowered and white space as one space. Candidates are all pairs whose SimHash
+fingerprints the pigeonring filter finds within DISTANCE bits, and, as most pairs at a similarity of 0.8 differ in more bits than it can prune, those
+that share one of BANDS bands of ROWS minima each: at 0.8 a pair shares none with probability (1 - 0.8^6)^24 = 7e-4, at 0.85 with 8e-6; nothing else
+is lost, and no pair below the threshold is linked. Candidates' texts are put in clusters, so that a text travels once, and a cluster returns a spanning forest of
 the links it found: pairs that are connected already are not compared. Clusters of over max_cell texts or max_bytes of text are cut
 into blocks, and each pair of blocks is a cell of its own: no cell holds more than two blocks.
 
@@ -20,11 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from colonnade.llm import simhash
 from colonnade.llm.common import by_place, drop, materialise, only, rows_in_blocks
 from colonnade.llm.graph import components
-from colonnade.llm.simhash import forest
+from colonnade.llm.simhash import folded, forest, shingle_hashes
 
-BANDS, ROWS = 24, 6
+BANDS, ROWS, DISTANCE = 24, 6, 3
 
 
 def _words(text: str) -> list[bytes]:
@@ -41,18 +43,7 @@ def key_of(text: str) -> int:
 
 def shingle_set(text: str, size: int = 5, seed: int = 42) -> np.ndarray:
     """Sorted distinct XXH64 values of the text's word shingles."""
-    from xxhash import xxh64_intdigest
-
-    words = _words(text)
-    if not words:
-        return np.empty(0, np.uint64)
-    line = b" ".join(words)
-    if len(words) <= size:
-        return np.array([xxh64_intdigest(line, seed)], np.uint64)
-    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
-    ends = np.cumsum(sizes) - 1
-    starts = (ends - sizes + 1)[: len(words) - size + 1].tolist()
-    return np.unique(np.fromiter((xxh64_intdigest(line[s:e], seed) for s, e in zip(starts, ends[size - 1 :].tolist())), np.uint64, len(starts)))
+    return np.unique(shingle_hashes(text, size, seed))
 
 
 def _turns(seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -77,16 +68,21 @@ def bands_of(shingles: np.ndarray, turns: tuple[np.ndarray, np.ndarray]) -> list
 
 
 def signatures(documents: DataFrame, size: int = 5, seed: int = 42) -> DataFrame:
-    """doc_id, key, bands of each document."""
+    """doc_id, key, fp (the SimHash as a long, null without words), bands of each document."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turns = _turns(seed)
         for (doc_ids,), texts in rows_in_blocks(batches):
-            bands = [bands_of(shingle_set(t, size, seed), turns) for t in texts]
-            columns = [pa.array(doc_ids, pa.int64()), pa.array([key_of(t) for t in texts], pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
-            yield pa.record_batch(columns, names=["doc_id", "key", "bands"])
+            fps, bands = [], []
+            for t in texts:
+                hashes = shingle_hashes(t, size, seed)
+                fps.append(folded(hashes) if len(hashes) else None)
+                bands.append(bands_of(np.unique(hashes), turns))
+            keys = pa.array([key_of(t) for t in texts], pa.int64())
+            columns = [pa.array(doc_ids, pa.int64()), keys, pa.array(fps, pa.uint64()).view(pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.record_batch(columns, names=["doc_id", "key", "fp", "bands"])
 
-    return only(documents, "doc_id", "text").mapInArrow(work, "doc_id long, key long, bands array<long>")
+    return only(documents, "doc_id", "text").mapInArrow(work, "doc_id long, key long, fp long, bands array<long>")
 
 
 def keyed_texts(documents: DataFrame) -> DataFrame:
@@ -108,8 +104,8 @@ def similar(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
     return shared / (len(one) + sizes - shared)
 
 
-def links_in_cell(bands: np.ndarray, sets: list[np.ndarray], own: np.ndarray, threshold: float, step: int = 256) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning links (place, place) of the sets that share a band and reach the threshold.
+def links_in_cell(fps: np.ndarray, bands: np.ndarray, sets: list[np.ndarray], own: np.ndarray, threshold: float, step: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning links (place, place) of the sets that are candidates, by fingerprint or band, and reach the threshold.
 
     own: the block that each is from, in a cell of two blocks (those of one block are compared in that block's own cell), -1 in cells of one.
     """
@@ -120,7 +116,7 @@ def links_in_cell(bands: np.ndarray, sets: list[np.ndarray], own: np.ndarray, th
         rest = rest[(labels[p + 1 :] != labels[p]) & ((own[p] < 0) | (own[p + 1 :] != own[p]))]
         if len(rest):
             rest = rest[np.minimum(sizes[rest], sizes[p]) >= (threshold - 1e-9) * np.maximum(sizes[rest], sizes[p])]
-            rest = rest[(bands[rest] == bands[p]).any(axis=1)]
+            rest = rest[(bands[rest] == bands[p]).any(axis=1) | (np.bitwise_count(fps[rest] ^ fps[p]) <= DISTANCE)]
         for a in range(0, len(rest), step):
             some = rest[a : a + step]
             near = some[similar(sets[p], [sets[i] for i in some]) >= threshold]
@@ -154,9 +150,13 @@ def near_links(documents: DataFrame, signed: DataFrame, threshold: float = 0.8,
     n = max(1, int(signed.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = signed.groupBy("key").agg(F.first("bands").alias("bands")).select("key", F.explode("bands").alias("bucket"))
     rows = materialise(rows, "bands")
+    prints = signed.where("fp is not null").groupBy("key").agg(F.first("fp").alias("fp"))
+    distinct = materialise(prints.groupBy("fp").agg(F.min("key").alias("id")), "distinct-fingerprints")
+    by_print = prints.join(distinct, "fp").where("key != id").select(F.col("key").alias("u"), F.col("id").alias("v")).union(simhash.near_links(distinct, DISTANCE))
     hubs = rows.groupBy("bucket").agg(F.min("key").alias("hub"), F.count("*").alias("size")).where("size > 1")
-    clusters = components(rows.join(hubs, "bucket").where("key != hub").select(F.col("key").alias("u"), F.col("hub").alias("v")))
+    clusters = components(rows.join(hubs, "bucket").where("key != hub").select(F.col("key").alias("u"), F.col("hub").alias("v")).union(by_print))
     drop(rows)
+    drop(distinct)
     texts = keyed_texts(documents).join(clusters, F.col("key") == F.col("node"))
     texts = materialise(texts.groupBy("key").agg(F.first("component").alias("cluster"), F.first("text").alias("text")), "candidates")
     blocks = F.ceil(F.greatest(F.count("*") / max_cell, F.sum(F.octet_length("text")) / max_bytes)).cast("int")
@@ -172,8 +172,12 @@ def near_links(documents: DataFrame, signed: DataFrame, threshold: float = 0.8,
         for t in cells_of(batches, ["cluster", "a", "b"]):
             keys = t.column("key").to_numpy()
             order = np.argsort(keys, kind="stable")
-            sets = [shingle_set(x, size, seed) for x in t.column("text").take(order).to_pylist()]
-            u, v = links_in_cell(np.array([bands_of(x, turns) for x in sets]), sets, t.column("own").to_numpy()[order], threshold)
+            fps, sets = np.empty(len(keys), np.uint64), []
+            for i, x in enumerate(t.column("text").take(order).to_pylist()):
+                hashes = shingle_hashes(x, size, seed)
+                fps[i] = folded(hashes)
+                sets.append(np.unique(hashes))
+            u, v = links_in_cell(fps, np.array([bands_of(x, turns) for x in sets]), sets, t.column("own").to_numpy()[order], threshold)
             if len(u):
                 yield pa.record_batch([pa.array(keys[order][u]), pa.array(keys[order][v])], names=["u", "v"])
 

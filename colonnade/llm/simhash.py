@@ -29,20 +29,24 @@ BITS, SEGMENTS = 64, 4
 WIDTH = BITS // SEGMENTS
 
 
-def fingerprint(text: str, size: int = 3, seed: int = 42) -> int:
-    """The SimHash of a text's word shingles: a bit is 1 if it is set in over half of their XXH64 values."""
+def shingle_hashes(text: str, size: int = 3, seed: int = 42) -> np.ndarray:
+    """XXH64 of each of the text's word shingles, repeats included; of the whole sequence if it has fewer words; none without words."""
     from xxhash import xxh64_intdigest
 
     words = text.encode().lower().split()
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     line = b" ".join(words)
     if len(words) <= size:
-        return xxh64_intdigest(line, seed)
+        return np.array([xxh64_intdigest(line, seed)], np.uint64)
     sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
     ends = np.cumsum(sizes) - 1
     starts = (ends - sizes + 1)[: len(words) - size + 1].tolist()
-    hashes = np.fromiter((xxh64_intdigest(line[s:e], seed) for s, e in zip(starts, ends[size - 1 :].tolist())), np.uint64, len(starts))
+    return np.fromiter((xxh64_intdigest(line[s:e], seed) for s, e in zip(starts, ends[size - 1 :].tolist())), np.uint64, len(starts))
+
+
+def folded(hashes: np.ndarray) -> int:
+    """The SimHash of these values: a bit is 1 if it is set in over half of them."""
     ones = np.zeros(BITS, np.int64)
     for i in range(0, len(hashes), 16384):
         bits = np.unpackbits(hashes[i : i + 16384].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
@@ -50,6 +54,11 @@ def fingerprint(text: str, size: int = 3, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 
 
+def fingerprint(text: str, size: int = 3, seed: int = 42) -> int:
+    """The SimHash of a text's word shingles."""
+    return folded(shingle_hashes(text, size, seed))
+
+
 def fingerprints(documents: DataFrame, size: int = 3, seed: int = 42) -> DataFrame:
     """doc_id, fp (the fingerprint's bits as a long) of each document."""
 

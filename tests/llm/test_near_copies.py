@@ -4,9 +4,10 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from colonnade.llm import near_copies
+from colonnade.llm import near_copies, simhash
 from colonnade.llm.simhash import forest
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -79,6 +80,25 @@ def test_bands_find_what_they_promise():
     assert found >= 596
 
 
+def test_fingerprints_alone_make_candidates(spark):
+    rng = random.Random(4)
+    base = prose(rng, 250)
+    texts = [" ".join(base), *(" ".join([*base[:i], "new", *base[i + 1 :]]) for i in range(5, 250, 16)), " ".join(prose(rng, 250)), "", None]
+    fps = [simhash.fingerprint(t, 5) if t else None for t in texts]
+    pairs = [(i, j) for j in range(len(texts)) for i in range(j) if fps[i] and fps[j] and (fps[i] ^ fps[j]).bit_count() <= 3 and jaccard(windows(texts[i]), windows(texts[j])) >= 0.8]
+    assert 0 < len(pairs) < 17 * 16 / 2
+    df = frame(spark, texts)
+    signed = near_copies.signatures(df).withColumn("bands", F.array().cast("array<long>"))
+    near = near_copies.near_links(df, signed).collect()
+    at = {near_copies.key_of(t or ""): i for i, t in enumerate(texts)}
+    ends = [np.array([(at[r.u], at[r.v]) for r in near]).T, np.array(pairs).T]
+    found, want = (forest(len(texts), *e) for e in ends)
+    linked = lambda labels: {tuple(np.flatnonzero(labels == x)) for x in set(labels)}
+    reached = {i for pair in pairs for i in pair}
+    assert all(any(set(w) <= set(f) for f in linked(found)) for w in linked(want))
+    assert all(set(f) <= reached for f in linked(found) if len(f) > 1)
+
+
 def test_null_and_repeated_ids_leave_one_row_of_each_text(spark, texts):
     a, b, c, d = texts[0], texts[1], texts[7], texts[14]
     rows = [(1, a, "x"), (1, a, "y"), (1, c, "z"), (2, b, "z"), (None, a, "z"), (None, d, "q"), (None, d.upper(), "p"), (3, texts[21], "r"), (4, texts[21], "r")]
