@@ -5,6 +5,7 @@ import glob
 import hashlib
 import math
 import random
+import time
 import zlib
 
 import numpy as np
@@ -83,6 +84,41 @@ def test_units_split_nothing_that_belongs_together(texts):
     assert fast.encode(pa.array(["hello world"]))[0].tolist() == library.encode("hello world").ids
 
 
+def test_pieces_have_the_ids_of_their_units(texts, tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    path = registry.tokenizer_path("byte_bpe_50k.json")
+    rng = random.Random(9)
+    parts = ["a", "Zq", " ", "  ", "\n", "é", "à", "à ", "\xa0", "\x1c", "'s", " '", "'", "'ll", "12", "!?", "ñ", "漢", "。", "😀", " the", "ing ", "\x85", "\u2003", "½", "٣", "\u0301", "“", "â", "æ", ".", "..", " (", ")", '"', "-", "\t", "<|endoftext|>"]
+    mixed = ["".join(rng.choice(parts) for _ in range(rng.randrange(60))) for _ in range(3000)]
+    mixed += ["".join(chr(rng.choice([32, 97, rng.randrange(256), rng.randrange(0x3000), rng.randrange(0xE000, 0x110000)])) for _ in range(40)) for _ in range(500)]
+    mixed += [t or "" for t in texts]
+    spec = json.loads(open(path).read())
+    crossing = {**spec, "model": {**spec["model"], "vocab": {c: i for i, c in enumerate([*token_files.BYTE_CHARS, ".a", "aĠ", "aĠa", "1a", "ĠĠ", "Ġa", "'s", "'sa"])}, "merges": [[".", "a"], ["a", "Ġ"], ["aĠ", "a"], ["1", "a"], ["Ġ", "Ġ"], ["Ġ", "a"], ["'", "s"], ["'s", "a"]]}}
+    (tmp_path / "crossing.json").write_text(json.dumps(crossing))
+    (tmp_path / "looks_up.json").write_text(json.dumps({**spec, "model": {**spec["model"], "ignore_merges": True}}))
+    mixed += ["".join(rng.choice(["a", ".", " ", "1", "'s", "s", "\n"]) for _ in range(30)) for _ in range(1000)]
+    for file in (path, str(tmp_path / "crossing.json")):
+        library, own = Tokenizer.from_file(file), token_files.UnitEncoder(file, False, token_files.piece_pattern(file))
+        for i in range(0, len(mixed), 500):
+            block = mixed[i : i + 500]
+            assert [x.tolist() for x in own.encode(pa.array(block))] == [e.ids for e in library.encode_batch_fast(block, add_special_tokens=False)]
+    assert token_files.piece_pattern(str(tmp_path / "looks_up.json")) is None
+    # a long run without blanks is not gone over from each place in it
+    began, run = time.thread_time(), "abc.def," * 30_000 + "é"
+    own = token_files.UnitEncoder(path, False, token_files.piece_pattern(path))
+    assert own.encode(pa.array([run]))[0].tolist() == Tokenizer.from_file(path).encode(run, add_special_tokens=False).ids
+    assert time.thread_time() - began < 15
+    # a text goes to the library whole, which makes fewer strings of it
+    prose = "It was, as they said (twice), the 3rd of May; nobody came. " * 50
+    units = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str(prose)
+    own = token_files.encoder(path, False, token_files.piece_pattern(path)).library
+    pieces = own.pre_tokenizer.pre_tokenize_str(prose)
+    assert 10 * len(pieces) < len(units) and "".join(p for p, _ in pieces) == "".join(u for u, _ in units)
+
+
 def test_token_counts(spark, texts):
     from tokenizers import Tokenizer
 
