@@ -18,6 +18,7 @@ from __future__ import annotations
 import json
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import cache, lru_cache
 
@@ -28,17 +29,17 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from colonnade.llm import units
 from colonnade.llm.common import arrow_blocks, new_path, only
+from colonnade.llm.units import BYTE_CHARS
 
 #: Encoded pieces of text that a worker keeps; the store is emptied when full, which bounds memory and changes speed alone.
 CACHED_UNITS = 1_500_000
 MANIFEST = "manifest.json"
 #: Most units of a piece of a text (see piece_pattern): a string for each piece costs time, and so do long queues of merges.
 PIECE_UNITS = 8
-#: The character that byte-level files write for each byte.
-BYTE_CHARS = [chr(b) for b in range(256)]
-for _n, _b in enumerate([*range(33), *range(127, 161), 173]):
-    BYTE_CHARS[_b] = chr(256 + _n)
+#: Most units between two marks of a text (see UnitEncoder._marked).
+MARKED_UNITS = 16
 
 
 def _visible(c: str) -> bool:
@@ -50,20 +51,6 @@ def _plain(word: str) -> bool:
     return bool(word) and _visible(word[0]) and _visible(word[-1])
 
 
-def _members(category: str) -> np.ndarray:
-    """Which code points the library's own regular expressions take for members of a category (that U+0000 is not in)."""
-    from tokenizers import Regex, normalizers
-
-    out, blank = np.zeros(0x110000, bool), normalizers.Replace(Regex(category), "\0")
-    for plane in range(0, 0x110000, 0x10000):
-        points = np.arange(plane, plane + 0x10000)
-        points = points[(points < 0xD800) | (points >= 0xE000)]
-        left = blank.normalize_str(points.astype("<u4").tobytes().decode("utf-32-le"))
-        out[points] = np.frombuffer(left.encode("utf-32-le"), "<u4") == 0
-    out[0] = False
-    return out
-
-
 def _one_of(values) -> str:
     """A class of the characters of these bytes."""
     return _class(tuple(sorted(values)))
@@ -101,6 +88,20 @@ def _beyond_ascii(member: np.ndarray) -> str:
     return "|".join(f"(?={_one_of(x)}){pattern(x)}" for x in by_size if x)
 
 
+@lru_cache(maxsize=2)
+def markable(path: str) -> bool:
+    """Whether the file is fit for pieces of several units: the usual pattern, and merges alone make its tokens, from a token for each byte."""
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(path)
+    spec = json.loads(library.to_str())
+    model = spec["model"]
+    vocab = model.get("vocab") or {}
+    if not UnitEncoder.fits(library) or any(model.get(k) for k in ("unk_token", "fuse_unk", "byte_fallback", "ignore_merges")):
+        return False
+    return all(c in vocab for c in BYTE_CHARS) and units.relabelled(spec) is not None
+
+
 @lru_cache(maxsize=2)
 def piece_pattern(path: str) -> str | None:
     """Pattern, over the characters of bytes, of pieces of a text that have the same ids as the units of the usual pattern in them, one after the other; None if the file is not fit for it.
@@ -112,11 +113,9 @@ def piece_pattern(path: str) -> str | None:
     """
     from tokenizers import Tokenizer
 
-    library = Tokenizer.from_file(path)
-    model = json.loads(library.to_str())["model"]
-    vocab = model.get("vocab") or {}
-    if not UnitEncoder.fits(library) or any(model.get(k) for k in ("unk_token", "fuse_unk", "byte_fallback", "ignore_merges")) or any(c not in vocab for c in BYTE_CHARS):
+    if not markable(path):
         return None
+    vocab = json.loads(Tokenizer.from_file(path).to_str())["model"]["vocab"]
     byte_of = {c: b for b, c in enumerate(BYTE_CHARS)}
     after: list[set[int]] = [set() for _ in range(256)]
     for token in vocab:
@@ -124,7 +123,7 @@ def piece_pattern(path: str) -> str | None:
         for a, b in zip(raw, raw[1:]):
             if a is not None and b is not None:
                 after[a].add(b)
-    letter, number, white = map(_members, (r"\p{L}", r"\p{N}", r"\s"))
+    letter, number, white = map(units.members, (r"\p{L}", r"\p{N}", r"\s"))
     other = ~(letter | number | white)
     other[0xD800:0xE000] = False
     ascii_of = [set(np.flatnonzero(m[:128]).tolist()) for m in (letter, number, other)]
@@ -137,7 +136,7 @@ def piece_pattern(path: str) -> str | None:
             joints.append(f"(?<={_one_of(last)})" + (f"(?!{_one_of(following)})" if following else ""))
     space, blank = BYTE_CHARS[32], f"(?:{_one_of(np.flatnonzero(white[:128]).tolist())}|{_beyond_ascii(white)})"
     words, numbers, signs = (f"{space}?(?:{_one_of(x)}++|{_beyond_ascii(m)})++" for x, m in zip(ascii_of, (letter, number, other)))
-    units = [f"(?:{'|'.join([chr(92) + 'G', *joints])})(?>{words}|'s|'t|'re|'ve|'m|'ll|'d|{numbers}|{signs})"]
+    cut = [f"(?:{'|'.join([chr(92) + 'G', *joints])})(?>{words}|'s|'t|'re|'ve|'m|'ll|'d|{numbers}|{signs})"]
     # what stands between blanks, if it is of plain characters: its units need not be told apart, as all places between them are such; at most 64, or a long
     # run before an odd character would be gone over again from each place in it
     kind = {b: k for k, x in enumerate(ascii_of) for b in x if 33 <= b < 127 and b != 39}
@@ -146,8 +145,8 @@ def piece_pattern(path: str) -> str | None:
     if plain:
         ends = [b for b in range(256) if 32 in after[b]]
         before = rf"(?:\G|{f'(?<!{_one_of(ends)})' if ends else ''}(?={space}))"
-        units.insert(0, rf"{before}{space}?(?>{_one_of(plain)}{{1,64}})(?={_one_of(np.flatnonzero(white[:128]).tolist())}|\z)")
-    return rf"(?:{'|'.join(units)}){{1,{PIECE_UNITS}}}|{blank}+(?={blank}|\z)|{blank}++"
+        cut.insert(0, rf"{before}{space}?(?>{_one_of(plain)}{{1,64}})(?={_one_of(np.flatnonzero(white[:128]).tolist())}|\z)")
+    return rf"(?:{'|'.join(cut)}){{1,{PIECE_UNITS}}}|{blank}+(?={blank}|\z)|{blank}++"
 
 
 class UnitEncoder:
@@ -156,11 +155,11 @@ class UnitEncoder:
     Byte-level pre-tokenisation lets no token span the place before a single space that stands between two visible
     characters. So a text is cut there, each distinct unit goes to the tokenizers library once, and its ids are joined.
     Where either neighbour of the space is not surely visible (not alphanumeric, not printable ASCII), units stay together.
-    A file of another kind (see fits) has its texts encoded whole. Of a text encoded whole, the library makes pieces by a given pattern (see piece_pattern), or by
-    the file's own pre-tokenizer if there is none.
+    A file of another kind (see fits) has its texts encoded whole. Of a text encoded whole, the library makes pieces by marks put in it (see _marked) if there is
+    a table of kinds, by a given pattern (see piece_pattern) if there is one, or by the file's own pre-tokenizer.
     """
 
-    def __init__(self, path: str, by_word: bool = True, pieces: str | None = None):
+    def __init__(self, path: str, by_word: bool = True, pieces: str | None = None, kinds: bytes | None = None):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Regex, Tokenizer, pre_tokenizers
 
@@ -172,6 +171,13 @@ class UnitEncoder:
             to_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
             self.library.pre_tokenizer = pre_tokenizers.Sequence([to_bytes, pre_tokenizers.Split(Regex(pieces), "isolated")])
             self.library.model._resize_cache(0)  # pieces seldom come again
+        self.by_mark = None
+        if kinds is not None and not self.by_word:
+            spec = json.loads(self.library.to_str())
+            self.special = [t["content"].encode() for t in spec.get("added_tokens", [])]
+            self.kinds, self.neighbours = units.unpacked(kinds), units.neighbours(spec["model"]["vocab"])
+            self.by_mark = Tokenizer.from_str(units.relabelled(spec))
+            self.by_mark.model._resize_cache(0)
         size = self.library.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
         self.opens = np.zeros(size, bool)
@@ -220,8 +226,29 @@ class UnitEncoder:
             was_visible = bool(p) and _visible(p[-1])
         return b"".join(self._each(units))
 
+    def _marked(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of texts that the library has whole, with a mark at the first of each MARKED_UNITS units, and wherever a token of the model has the two bytes
+        beside the place where a unit begins next to each other. Across any other such place no merge can go (see piece_pattern). A text that holds a special string is encoded by the file as it is."""
+        data, cuts = units.text_bytes(texts)
+        if not len(data):
+            return [np.empty(0, self.dtype) for _ in range(len(texts))]
+        first = units.first_bytes(data, cuts)
+        begins = np.flatnonzero(units.unit_starts(data, first, units.byte_kinds(data, self.kinds), True))
+        cut = self.neighbours[data[begins - 1], data[begins]]
+        cut[::MARKED_UNITS] = True
+        found = self.by_mark.encode_batch_fast(units.marked(data, cuts, begins[cut & ~first[begins]]), add_special_tokens=False)
+        raw = data.tobytes()
+        if any(x in raw for x in self.special):
+            ends = cuts.tolist()
+            for i, (a, b) in enumerate(zip(ends, ends[1:])):
+                if any(x in raw[a:b] for x in self.special):
+                    found[i] = self.library.encode(raw[a:b].decode(), add_special_tokens=False)
+        return [np.frombuffer(array("I", e.ids), np.uint32).astype(self.dtype) for e in found]
+
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of each text; a null text has none. Arrow finds the distinct words, so Python handles each once a call."""
+        if self.by_mark is not None:
+            return self._marked(texts)
         if not self.by_word:
             found = self.library.encode_batch_fast([t or "" for t in texts.to_pylist()], add_special_tokens=False)
             return [np.fromiter(e.ids, self.dtype, len(e)) for e in found]
@@ -266,8 +293,8 @@ class UnitEncoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str, by_word: bool, pieces: str | None = None) -> UnitEncoder:
-    return UnitEncoder(path, by_word, pieces)
+def encoder(path: str, by_word: bool, pieces: str | None = None, kinds: bytes | None = None) -> UnitEncoder:
+    return UnitEncoder(path, by_word, pieces, kinds)
 
 
 @cache
@@ -344,7 +371,7 @@ def write_shards(documents: DataFrame, tokenizer: str, folder: str, end_id: int
     its own shard. Texts go to the library whole; by_word sends each distinct unit of text once a worker instead, which gives the same ids in less time.
     The list that comes back, which is also the manifest, has a row for each shard, not for each document.
     """
-    spark, pieces = documents.sparkSession, None if by_word else piece_pattern(tokenizer)
+    spark, kinds = documents.sparkSession, units.kinds() if not by_word and markable(tokenizer) else None
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     by = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), F.col("text")]
     dealt = only(documents, "doc_id", "text").repartitionByRange(n, *by[:2]).sortWithinPartitions(*by)
@@ -352,7 +379,7 @@ def write_shards(documents: DataFrame, tokenizer: str, folder: str, end_id: int
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        writer, enc, task = None, encoder(tokenizer, by_word, pieces), TaskContext.get()
+        writer, enc, task = None, encoder(tokenizer, by_word, kinds=kinds), TaskContext.get()
         end = np.array([] if end_id is None else [end_id], enc.dtype)
         for block in arrow_blocks(batches, 4_000_000 if enc.by_word else 100_000):
             if writer is None:

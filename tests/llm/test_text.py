@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from colonnade.llm import embeddings, html_text, language_model, pieces, registry, token_counts, token_files
+from colonnade.llm import embeddings, html_text, language_model, pieces, registry, token_counts, token_files, units
 
 DOCS = "doc_id long, text string"
 STRANGE = ["", None, " ", "  two  spaces ", "a\n\n b\t c", "\x1c x \x85 y\xa0z", "<|endoftext|> in <|startoftext|>text", "don't I'll we've", "漢字 かな 😀 é é ​", "▁under ▁ line", "x" * 3000, "ÀÉ ñ ß İ ﬁ ½", "\r\n end \r", "0 12 345 #$%", "a" * 40 + " " * 40 + "b"]
@@ -119,6 +119,45 @@ def test_pieces_have_the_ids_of_their_units(texts, tmp_path):
     assert 10 * len(pieces) < len(units) and "".join(p for p, _ in pieces) == "".join(u for u, _ in units)
 
 
+def odd_texts(texts):
+    """Texts in which cuts are hard to find."""
+    rng = random.Random(17)
+    parts = ["a", "Zq", " ", "  ", "\n", "é", "à ", "\xa0", "\x1c", "'s", " '", "'", "'ll", "'re", "'l", "'v", "'S", "12", "!?", "ñ", "漢", "😀", " the", "ing ", "\x85", "\u2003", "\u3000", "½", "٣", "\u0301", "“", ".", " (", "\t", "\0", "ÿ", "<|endoftext|>", "<|ENDOFTEXT|>", "İ", "ΑΣ", "Ω", "ﬁ", "Ⱥ", "가", "e\u0301"]
+    out = ["".join(rng.choice(parts) for _ in range(rng.randrange(40))) for _ in range(4000)]
+    out += ["".join(chr(rng.choice([32, 39, 97, 115, rng.randrange(256), rng.randrange(0x3000), rng.randrange(0xE000, 0x110000)])) for _ in range(40)) for _ in range(1000)]
+    return out + ["".join(rng.choice(["a", "é", " ", "'", "s", "re", "1", ".", "\n"]) for _ in range(12)) for _ in range(4000)] + [t or "" for t in texts]
+
+
+def test_marks_stand_where_units_begin(texts, tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    path = registry.tokenizer_path("byte_bpe_50k.json")
+    spec = json.loads(open(path).read())
+    crossing = {**spec, "model": {**spec["model"], "vocab": {c: i for i, c in enumerate([*token_files.BYTE_CHARS, ".a", "aĠ", "aĠa", "1a", "ĠĠ", "Ġa", "'s", "'sa"])}, "merges": [[".", "a"], ["a", "Ġ"], ["aĠ", "a"], ["1", "a"], ["Ġ", "Ġ"], ["Ġ", "a"], ["'", "s"], ["'s", "a"]]}}
+    (tmp_path / "crossing.json").write_text(json.dumps(crossing))
+    odd = odd_texts(texts)
+    for file in (path, str(tmp_path / "crossing.json")):
+        library, own = Tokenizer.from_file(file), token_files.UnitEncoder(file, False, kinds=units.kinds())
+        for i in range(0, len(odd), 700):
+            block = odd[i : i + 700]
+            assert [x.tolist() for x in own.encode(pa.array([None, *block, ""]).slice(1))] == [e.ids for e in library.encode_batch_fast([*block, ""], add_special_tokens=False)]
+    # where units begin is where the file's own pattern has them
+    whole = [t for t in odd if t]
+    data, cuts = units.text_bytes(pa.array(whole))
+    begins = units.unit_starts(data, units.first_bytes(data, cuts), units.byte_kinds(data, units.unpacked(units.kinds())), True)
+    library = Tokenizer.from_file(path)
+    assert np.flatnonzero(begins).tolist() == [c + a for c, t in zip(cuts, whole) for a in np.cumsum([0] + [len(u) for u, _ in library.pre_tokenizer.pre_tokenize_str(t)])[:-1]]
+    own = token_files.encoder(path, False, kinds=units.kinds())
+    assert own.encode(pa.array([], pa.string())) == [] and [len(x) for x in own.encode(pa.array(["", None]))] == [0, 0]
+    began, run = time.thread_time(), "abc.def," * 30_000 + "é"
+    assert own.encode(pa.array([run]))[0].tolist() == library.encode(run, add_special_tokens=False).ids
+    assert time.thread_time() - began < 15
+    # no regular expression goes over a text
+    assert own.by_mark is not None and json.loads(own.by_mark.to_str())["pre_tokenizer"]["type"] == "CharDelimiterSplit"
+
+
 def test_token_counts(spark, texts):
     from tokenizers import Tokenizer
 
