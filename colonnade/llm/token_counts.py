@@ -1,6 +1,6 @@
 """Token counts of whole texts, with huge ones encoded in overlapping chunks.
 
-A text of up to chunk_chars characters is one chunk: it goes to the library whole. With by_word, where the library's tokens never span white space, such texts
+A text of up to chunk_chars characters is one chunk: it goes to the library whole, lowered and with marks where the usual pattern cuts it if the file is of the usual kind (see MarkedCounts). With by_word, where the library's tokens never span white space, such texts
 are counted by their distinct words instead, with the same result. A longer one is encoded in chunks that overlap; both encodings of an
 overlap carry offsets. The chunks are spliced at a place where white space is followed by a visible character, where a
 token of both encodings begins, and where the guard tokens before and after it are the same in both: there the library's pre-tokenisation
@@ -12,6 +12,7 @@ Defined cases: null and empty texts have 0 bytes and 0 tokens; repeated rows sta
 
 from __future__ import annotations
 
+import json
 import os
 from bisect import bisect_left
 from collections.abc import Iterator
@@ -22,6 +23,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from colonnade.llm import units
 from colonnade.llm.common import WHITE, arrow_blocks, only
 
 #: Words whose counts a worker keeps; the store is emptied when full, which bounds memory and changes speed alone.
@@ -141,13 +143,83 @@ def _words(path: str) -> WordCounts | None:
     return WordCounts(library) if WordCounts.fits(library) else None
 
 
+#: What a file of the usual kind does to a text, and where it cuts it.
+LOWERS = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+CUTS = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+
+
+class MarkedCounts:
+    """Token counts of texts that the library has whole, lowered, with a mark where the usual pattern cuts them.
+
+    The library spends most of its time on normalising each character with its place, on the pattern, and on turning bytes. Where each character of a text has
+    but one lowered form whatever its neighbours (units.lowered_alone), str.lower() gives the same text, and the places come from its bytes (units.unit_starts). All merges are
+    the library's. Texts with any other character, or with a special string, are encoded by the file as it is.
+    """
+
+    def __init__(self, path: str, kinds: bytes, alone: bytes):
+        from tokenizers import Tokenizer
+
+        self.library = _load(path)
+        spec = json.loads(self.library.to_str())
+        self.special = [t["content"].encode() for t in spec["added_tokens"]]
+        self.kinds, self.alone = units.unpacked(kinds), units.unpacked(alone) > 0
+        self.by_mark = Tokenizer.from_str(units.relabelled({**spec, "added_tokens": []}))
+
+    @staticmethod
+    def tables(path: str) -> tuple[bytes, bytes] | None:
+        """What workers need, made on the driver; None if the file is of another kind."""
+        if path.endswith(".model"):
+            return None
+        spec = json.loads(_load(path).to_str())
+        model, split = spec["model"], spec.get("pre_tokenizer") or {}
+        cut, *rest = split.get("pretokenizers") or [None]
+        fit = spec.get("normalizer") == LOWERS and split.get("type") == "Sequence" and cut == CUTS and len(rest) == 1
+        fit = fit and rest[0].get("type") == "ByteLevel" and rest[0].get("add_prefix_space") is False and rest[0].get("use_regex") is False
+        fit = fit and model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "unk_token", "byte_fallback"))
+        fit = fit and not any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] or not t["content"] for t in spec["added_tokens"])
+        if not fit or spec.get("post_processor") is not None or units.relabelled(spec) is None:
+            return None
+        alone = units.lowered_alone(json.dumps(LOWERS))
+        return (units.kinds(), alone) if units.unpacked(alone)[:128].all() else None
+
+    def counts(self, texts: pa.Array) -> np.ndarray:
+        data, cuts = units.text_bytes(texts)
+        odd = np.zeros(len(texts), bool)
+        at, _, point = units.code_points(data)
+        odd[np.searchsorted(cuts, at[~self.alone[point]], "right") - 1] = True
+        raw, ends = data.tobytes(), cuts.tolist()
+        spans = list(zip(ends, ends[1:]))
+        if any(x in raw for x in self.special):
+            odd |= [any(x in raw[a:b] for x in self.special) for a, b in spans]
+        lowered = [b"" if o else raw[a:b].decode().lower().encode() for (a, b), o in zip(spans, odd.tolist())]
+        data = np.frombuffer(b"".join(lowered), np.uint8)
+        cuts = np.concatenate([[0], np.cumsum(np.fromiter(map(len, lowered), np.int64, len(lowered)))])
+        kind = units.byte_kinds(data, self.kinds)
+        first = units.first_bytes(data, cuts)
+        begins = units.unit_starts(data, first, kind, False) & ~first
+        white = kind == units.WHITE
+        begins[1:] &= ~(white[1:] | white[:-1])
+        found = self.by_mark.encode_batch_fast(units.marked(np.where(white, np.uint8(units.MARK), data), cuts, np.flatnonzero(begins)), add_special_tokens=False)
+        n = np.fromiter(map(len, found), np.int64, len(found))
+        if odd.any():
+            n[odd] = [len(e) for e in self.library.encode_batch_fast([raw[a:b].decode() for (a, b), o in zip(spans, odd.tolist()) if o], add_special_tokens=False)]
+        return n
+
+
+@lru_cache(maxsize=2)
+def _marked(path: str, kinds: bytes, alone: bytes) -> MarkedCounts:
+    return MarkedCounts(path, kinds, alone)
+
+
 def token_counts(documents: DataFrame, tokenizer: str, limit: int = 2048, chunk_chars: int = 16384, overlap: int = 512, by_word: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit) of each document (doc_id, text). No exchange."""
+    tables = None if by_word else MarkedCounts.tables(tokenizer)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         library = _load(tokenizer)
         pieces = tokenizer.endswith(".model")
         words = _words(tokenizer) if by_word and not pieces else None
+        marks = _marked(tokenizer, *tables) if tables else None
         for block in arrow_blocks(batches, 4_000_000 if words else 400_000):
             texts = pc.fill_null(block.column(1), "")
             huge = pc.greater(pc.utf8_length(texts), chunk_chars).to_numpy(zero_copy_only=False) & (not pieces)
@@ -155,6 +227,8 @@ def token_counts(documents: DataFrame, tokenizer: str, limit: int = 2048, chunk_
             short = texts.filter(pa.array(~huge))
             if words:
                 n[~huge] = words.counts(short)
+            elif marks:
+                n[~huge] = marks.counts(short)
             elif pieces:
                 n[~huge] = [len(x) for x in library.encode(short.to_pylist(), num_threads=1)]
             else:

@@ -164,3 +164,33 @@ def marked(data: np.ndarray, cuts: np.ndarray, places: np.ndarray) -> list[str]:
     ends = (cuts + np.searchsorted(places, cuts)).tolist()
     held = out.tobytes().decode("latin-1")
     return [held[a:b] for a, b in zip(ends, ends[1:])]
+
+
+@lru_cache(maxsize=1)
+def lowered_alone(normalizer: str) -> bytes:
+    """Packed: which code points a normalizer of NFC, one space for white space, and lower case (as its JSON) turns into str.lower() of them, whatever stands beside them.
+
+    Characters of white space need only become white space. Left out are characters that NFC may join with or move about what is before them, those that Python's Unicode
+    does not know, and capital sigma, which str.lower() turns by what is around it.
+    """
+    import unicodedata
+
+    from tokenizers import Tokenizer, models
+
+    library = Tokenizer.from_str(json.dumps({**json.loads(Tokenizer(models.BPE()).to_str()), "normalizer": json.loads(normalizer)})).normalizer
+    points = [c for c in map(chr, range(0x110000)) if not "\ud800" <= c <= "\udfff" and c != "|"]
+    got = library.normalize_str("|" + "|".join(points) + "|").split("|")[1:-1]
+    if len(got) != len(points):
+        raise ValueError("a normalizer that makes or takes bars")
+    seconds = {chr(x) for x in (*range(0x1161, 0x1176), *range(0x11A8, 0x11C3))}  # of Hangul syllables
+    for c in points:
+        parts = unicodedata.decomposition(c).split()
+        if len(parts) == 2 and not parts[0].startswith("<"):
+            seconds.add(chr(int(parts[1], 16)))
+    kind, out = unpacked(kinds()), np.zeros(0x110000, bool)
+    out[ord("|")] = True
+    for c, x in zip(points, got):
+        if x == (" " if kind[ord(c)] == WHITE else c.lower()) and c != "Σ" and unicodedata.category(c) != "Cn":
+            head = c if c < "\x80" else unicodedata.normalize("NFD", c)[0]
+            out[ord(c)] = not unicodedata.combining(c) and not unicodedata.combining(head) and c not in seconds and head not in seconds
+    return zlib.compress(out.view(np.uint8).tobytes())

@@ -180,6 +180,35 @@ def test_token_counts(spark, texts):
     assert collections.Counter(r.n_tokens for r in token_counts.token_counts(df, model).collect()) == collections.Counter(len(sp.encode(t or "")) for _, t in rows)
 
 
+def test_counts_by_mark_are_those_of_the_file(texts):
+    import json
+
+    from tokenizers import Tokenizer
+
+    path = registry.tokenizer_path("word_bpe_49k.json")
+    library, tables = Tokenizer.from_file(path), token_counts.MarkedCounts.tables(path)
+    own, odd = token_counts._marked(path, *tables), odd_texts(texts)
+    for i in range(0, len(odd), 700):
+        block = odd[i : i + 700]
+        assert own.counts(pa.array([None, *block, ""]).slice(1)).tolist() == [len(e) for e in library.encode_batch_fast([*block, ""], add_special_tokens=False)]
+    assert own.counts(pa.array([], pa.string())).tolist() == [] and own.counts(pa.array(["", None])).tolist() == [0, 0]
+    # characters that count as lowered alone, between others
+    alone = [chr(i) for i in np.flatnonzero(own.alone).tolist()]
+    assert set("aÉß漢가٣½ \n\x85") < set(alone) and not {"\u0301", "Σ", "\u1161", "\u0958"} & set(alone)
+    random.Random(4).shuffle(alone)
+    for i in range(0, len(alone), 50_000):
+        t = "".join(alone[i : i + 50_000])
+        want = "".join(" " if own.kinds[ord(c)] == units.WHITE else c for c in t.lower()).split(" ")
+        assert library.normalizer.normalize_str(t).strip(" ").split(" ") == [x for x in want if x]
+    # only texts with other characters or special strings are left to the file as it is
+    seen = []
+    own = token_counts.MarkedCounts(path, *tables)
+    own.library = type("Seen", (), {"encode_batch_fast": lambda self, texts, **k: [seen.extend(texts), [()] * len(texts)][1]})()
+    own.counts(pa.array(["It's naïve, É! 漢字 5", "e\u0301", "<|endoftext|>", "<|ENDOFTEXT|>"]))
+    assert seen == ["e\u0301", "<|endoftext|>"]
+    assert all(token_counts.MarkedCounts.tables(registry.tokenizer_path(x)) is None for x in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+
+
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 def test_overlaps_resynchronise_or_widen(name):
     from tokenizers import Tokenizer
