@@ -39,7 +39,7 @@ MANIFEST = "manifest.json"
 #: Most units of a piece of a text (see piece_pattern): a string for each piece costs time, and so do long queues of merges.
 PIECE_UNITS = 8
 #: Most units between two marks of a text (see UnitEncoder._marked).
-MARKED_UNITS = 16
+MARKED_UNITS = 64
 
 
 def _visible(c: str) -> bool:
@@ -159,7 +159,7 @@ class UnitEncoder:
     a table of kinds, by a given pattern (see piece_pattern) if there is one, or by the file's own pre-tokenizer.
     """
 
-    def __init__(self, path: str, by_word: bool = True, pieces: str | None = None, kinds: bytes | None = None):
+    def __init__(self, path: str, by_word: bool = True, pieces: str | None = None, kinds: bytes | None = None, pairs: bool = True):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Regex, Tokenizer, pre_tokenizers
 
@@ -176,7 +176,8 @@ class UnitEncoder:
             spec = json.loads(self.library.to_str())
             self.special = [t["content"].encode() for t in spec.get("added_tokens", [])]
             self.kinds, self.neighbours = units.unpacked(kinds), units.neighbours(spec["model"]["vocab"])
-            self.by_mark = Tokenizer.from_str(units.relabelled(spec))
+            self.pairs = units.Pairs.of(spec) if pairs else None
+            self.by_mark = Tokenizer.from_str(units.relabelled({**spec, "added_tokens": []}, self.pairs))
             self.by_mark.model._resize_cache(0)
         size = self.library.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
@@ -228,7 +229,8 @@ class UnitEncoder:
 
     def _marked(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of texts that the library has whole, with a mark at the first of each MARKED_UNITS units, and wherever a token of the model has the two bytes
-        beside the place where a unit begins next to each other. Across any other such place no merge can go (see piece_pattern). A text that holds a special string is encoded by the file as it is."""
+        beside the place where a unit begins next to each other. Across any other such place no merge can go (see piece_pattern). Pairs of bytes that the merges are sure to join
+        first stand as one character (see units.Pairs), which spares the library about half of its merges. A text that holds a special string is encoded by the file as it is."""
         data, cuts = units.text_bytes(texts)
         if not len(data):
             return [np.empty(0, self.dtype) for _ in range(len(texts))]
@@ -236,7 +238,7 @@ class UnitEncoder:
         begins = np.flatnonzero(units.unit_starts(data, first, units.byte_kinds(data, self.kinds), True))
         cut = self.neighbours[data[begins - 1], data[begins]]
         cut[::MARKED_UNITS] = True
-        found = self.by_mark.encode_batch_fast(units.marked(data, cuts, begins[cut & ~first[begins]]), add_special_tokens=False)
+        found = self.by_mark.encode_batch_fast(units.marked(data, cuts, begins[cut & ~first[begins]], self.pairs), add_special_tokens=False)
         raw = data.tobytes()
         if any(x in raw for x in self.special):
             ends = cuts.tolist()
@@ -381,7 +383,7 @@ def write_shards(documents: DataFrame, tokenizer: str, folder: str, end_id: int
 
         writer, enc, task = None, encoder(tokenizer, by_word, kinds=kinds), TaskContext.get()
         end = np.array([] if end_id is None else [end_id], enc.dtype)
-        for block in arrow_blocks(batches, 4_000_000 if enc.by_word else 100_000):
+        for block in arrow_blocks(batches, 4_000_000 if enc.by_word else 400_000):
             if writer is None:
                 writer = ShardWriter(folder, task.partitionId(), f"{task.taskAttemptId()}", enc.dtype, seq_len, rows_per_batch)
             for d, ids in zip(block.column(0).to_pylist(), enc.encode(block.column(1))):

@@ -3,7 +3,8 @@
 The library's own pre-tokenisation is a regular expression gone over for each text, a string for each unit, and a turning of each into characters of bytes,
 which together cost more than the merges. Here the places of the cuts come from the bytes of a block of texts, by tables of what the library's own
 regular expressions take for letters, numbers and white space. The library then gets every text whole, with a mark at the places where it is to be cut, and
-makes all of its merges. So that bytes need no turning, its model is written with the character of the same number for each byte (relabelled).
+makes its merges. So that bytes need no turning, its model is written with the character of the same number for each byte (relabelled). Two bytes whose merge is sure,
+whatever the rest of the text does, may be given as one character of their own (Pairs).
 """
 
 from __future__ import annotations
@@ -54,17 +55,83 @@ def unpacked(table: bytes) -> np.ndarray:
     return np.frombuffer(zlib.decompress(table), np.uint8)
 
 
-def relabelled(spec: dict) -> str | None:
-    """A byte-level BPE file (as the library writes it) without normalizer, with chr(b) for each byte b and cuts at marks alone; None if its tokens hold other characters."""
+def relabelled(spec: dict, pairs: Pairs | None = None) -> str | None:
+    """A byte-level BPE file (as the library writes it) without normalizer, with chr(b) for each byte b, the characters of pairs, and cuts at marks alone; None if its tokens hold other characters."""
     model, to = spec["model"], {ord(c): chr(b) for b, c in enumerate(BYTE_CHARS)}
     if any(ord(c) not in to for t in model["vocab"] for c in t):
         return None
     merges = [[x.translate(to) for x in (m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
     vocab = {t.translate(to): i for t, i in model["vocab"].items()}
+    if pairs is not None:
+        vocab |= {c: vocab[chr(a) + chr(b)] for c, a, b in pairs.characters()}
     cut = {"type": "CharDelimiterSplit", "delimiter": chr(MARK)}
     return json.dumps({**spec, "normalizer": None, "pre_tokenizer": cut, "post_processor": None, "decoder": None, "model": {**model, "vocab": vocab, "merges": merges}})
 
 
+class Pairs:
+    """Pairs of bytes that the merges of a byte-level BPE join before anything else can touch either, in any text where they stand between given bytes.
+
+    Merges go by rank. Let r be the rank of (a, b). Until a and b are joined, a can only be the right part of a merge whose left part ends in the byte before it, and b the left
+    part of one whose right part begins with the byte after it. If all such merges have ranks above r, none comes before that of a and b. And if all merges with ab as a part have ranks above r as well,
+    none of them would have come before r: joined from the start, the text has the same other merges in the same order. Every token must be made by one merge, as the library tells queued merges by their token.
+    """
+
+    #: No such merge.
+    NONE = 0xFFFF
+
+    def __init__(self, ranks: np.ndarray, left: np.ndarray, right: np.ndarray):
+        at = np.flatnonzero(ranks < self.NONE)
+        at = at[np.argsort(ranks[at])][: 0xD800 - 0x100]  # below the surrogates, the first in the shortest characters
+        character = np.zeros(1 << 16, np.uint16)
+        character[at] = 0x100 + np.arange(len(at))
+        #: At 256 * a + b: the rank of (a, b), the least of a merge of what ends in a with b, the least of one of a with what begins with b, and the character of ab.
+        self.ranks, self.left, self.right = (np.minimum(x, self.NONE).astype(np.uint16) for x in (np.where(character > 0, ranks, self.NONE), left, right))
+        self.character = character
+
+    @classmethod
+    def of(cls, spec: dict) -> Pairs | None:
+        """Those of a file (as the library writes it); None if a token is made by several merges, or holds other characters."""
+        byte_of = {c: b for b, c in enumerate(BYTE_CHARS)}
+        rank = {tuple(m.split(" ") if isinstance(m, str) else m): r for r, m in enumerate(spec["model"]["merges"])}
+        if len({a + b for a, b in rank}) < len(rank) or any(c not in byte_of for m in rank for t in m for c in t):
+            return None
+        least: dict[str, int] = {}  # rank of a merge that has the token as a part
+        ranks, left, right = (np.full(1 << 16, cls.NONE, np.int64) for _ in range(3))
+        for (a, b), r in rank.items():
+            least[a], least[b] = min(r, least.get(a, r)), min(r, least.get(b, r))
+            at = byte_of[a[-1]] << 8 | byte_of[b[0]]
+            if len(b) == 1:
+                left[at] = min(left[at], r)
+            if len(a) == 1:
+                right[at] = min(right[at], r)
+        for (a, b), r in rank.items():
+            if len(a) == len(b) == 1 and r < least.get(a + b, cls.NONE) and MARK not in (byte_of[a], byte_of[b]):
+                ranks[byte_of[a] << 8 | byte_of[b]] = min(r, cls.NONE)
+        return cls(ranks, left, right)
+
+    def characters(self) -> list[tuple[str, int, int]]:
+        """(character, a, b) of each pair that has one."""
+        return [(chr(self.character[at]), at >> 8, at & 255) for at in np.flatnonzero(self.character).tolist()]
+
+    def joined(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of texts end to end, as characters with the sure pairs as one, and where each text begins, with the end of the last."""
+        out = data.astype(np.uint16)
+        if len(data) < 2:
+            return out, ends
+        at = ((out[:-1] << 8) | out[1:]).astype(np.intp)
+        rank, left, right = (x.take(at, mode="wrap") for x in (self.ranks, self.left, self.right))
+        sure = rank < self.NONE
+        sure[1:] &= rank[1:] < left[:-1]
+        sure[:-1] &= rank[:-1] < right[1:]
+        sure[ends[(ends > 0) & (ends < len(data))] - 1] = False
+        sure = np.flatnonzero(sure)  # places are taken, not masks: a mask without order costs several times as much
+        out[sure] = self.character.take(at.take(sure))
+        sure += 1
+        own = np.ones(len(data), bool)
+        own[sure] = False
+        return out.take(np.flatnonzero(own)), ends - np.searchsorted(sure, ends)
+
+
 def neighbours(vocab) -> np.ndarray:
     """[a, b]: whether a token has byte b next after byte a."""
     out, byte_of = np.zeros((256, 256), bool), {c: b for b, c in enumerate(BYTE_CHARS)}
@@ -78,11 +145,13 @@ def neighbours(vocab) -> np.ndarray:
 
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts, end to end, and where each begins, with the end of the last; a null text has none."""
-    held = pc.fill_null(texts, "").cast(pa.large_string())
-    cuts = np.frombuffer(held.buffers()[1], np.int64)[held.offset : held.offset + len(held) + 1]
-    raw = held.buffers()[2]
-    data = np.frombuffer(raw, np.uint8)[cuts[0] : cuts[-1]] if raw is not None and raw.size else np.empty(0, np.uint8)
-    return data, cuts - cuts[0]
+    held = pc.fill_null(texts, "") if texts.null_count else texts
+    held = held if pa.types.is_string(held.type) else held.cast(pa.large_string())
+    _, places, raw = held.buffers()
+    if not len(held) or raw is None or not raw.size:
+        return np.empty(0, np.uint8), np.zeros(len(held) + 1, np.int64)
+    cuts = np.frombuffer(places, np.int32 if pa.types.is_string(held.type) else np.int64)[held.offset : held.offset + len(held) + 1].astype(np.int64)
+    return np.frombuffer(raw, np.uint8)[cuts[0] : cuts[-1]], cuts - cuts[0]
 
 
 def first_bytes(data: np.ndarray, cuts: np.ndarray) -> np.ndarray:
@@ -106,7 +175,7 @@ def code_points(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def byte_kinds(data: np.ndarray, table: np.ndarray) -> np.ndarray:
     """The kind of the character that each byte is of."""
-    out = table[:256][data]
+    out = np.frombuffer(bytearray(data.tobytes().translate(table[:256].tobytes())), np.uint8)
     at, size, point = code_points(data)
     kind = table[point]
     out[at] = kind
@@ -155,14 +224,16 @@ def unit_starts(data: np.ndarray, first: np.ndarray, kind: np.ndarray, spaced: b
     return begins
 
 
-def marked(data: np.ndarray, cuts: np.ndarray, places: np.ndarray) -> list[str]:
-    """The texts with a mark before each of these places (ascending), each byte as the character of its number."""
+def marked(data: np.ndarray, cuts: np.ndarray, places: np.ndarray, pairs: Pairs | None = None) -> list[str]:
+    """The texts with a mark before each of these places (ascending), each byte as the character of its number, or sure pairs as theirs."""
     out = np.full(len(data) + len(places), MARK, np.uint8)
     own = np.ones(len(out), bool)
     own[places + np.arange(len(places))] = False
     out[own] = data
-    ends = (cuts + np.searchsorted(places, cuts)).tolist()
-    held = out.tobytes().decode("latin-1")
+    ends = cuts + np.searchsorted(places, cuts)
+    if pairs is not None:
+        out, ends = pairs.joined(out, ends)
+    held, ends = out.tobytes().decode("latin-1" if pairs is None else "utf-16-le"), ends.tolist()
     return [held[a:b] for a, b in zip(ends, ends[1:])]
 
 

@@ -158,6 +158,49 @@ def test_marks_stand_where_units_begin(texts, tmp_path):
     assert own.by_mark is not None and json.loads(own.by_mark.to_str())["pre_tokenizer"]["type"] == "CharDelimiterSplit"
 
 
+def test_sure_pairs_change_no_ids(tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    path, rng = registry.tokenizer_path("byte_bpe_50k.json"), random.Random(29)
+    spec, letters = json.loads(open(path).read()), "abc .'s1é"
+    names = list(dict.fromkeys(units.BYTE_CHARS[b] for b in letters.encode()))
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(30))) for _ in range(300)] + ["a" * n for n in range(9)]
+    found = [0, 0]
+    for k in range(120):
+        tokens, merges = list(names), []
+        for _ in range(rng.randrange(1, 40)):
+            a, b = rng.choice(tokens), rng.choice(tokens)
+            if a + b not in tokens and len(a + b) < 8:
+                tokens.append(a + b)
+                merges.append([a, b])
+        if k % 3 == 1:  # merges of parts that are made later
+            rng.shuffle(merges)
+        if k % 3 == 2:  # tokens made in two ways
+            merges += [[t[0], t[1:]] for t in tokens if len(t) == 3 and t[1:] in tokens and [t[0], t[1:]] not in merges]
+        vocab = dict.fromkeys([*units.BYTE_CHARS, *tokens])
+        (tmp_path / "file.json").write_text(json.dumps({**spec, "added_tokens": [], "model": {**spec["model"], "vocab": {t: i for i, t in enumerate(vocab)}, "merges": merges}}))
+        library, own = Tokenizer.from_file(str(tmp_path / "file.json")), token_files.UnitEncoder(str(tmp_path / "file.json"), False, kinds=units.kinds())
+        assert [x.tolist() for x in own.encode(pa.array(texts))] == [e.ids for e in library.encode_batch_fast(texts, add_special_tokens=False)], merges
+        found[own.pairs is not None] += own.pairs is None or len(own.pairs.characters())
+    assert found[0] > 0 and found[1] > 100
+    # a special string is not looked for in the characters that stand for bytes or pairs
+    special = {"single_word": False, "lstrip": False, "rstrip": False, "normalized": False, "special": True}
+    odd = [{"id": 50257 + i, "content": c, **special} for i, c in enumerate(("é", "Ā", "¡a"))]
+    (tmp_path / "special.json").write_text(json.dumps({**spec, "added_tokens": [*spec["added_tokens"], *odd]}))
+    library, own = Tokenizer.from_file(str(tmp_path / "special.json")), token_files.UnitEncoder(str(tmp_path / "special.json"), False, kinds=units.kinds())
+    block = ["需要 the rain", "é", "aĀb needé", "cháat", "¡a", "<|endoftext|>"]
+    assert [x.tolist() for x in own.encode(pa.array(block))] == [library.encode(t, add_special_tokens=False).ids for t in block]
+    # prose has a good part of its bytes joined, in whole texts
+    prose = ["It was, as they said (twice), the 3rd of May; nobody came. " * 5, "", "another thing"]
+    data, cuts = units.text_bytes(pa.array(prose))
+    got = units.marked(data, cuts, np.array([], np.int64), token_files.encoder(path, False, kinds=units.kinds()).pairs)
+    assert len(got) == 3 and sum(map(len, got)) < 0.75 * len(data)
+    apart = {c: chr(a) + chr(b) for c, a, b in token_files.encoder(path, False, kinds=units.kinds()).pairs.characters()}
+    assert ["".join(apart.get(c, c) for c in x) for x in got] == prose
+
+
 def test_token_counts(spark, texts):
     from tokenizers import Tokenizer
 
