@@ -1,6 +1,6 @@
 """Token counts of whole texts, with huge ones encoded in overlapping chunks.
 
-A text of up to chunk_chars characters is one chunk: it goes to the library whole, lowered and with marks where the usual pattern cuts it if the file is of the usual kind (see MarkedCounts). With by_word, where the library's tokens never span white space, such texts
+A text of up to chunk_chars characters is one chunk: it goes to the library whole, lowered and with the ends of the usual pattern's units told if the file is of the usual kind (see MarkedCounts). With by_word, where the library's tokens never span white space, such texts
 are counted by their distinct words instead, with the same result. A longer one is encoded in chunks that overlap; both encodings of an
 overlap carry offsets. The chunks are spliced at a place where white space is followed by a visible character, where a
 token of both encodings begins, and where the guard tokens before and after it are the same in both: there the library's pre-tokenisation
@@ -15,7 +15,7 @@ from __future__ import annotations
 import json
 import os
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -62,10 +62,13 @@ def _splice(text: str, left: list[tuple[int, int]], right: list[tuple[int, int]]
     return None
 
 
-def count_huge(library, text: str, chunk_chars: int, overlap: int, guard: int = 4) -> int:
-    """Tokens of a long text by overlapping chunks."""
+def count_huge(library, text: str, chunk_chars: int, overlap: int, guard: int = 4, starts: Callable[[str], tuple[np.ndarray, list[int]]] | None = None) -> int:
+    """Tokens of a long text by overlapping chunks; starts gives where each token of a chunk begins, and its id, in the library's stead."""
 
     def tokens(a: int, b: int) -> list[tuple[int, int]]:
+        if starts is not None:
+            places, ids = starts(text[a:b])
+            return list(zip((places + a).tolist(), ids))
         e = library.encode(text[a:b], add_special_tokens=False)
         return [(s + a, i) for (s, _), i in zip(e.offsets, e.ids)]
 
@@ -143,17 +146,23 @@ def _words(path: str) -> WordCounts | None:
     return WordCounts(library) if WordCounts.fits(library) else None
 
 
+#: Units between marks: more make the library's merges of a run slower, fewer make it spend more on each run.
+MARKED_UNITS = 64
+#: Characters of a long text that are looked through at a time.
+BLOCK = 1 << 18
+
 #: What a file of the usual kind does to a text, and where it cuts it.
 LOWERS = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
 CUTS = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
 
 
 class MarkedCounts:
-    """Token counts of texts that the library has whole, lowered, with a mark where the usual pattern cuts them.
+    """Token counts of texts that the library has whole, lowered, with the end of each unit of the usual pattern told by the character of its last byte.
 
-    The library spends most of its time on normalising each character with its place, on the pattern, and on turning bytes. Where each character of a text has
-    but one lowered form whatever its neighbours (units.lowered_alone), str.lower() gives the same text, and the places come from its bytes (units.unit_starts). All merges are
-    the library's. Texts with any other character, or with a special string, are encoded by the file as it is.
+    The library spends most of its time on normalising each character with its place, on the pattern, on turning bytes, and on a string for each unit. Where each character of a text has
+    but one lowered form whatever its neighbours (units.lowered_alone), str.lower() gives the same text, and the places come from its bytes (units.unit_starts). As no merge goes
+    past the end of a unit (units.with_ends), units stand one after the other, with a mark at the first of each MARKED_UNITS. Pairs of bytes that the merges are sure to join first stand as one
+    character (units.Pairs); all other merges are the library's. Texts with any other character, or with a special string, are encoded by the file as it is.
     """
 
     def __init__(self, path: str, kinds: bytes, alone: bytes):
@@ -163,7 +172,14 @@ class MarkedCounts:
         spec = json.loads(self.library.to_str())
         self.special = [t["content"].encode() for t in spec["added_tokens"]]
         self.kinds, self.alone = units.unpacked(kinds), units.unpacked(alone) > 0
-        self.by_mark = Tokenizer.from_str(units.relabelled({**spec, "added_tokens": []}))
+        file, self.pairs = units.with_ends({**spec, "added_tokens": []})
+        self.by_mark = Tokenizer.from_str(file)
+        self.by_mark.model._resize_cache(0)  # runs of units seldom come again
+        vocab = json.loads(file)["model"]["vocab"]
+        #: Bytes of the token of each id.
+        self.sizes = np.zeros(max(vocab.values()) + 1, np.int64)
+        for token, i in vocab.items():
+            self.sizes[i] = max(self.sizes[i], len(token))
 
     @staticmethod
     def tables(path: str) -> tuple[bytes, bytes] | None:
@@ -175,9 +191,9 @@ class MarkedCounts:
         cut, *rest = split.get("pretokenizers") or [None]
         fit = spec.get("normalizer") == LOWERS and split.get("type") == "Sequence" and cut == CUTS and len(rest) == 1
         fit = fit and rest[0].get("type") == "ByteLevel" and rest[0].get("add_prefix_space") is False and rest[0].get("use_regex") is False
-        fit = fit and model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "unk_token", "byte_fallback"))
+        fit = fit and model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "unk_token", "byte_fallback", "ignore_merges"))
         fit = fit and not any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] or not t["content"] for t in spec["added_tokens"])
-        if not fit or spec.get("post_processor") is not None or units.relabelled(spec) is None:
+        if not fit or spec.get("post_processor") is not None or units.with_ends(spec, pairs=False) is None:
             return None
         alone = units.lowered_alone(json.dumps(LOWERS))
         return (units.kinds(), alone) if units.unpacked(alone)[:128].all() else None
@@ -185,8 +201,7 @@ class MarkedCounts:
     def counts(self, texts: pa.Array) -> np.ndarray:
         data, cuts = units.text_bytes(texts)
         odd = np.zeros(len(texts), bool)
-        at, _, point = units.code_points(data)
-        odd[np.searchsorted(cuts, at[~self.alone[point]], "right") - 1] = True
+        odd[np.searchsorted(cuts, self._changing(data), "right") - 1] = True
         raw, ends = data.tobytes(), cuts.tolist()
         spans = list(zip(ends, ends[1:]))
         if any(x in raw for x in self.special):
@@ -194,17 +209,43 @@ class MarkedCounts:
         lowered = [b"" if o else raw[a:b].decode().lower().encode() for (a, b), o in zip(spans, odd.tolist())]
         data = np.frombuffer(b"".join(lowered), np.uint8)
         cuts = np.concatenate([[0], np.cumsum(np.fromiter(map(len, lowered), np.int64, len(lowered)))])
-        kind = units.byte_kinds(data, self.kinds)
-        first = units.first_bytes(data, cuts)
-        begins = units.unit_starts(data, first, kind, False) & ~first
-        white = kind == units.WHITE
-        begins[1:] &= ~(white[1:] | white[:-1])
-        found = self.by_mark.encode_batch_fast(units.marked(np.where(white, np.uint8(units.MARK), data), cuts, np.flatnonzero(begins)), add_special_tokens=False)
+        found = self.by_mark.encode_batch_fast(self._in_units(data, cuts)[0], add_special_tokens=False)
         n = np.fromiter(map(len, found), np.int64, len(found))
         if odd.any():
             n[odd] = [len(e) for e in self.library.encode_batch_fast([raw[a:b].decode() for (a, b), o in zip(spans, odd.tolist()) if o], add_special_tokens=False)]
         return n
 
+    def count_huge(self, text: str, chunk_chars: int, overlap: int) -> int:
+        """Tokens of a long text by overlapping chunks, lowered and by mark as well."""
+        blocks = (np.frombuffer(text[i : i + BLOCK].encode(), np.uint8) for i in range(0, len(text), BLOCK))
+        if any(x.decode() in text for x in self.special) or any(len(self._changing(x)) for x in blocks):
+            return count_huge(self.library, text, chunk_chars, overlap)
+        return count_huge(self.library, text.lower(), chunk_chars, overlap, starts=self.starts)
+
+    def starts(self, lowered: str) -> tuple[np.ndarray, list[int]]:
+        """The character in which each token of a lowered text begins, by the sizes of those before it, and its id."""
+        data = np.frombuffer(lowered.encode(), np.uint8)
+        texts, own = self._in_units(data, np.array([0, len(data)]))
+        ids = self.by_mark.encode_batch_fast(texts, add_special_tokens=False)[0].ids
+        sizes = self.sizes[np.array(ids, np.int64)]
+        return np.cumsum((data & 0xC0) != 0x80)[own[np.cumsum(sizes) - sizes]] - 1, ids
+
+    def _changing(self, data: np.ndarray) -> np.ndarray:
+        """Places of characters whose form may hang on their neighbours."""
+        at, _, point = units.code_points(data)
+        return at[~self.alone[point]]
+
+    def _in_units(self, data: np.ndarray, cuts: np.ndarray) -> tuple[list[str], np.ndarray]:
+        """The texts of lowered bytes, end to end, as by_mark takes them, and the places of the bytes that are in units."""
+        first = units.first_bytes(data, cuts)
+        kind = units.byte_kinds(data, self.kinds)
+        begins = units.unit_starts(data, first, kind, False)
+        own = np.flatnonzero(kind != units.WHITE)
+        symbols = data.astype(np.uint16)
+        symbols[np.append(begins[1:], True)[: len(data)]] += units.END
+        places = np.flatnonzero(begins.take(own))
+        return units.marked(symbols.take(own), np.searchsorted(own, cuts), places[MARKED_UNITS::MARKED_UNITS], self.pairs), own
+
 
 @lru_cache(maxsize=2)
 def _marked(path: str, kinds: bytes, alone: bytes) -> MarkedCounts:
@@ -234,7 +275,7 @@ def token_counts(documents: DataFrame, tokenizer: str, limit: int = 2048, chunk_
             else:
                 n[~huge] = [len(e) for e in library.encode_batch_fast(short.to_pylist(), add_special_tokens=False)]
             for i in np.flatnonzero(huge).tolist():
-                n[i] = count_huge(library, texts[i].as_py(), chunk_chars, overlap)
+                n[i] = marks.count_huge(texts[i].as_py(), chunk_chars, overlap) if marks else count_huge(library, texts[i].as_py(), chunk_chars, overlap)
             yield pa.record_batch([block.column(0), pc.binary_length(texts).cast(pa.int64()), pa.array(n), pa.array(n > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     return only(documents, "doc_id", "text").mapInArrow(count, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

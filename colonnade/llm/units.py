@@ -4,7 +4,8 @@ The library's own pre-tokenisation is a regular expression gone over for each te
 which together cost more than the merges. Here the places of the cuts come from the bytes of a block of texts, by tables of what the library's own
 regular expressions take for letters, numbers and white space. The library then gets every text whole, with a mark at the places where it is to be cut, and
 makes its merges. So that bytes need no turning, its model is written with the character of the same number for each byte (relabelled). Two bytes whose merge is sure,
-whatever the rest of the text does, may be given as one character of their own (Pairs).
+whatever the rest of the text does, may be given as one character of their own (Pairs). In a file whose units end in a suffix, the last byte of a unit has another character than
+the same byte elsewhere (with_ends), and units need no mark between them.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ for _n, _b in enumerate([*range(33), *range(127, 161), 173]):
     BYTE_CHARS[_b] = chr(256 + _n)
 #: What stands at a cut: a byte that no text in UTF-8 holds.
 MARK = 0xFF
+#: What is added to the last byte of a unit, where units end in a suffix.
+END = 0x100
 WHITE, LETTER, NUMBER, OTHER = range(4)
 
 
@@ -60,12 +63,41 @@ def relabelled(spec: dict, pairs: Pairs | None = None) -> str | None:
     model, to = spec["model"], {ord(c): chr(b) for b, c in enumerate(BYTE_CHARS)}
     if any(ord(c) not in to for t in model["vocab"] for c in t):
         return None
-    merges = [[x.translate(to) for x in (m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
-    vocab = {t.translate(to): i for t, i in model["vocab"].items()}
+    merges = [[x.translate(to) for x in m] for m in split_merges(model)]
+    return _cut_at_marks(spec, {t.translate(to): i for t, i in model["vocab"].items()}, merges, pairs)
+
+
+def with_ends(spec: dict, pairs: bool = True) -> tuple[str, Pairs | None] | None:
+    """The same of a file whose units end in a suffix, with chr(END + b) for the last byte b of a unit instead of the suffix, and its pairs.
+
+    No left part of a merge holds the suffix, so no merge goes past the end of a unit: units may stand one after the other, and merges of each, done by rank, go on as if it
+    were alone. None if that does not hold, if a token is made in two ways (one written like a byte's with the suffix, say) or before its parts, or if the vocabulary is not that of bytes and merges.
+    """
+    model, suffix = spec["model"], spec["model"].get("end_of_word_suffix")
+    if not suffix:
+        return None
+    name = {c: chr(b) for b, c in enumerate(BYTE_CHARS)} | {c + suffix: chr(END + b) for b, c in enumerate(BYTE_CHARS)}
+    merges = split_merges(model)
+    for a, b in merges:
+        if a not in name or b not in name or a + b in name or ord(name[a][-1]) >= END:
+            return None
+        name[a + b] = name[a] + name[b]
+    if name.keys() != model["vocab"].keys():
+        return None
+    merges = [(name[a], name[b]) for a, b in merges]
+    sure = Pairs.among(merges, 2 * END) if pairs else None
+    return _cut_at_marks({**spec, "model": {**model, "end_of_word_suffix": None}}, {name[t]: i for t, i in model["vocab"].items()}, merges, sure), sure
+
+
+def split_merges(model: dict) -> list[tuple[str, str]]:
+    return [tuple(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+
+
+def _cut_at_marks(spec: dict, vocab: dict[str, int], merges: list, pairs: Pairs | None) -> str:
     if pairs is not None:
-        vocab |= {c: vocab[chr(a) + chr(b)] for c, a, b in pairs.characters()}
+        vocab = vocab | {c: vocab[chr(a) + chr(b)] for c, a, b in pairs.characters()}
     cut = {"type": "CharDelimiterSplit", "delimiter": chr(MARK)}
-    return json.dumps({**spec, "normalizer": None, "pre_tokenizer": cut, "post_processor": None, "decoder": None, "model": {**model, "vocab": vocab, "merges": merges}})
+    return json.dumps({**spec, "normalizer": None, "pre_tokenizer": cut, "post_processor": None, "decoder": None, "model": {**spec["model"], "vocab": vocab, "merges": merges}})
 
 
 class Pairs:
@@ -79,46 +111,58 @@ class Pairs:
     #: No such merge.
     NONE = 0xFFFF
 
-    def __init__(self, ranks: np.ndarray, left: np.ndarray, right: np.ndarray):
+    def __init__(self, ranks: np.ndarray, left: np.ndarray, right: np.ndarray, letters: int = 256):
+        self.letters, self.shift = letters, letters.bit_length() - 1
         at = np.flatnonzero(ranks < self.NONE)
-        at = at[np.argsort(ranks[at])][: 0xD800 - 0x100]  # below the surrogates, the first in the shortest characters
-        character = np.zeros(1 << 16, np.uint16)
-        character[at] = 0x100 + np.arange(len(at))
-        #: At 256 * a + b: the rank of (a, b), the least of a merge of what ends in a with b, the least of one of a with what begins with b, and the character of ab.
+        at = at[np.argsort(ranks[at])][: 0xD800 - letters]  # below the surrogates, the first in the shortest characters
+        character = np.zeros(letters * letters, np.uint16)
+        character[at] = letters + np.arange(len(at))
+        #: At letters * a + b: the rank of (a, b), the least of a merge of what ends in a with b, the least of one of a with what begins with b, and the character of ab.
         self.ranks, self.left, self.right = (np.minimum(x, self.NONE).astype(np.uint16) for x in (np.where(character > 0, ranks, self.NONE), left, right))
         self.character = character
 
     @classmethod
     def of(cls, spec: dict) -> Pairs | None:
         """Those of a file (as the library writes it); None if a token is made by several merges, or holds other characters."""
-        byte_of = {c: b for b, c in enumerate(BYTE_CHARS)}
-        rank = {tuple(m.split(" ") if isinstance(m, str) else m): r for r, m in enumerate(spec["model"]["merges"])}
-        if len({a + b for a, b in rank}) < len(rank) or any(c not in byte_of for m in rank for t in m for c in t):
+        to = {ord(c): chr(b) for b, c in enumerate(BYTE_CHARS)}
+        rank = {m: r for r, m in enumerate(split_merges(spec["model"]))}
+        if len({a + b for a, b in rank}) < len(rank) or any(ord(c) not in to for m in rank for t in m for c in t):
             return None
+        return cls._ranked({(a.translate(to), b.translate(to)): r for (a, b), r in rank.items()}, 256)
+
+    @classmethod
+    def among(cls, merges: list[tuple[str, str]], letters: int) -> Pairs:
+        """Those of merges, in order and each of another token, of texts in chr(0) to chr(letters - 1)."""
+        return cls._ranked({m: r for r, m in enumerate(merges)}, letters)
+
+    @classmethod
+    def _ranked(cls, rank: dict[tuple[str, str], int], letters: int) -> Pairs:
         least: dict[str, int] = {}  # rank of a merge that has the token as a part
-        ranks, left, right = (np.full(1 << 16, cls.NONE, np.int64) for _ in range(3))
+        ranks, left, right = (np.full(letters * letters, cls.NONE, np.int64) for _ in range(3))
         for (a, b), r in rank.items():
             least[a], least[b] = min(r, least.get(a, r)), min(r, least.get(b, r))
-            at = byte_of[a[-1]] << 8 | byte_of[b[0]]
+            at = ord(a[-1]) * letters + ord(b[0])
             if len(b) == 1:
                 left[at] = min(left[at], r)
             if len(a) == 1:
                 right[at] = min(right[at], r)
         for (a, b), r in rank.items():
-            if len(a) == len(b) == 1 and r < least.get(a + b, cls.NONE) and MARK not in (byte_of[a], byte_of[b]):
-                ranks[byte_of[a] << 8 | byte_of[b]] = min(r, cls.NONE)
-        return cls(ranks, left, right)
+            if len(a) == len(b) == 1 and r < least.get(a + b, cls.NONE) and chr(MARK) not in (a, b):
+                ranks[ord(a) * letters + ord(b)] = min(r, cls.NONE)
+        return cls(ranks, left, right, letters)
 
     def characters(self) -> list[tuple[str, int, int]]:
         """(character, a, b) of each pair that has one."""
-        return [(chr(self.character[at]), at >> 8, at & 255) for at in np.flatnonzero(self.character).tolist()]
+        return [(chr(self.character[at]), at >> self.shift, at & (self.letters - 1)) for at in np.flatnonzero(self.character).tolist()]
 
     def joined(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of texts end to end, as characters with the sure pairs as one, and where each text begins, with the end of the last."""
         out = data.astype(np.uint16)
         if len(data) < 2:
             return out, ends
-        at = ((out[:-1] << 8) | out[1:]).astype(np.intp)
+        at = out[:-1].astype(np.intp)
+        at <<= self.shift
+        at |= out[1:]
         rank, left, right = (x.take(at, mode="wrap") for x in (self.ranks, self.left, self.right))
         sure = rank < self.NONE
         sure[1:] &= rank[1:] < left[:-1]
@@ -225,15 +269,15 @@ def unit_starts(data: np.ndarray, first: np.ndarray, kind: np.ndarray, spaced: b
 
 
 def marked(data: np.ndarray, cuts: np.ndarray, places: np.ndarray, pairs: Pairs | None = None) -> list[str]:
-    """The texts with a mark before each of these places (ascending), each byte as the character of its number, or sure pairs as theirs."""
-    out = np.full(len(data) + len(places), MARK, np.uint8)
+    """The texts with a mark before each of these places (ascending), each byte (or 16-bit number) as the character of its number, or sure pairs as theirs."""
+    out = np.full(len(data) + len(places), MARK, data.dtype)
     own = np.ones(len(out), bool)
     own[places + np.arange(len(places))] = False
     out[own] = data
     ends = cuts + np.searchsorted(places, cuts)
     if pairs is not None:
         out, ends = pairs.joined(out, ends)
-    held, ends = out.tobytes().decode("latin-1" if pairs is None else "utf-16-le"), ends.tolist()
+    held, ends = out.tobytes().decode("latin-1" if out.itemsize == 1 else "utf-16-le"), ends.tolist()
     return [held[a:b] for a, b in zip(ends, ends[1:])]
 
 

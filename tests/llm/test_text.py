@@ -252,6 +252,78 @@ def test_counts_by_mark_are_those_of_the_file(texts):
     assert all(token_counts.MarkedCounts.tables(registry.tokenizer_path(x)) is None for x in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
 
 
+def test_units_with_ends_stand_in_runs(texts, monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = registry.tokenizer_path("word_bpe_49k.json")
+    library, own = Tokenizer.from_file(path), token_counts.MarkedCounts(path, *token_counts.MarkedCounts.tables(path))
+    # the library gets a whole text with a mark at each 64th unit, and some bytes in pairs, instead of a string for each unit
+    prose = "It was, as they said (twice), the 3rd of May; nobody came. " * 30
+    data = np.frombuffer(prose.lower().encode(), np.uint8)
+    (given,), _ = own._in_units(data, np.array([0, len(data)]))
+    pieces = own.by_mark.pre_tokenizer.pre_tokenize_str(given)
+    n_units = len(library.pre_tokenizer.pre_tokenize_str(prose.lower()))
+    assert len(pieces) == -(-n_units // 64) and len(given) < 0.7 * len(prose.replace(" ", ""))
+    # places of tokens are the library's offsets
+    for t in [t for t in odd_texts(texts)[:600] if t == t.lower() and not own._changing(np.frombuffer(t.encode(), np.uint8)).size and "<|" not in t] + [prose.lower(), "é漢字 " * 90]:
+        e = library.encode(t, add_special_tokens=False)
+        places, ids = own.starts(t)
+        assert ids == e.ids and places.tolist() == [a for a, _ in e.offsets], t
+    # long texts are not left to the file as it is, but for special strings and characters that may change; overlaps widen as there
+    rng, seen = random.Random(5), []
+    word = lambda: "".join(rng.choice("abCdeÉ漢'1!<İ") for _ in range(rng.randrange(1, 12)))
+    long = [" ".join(word() for _ in range(800)), "X" * 5000, "ab" * 900 + " " + "Cd" * 900, " " * 3000, "a" + "\xa0" * 2000 + "b c d e f " * 200, "\n".join(word() for _ in range(500)), "It's 1 <|ENDOFTEXT|> " * 200]
+    left = ["<|endoftext|>" * 300, "a\u0301 " * 900, "abc " * 900 + "e\u0301", "ΑΣ " * 700]
+    monkeypatch.setattr(token_counts, "BLOCK", 1000)
+    own.library = type("Seen", (), {"encode": lambda self, t, **k: [seen.append(t), library.encode(t, **k)][1]})()
+    for texts_, by_file in ((long, False), (left, True)):
+        for t in texts_:
+            for chunk, overlap in ((300, 8), (700, 64), (50, 4)):
+                seen.clear()
+                assert own.count_huge(t, chunk, overlap) == len(library.encode(t, add_special_tokens=False).ids), (t[:30], chunk)
+                assert bool(seen) == by_file, t[:30]
+
+
+def test_ends_of_units_fit_other_files_or_are_left(tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    spec = json.loads(open(registry.tokenizer_path("word_bpe_49k.json")).read())
+    rng, letters, end = random.Random(31), "abc .'s1é</w>", "</w>"
+    names = list(dict.fromkeys(units.BYTE_CHARS[b] for b in letters.replace(" ", "").encode()))
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(30))) for _ in range(300)] + ["a" * n for n in range(9)] + ["a</w>", "a</w> a", "ab " * 200]
+    n_fit = n_pairs = 0
+    for k in range(120):
+        tokens, merges = [*names, *(c + end for c in names)], []
+        made = {*units.BYTE_CHARS, *(c + end for c in units.BYTE_CHARS)}
+        for _ in range(rng.randrange(1, 60)):
+            a, b = rng.choice(tokens), rng.choice(tokens)
+            if a + b not in made and len((a + b).replace(end, "")) < 8 and (k % 4 == 2 or not a.endswith(end)):
+                tokens.append(a + b)
+                made.add(a + b)
+                merges.append([a, b])
+        if k % 4 == 1:  # merges of parts that are made later
+            rng.shuffle(merges)
+        if k % 4 == 3:  # a token written like a byte at the end of a unit
+            merges = [["<", "/"], ["</", "w"], ["</w", ">"], ["a", "</w>"], *(m for m in merges if "<" not in m[0] + m[1])]
+        vocab = dict.fromkeys([*units.BYTE_CHARS, *(c + end for c in units.BYTE_CHARS), *(a + b for a, b in merges)])
+        path = str(tmp_path / f"file{k}.json")
+        (tmp_path / f"file{k}.json").write_text(json.dumps({**spec, "added_tokens": [], "model": {**spec["model"], "vocab": {t: i for i, t in enumerate(vocab)}, "merges": merges}}))
+        try:
+            library = Tokenizer.from_file(path)
+        except Exception:  # a part without a token
+            continue
+        tables = token_counts.MarkedCounts.tables(path)
+        assert k % 4 or tables
+        assert k % 4 != 3 or tables is None
+        if tables:
+            own = token_counts.MarkedCounts(path, *tables)
+            assert own.counts(pa.array(texts)).tolist() == [len(e) for e in library.encode_batch_fast(texts, add_special_tokens=False)], merges
+            n_fit, n_pairs = n_fit + 1, n_pairs + len(own.pairs.characters())
+    assert n_fit >= 30 and n_pairs > 30
+
+
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 def test_overlaps_resynchronise_or_widen(name):
     from tokenizers import Tokenizer
